@@ -218,7 +218,7 @@ def jaro_winkler(left: Column, right: Column) -> Column:
     ).otherwise(scored)
 
 
-TILE_PAIR_SCHEMA = "block long, l_value long, r_value long, similarity double"
+TILE_PAIR_SCHEMA = "l_value long, r_value long, l_tiles int, r_tiles int, similarity double"
 
 
 def similar_within_tiles(cutoff: float):
@@ -257,8 +257,15 @@ def similar_within_tiles(cutoff: float):
         score = score_pairs(enc, code[l], code[r], cutoff)
         hit = score >= cutoff
         l, r = l[hit], r[hit]
+        tiles = rows["value_tiles"].to_numpy()
         return pd.DataFrame(
-            {"block": rows["block"].to_numpy()[l], "l_value": ids[l], "r_value": ids[r], "similarity": score[hit]}
+            {
+                "l_value": ids[l],
+                "r_value": ids[r],
+                "l_tiles": tiles[l],
+                "r_tiles": tiles[r],
+                "similarity": score[hit],
+            }
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,18 +57,18 @@ def profiles(mentions: DataFrame, config: ResolverConfig) -> DataFrame:
     fresh = F.col("arrival_seq")
     if "is_new" in mentions.columns:
         fresh = F.when(F.col("is_new"), fresh)
-    return mentions.groupBy("profile_key").agg(
+    return mentions.groupBy("profile_key", *fields).agg(
         F.min("arrival_seq").alias("profile_id"),
         F.max(fresh).alias("last_new"),
         F.count("*").alias("mentions"),
-        *[F.any_value(name).alias(name) for name in fields],
     )
 
 
 def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of similar `name` values that agree on `keys`, each pair once, with its similarity.
 
-    `values` has one row per distinct (keys, name): `value_id`, `name`, `last_new` (NULL: no new mention).
+    `values` has one row per distinct (keys, name): `value_id`, `name`, `profiles` (how many profiles share it),
+    `last_new` (NULL: no new mention).
     A block is cut into tiles by its number of values, and tile pairs are spread over the cluster, so no task
     holds more than two tiles however large the block.  Pairs without a new value are never formed.
     """
@@ -86,6 +86,7 @@ def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows:
         "value_id",
         "name",
         F.col("last_new").isNotNull().alias("fresh_value"),
+        _tiles().alias("value_tiles"),
         F.pmod(F.xxhash64("name"), tiles).cast("int").alias("tile"),
         F.pmod(F.xxhash64("name", F.lit(1)), fresh_tiles).cast("int").alias("fresh_tile"),
         tiles.alias("tiles"),
@@ -99,6 +100,7 @@ def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows:
         "value_id",
         "name",
         "fresh_value",
+        "value_tiles",
     )
     right = placed.select(
         "block",
@@ -108,6 +110,7 @@ def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows:
         "value_id",
         "name",
         "fresh_value",
+        "value_tiles",
     )
     group = ["block", "l_tile", "r_tile"]
     return (
@@ -137,24 +140,27 @@ def _tiles(profiles_column: str = "profiles") -> Column:
 
 
 def _spread(known: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Profiles under the id of their value; a value with very many profiles is spread over several tiles."""
+    """Profiles under the id of their value; a value with very many profiles is spread over several tiles.
+
+    Pairs far outnumber profiles, so the profiles keep their own number of partitions.
+    """
     sized = values.select(*keys, "value_id", _tiles().alias("tiles"))
-    return known.join(sized, keys).select(
-        "value_id",
-        F.pmod(F.xxhash64("profile_id"), F.col("tiles")).cast("int").alias("tile"),
-        F.struct(*known.columns).alias("profile"),
+    return (
+        known.join(sized, keys)
+        .select(
+            "value_id",
+            F.pmod(F.xxhash64("profile_id"), F.col("tiles")).cast("int").alias("tile"),
+            F.struct(*[c for c in known.columns if c != "profile_key"]).alias("profile"),
+        )
+        .repartition(task_slots(known.sparkSession), "value_id", "tile")
     )
 
 
-def _expand(value_pairs: DataFrame, values: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def _expand(value_pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Profile pairs (a, b) of value pairs, addressed by (value, tile) so that no join key is unbounded."""
-    crowded = values.where(F.col("profiles") > PROFILES_PER_TILE).select("value_id", _tiles().alias("tiles"))
-    addressed = value_pairs
-    for side in ("l", "r"):
-        many = crowded.select(F.col("value_id").alias(f"{side}_value"), F.col("tiles").alias(f"{side}_tiles"))
-        addressed = addressed.join(many, f"{side}_value", "left").withColumn(
-            f"{side}_tile", F.explode(F.sequence(F.lit(0), F.coalesce(f"{side}_tiles", F.lit(1)) - 1))
-        )
+    addressed = value_pairs.withColumn("l_tile", F.explode(F.sequence(F.lit(0), F.col("l_tiles") - 1))).withColumn(
+        "r_tile", F.explode(F.sequence(F.lit(0), F.col("r_tiles") - 1))
+    )
     a = left.select(F.col("value_id").alias("l_value"), F.col("tile").alias("l_tile"), F.col("profile").alias("a"))
     b = right.select(F.col("value_id").alias("r_value"), F.col("tile").alias("r_tile"), F.col("profile").alias("b"))
     return addressed.join(a, ["l_value", "l_tile"]).join(b, ["r_value", "r_tile"])
@@ -173,7 +179,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _with_itself(values: DataFrame) -> DataFrame:
     return values.where("last_new is not null").select(
-        F.col("value_id").alias("l_value"), F.col("value_id").alias("r_value")
+        F.col("value_id").alias("l_value"),
+        F.col("value_id").alias("r_value"),
+        _tiles().alias("l_tiles"),
+        _tiles().alias("r_tiles"),
     )
 
 
@@ -181,8 +190,8 @@ def pairs_by_name(known: DataFrame, keys: list[str], name: str, cutoff: float) -
     """Profile pairs that agree on `keys` and whose `name` values reach the cut-off."""
     values = distinct_values(known, [*keys, name])
     spread = _spread(known, values, [*keys, name])
-    similar = similar_values(values.withColumnRenamed(name, "name"), keys, cutoff).select("l_value", "r_value")
-    pairs = _expand(similar.unionByName(_with_itself(values)), values, spread, spread)
+    similar = similar_values(values.withColumnRenamed(name, "name"), keys, cutoff).drop("similarity")
+    pairs = _expand(similar.unionByName(_with_itself(values)), spread, spread)
     once = (F.col("l_value") != F.col("r_value")) | (F.col("a.profile_id") <= F.col("b.profile_id"))
     return _ordered(pairs.where(once))
 
@@ -191,7 +200,7 @@ def pairs_by_equality(known: DataFrame, keys: list[str]) -> DataFrame:
     """Profile pairs that agree on `keys`."""
     values = distinct_values(known, keys)
     spread = _spread(known, values, keys)
-    pairs = _expand(_with_itself(values), values, spread, spread)
+    pairs = _expand(_with_itself(values), spread, spread)
     return _ordered(pairs.where(F.col("a.profile_id") <= F.col("b.profile_id")))
 
 
@@ -200,7 +209,7 @@ def _pairs_without_name(known: DataFrame, keys: list[str], name: str) -> DataFra
     values = distinct_values(known, keys)
     spread = _spread(known, values, keys)
     nameless = spread.where(F.col("profile").getField(name).isNull())
-    pairs = _expand(_with_itself(values), values, nameless, spread)
+    pairs = _expand(_with_itself(values), nameless, spread)
     once = F.col("b").getField(name).isNotNull() | (F.col("a.profile_id") <= F.col("b.profile_id"))
     return _ordered(pairs.where(once))
 

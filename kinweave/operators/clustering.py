@@ -8,7 +8,7 @@ of level combinations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kinweave.config import ResolverConfig
@@ -64,14 +64,14 @@ def roots(forest: DataFrame) -> DataFrame:
     current = cut(forest.select("node", "parent"))
     while True:
         upper = current.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
-        current = cut(
-            current.join(upper, "parent", "left").select(
-                "node",
-                F.coalesce("upper", "parent").alias("parent"),
-                (F.coalesce("upper", "parent") != F.col("parent")).alias("moved"),
-            )
+        progress = Observation()
+        jumped = current.select("node", "parent").join(upper, "parent", "left").select(
+            "node",
+            F.coalesce("upper", "parent").alias("parent"),
+            (F.coalesce("upper", "parent") != F.col("parent")).alias("moved"),
         )
-        if current.where("moved").limit(1).count() == 0:
+        current = cut(jumped, progress, F.count_if("moved").alias("moved"))
+        if progress.get["moved"] == 0:
             return current.select("node", F.col("parent").alias("root"))
 
 

@@ -49,7 +49,7 @@ class Resolution:
 def link(mentions: DataFrame, config: ResolverConfig) -> Linked:
     """Profiles, candidate pairs and links of all mentions (`is_new` limits which ones get links)."""
     keyed = blocking.with_profile_key(blocking.with_normalised(mentions, config), config)
-    known = blocking.profiles(keyed, config)
+    known = cut(blocking.profiles(keyed, config))
     pairs = blocking.candidate_pairs(known, config)
     return Linked(
         mentions=clustering.with_profile_id(keyed, known),
@@ -67,7 +67,8 @@ def resolve(mentions: DataFrame, config: ResolverConfig, stored_clusters: DataFr
     """
     linked = link(mentions, config)
     linked.links = cut(linked.links.select("new_profile", "stored_profile", "match_weight"))
-    linked.mentions = cut(linked.mentions)
+    carried = [c for c in ("mention_id", "arrival_seq", "is_new", "profile_id") if c in linked.mentions.columns]
+    linked.mentions = cut(linked.mentions.select(*carried))
     best = clustering.best_match(linked.mentions, linked.links)
     if stored_clusters is None:
         clusters = cut(clustering.assign(best, config))

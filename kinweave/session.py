@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -26,22 +27,30 @@ def local_session(cores: int | str = 8, app: str = "kinweave") -> SparkSession:
     )
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is set."""
-    named = spark.conf.get(CHECKPOINT_KEY, None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return named or current
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the session names for lineage cuts; a local one only where none is set."""
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="kinweave-")
+        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder once and go on from there."""
-    checkpoint_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def cut(frame: DataFrame, watch: Observation | None = None, *measures: Column) -> DataFrame:
+    """Write the frame once to the shared folder and go on from the written table.
+
+    Lost executors then cost no recomputation, and later plans see the real table size.  `measures` are
+    aggregated into `watch` while writing.
+    """
+    if watch is not None:
+        frame = frame.observe(watch, *measures)
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def task_slots(spark: SparkSession) -> int:
-    """Partitions for CPU-heavy Python stages, which must not be coalesced by size."""
-    return max(spark.sparkContext.defaultParallelism * 2, 8)
+    """Partitions for stages whose work outgrows their input, which must not be coalesced by size."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
