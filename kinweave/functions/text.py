@@ -58,4 +58,4 @@ def escape_turtle(value: Column) -> Column:
 def queue_wait_ms(created_at: Column, now: Column) -> Column:
     """Milliseconds between two timestamps, never negative; NULL when the creation time is unknown."""
     waited = (F.unix_micros(now) - F.unix_micros(created_at)) / F.lit(1000.0)
-    return F.when(created_at.isNotNull(), F.round(F.greatest(waited, F.lit(0.0)), 3))
+    return F.when(waited.isNotNull(), F.round(F.greatest(waited, F.lit(0.0)), 3))

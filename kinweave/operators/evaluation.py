@@ -159,13 +159,12 @@ def unrelated_pairs(clustered: DataFrame) -> DataFrame:
 def synthetic_corpus(mentions: DataFrame, cycles: int) -> DataFrame:
     """Grow a corpus: every cycle after the first repeats the rows with a pseudo-random word before the name."""
     words = F.translate(F.substring(F.md5(F.concat_ws("-", "mention_id", "cycle")), 1, 8), "0123456789", "ghijklmnop")
-    offset = F.col("cycle") * (F.col("_last") + 1)
-    last = mentions.agg(F.max("arrival_seq").alias("_last"))
+    last = mentions.agg(F.max("arrival_seq")).first()[0]
+    offset = F.col("cycle") * (last + 1)
     return (
-        mentions.join(F.broadcast(last))
-        .withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
+        mentions.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))))
         .withColumn("legal_name", F.when(F.col("cycle") == 0, F.col("legal_name")).otherwise(F.concat_ws(" ", words, "legal_name")))
         .withColumn("arrival_seq", F.col("arrival_seq") + offset)
         .withColumn("mention_id", F.concat_ws("-", "mention_id", "cycle"))
-        .drop("cycle", "_last")
+        .drop("cycle")
     )
