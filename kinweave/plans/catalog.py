@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from kinweave import config as settings
 from kinweave.functions import text
 from kinweave.operators import blocking, clustering, evaluation, guards, measures, scoring, training
+from kinweave.plans.requests import Outcome, Stored, process
 from kinweave.plans.resolve import Linked, Resolution, link, resolve
 from kinweave.session import cut
-from kinweave.sources import views
+from kinweave.sources import rdf, requests, tables, views
 
 TURNS_PER_CONVERSATION = 1 << 20
 WINDOW = 2500
@@ -444,6 +445,86 @@ def evaluate_variant(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [*parts, counters, recall]).withColumnRenamed("v", "value")
 
 
+# --- requests and RDF ------------------------------------------------------------------------------------------
+
+SEGMENT_PREFIXES = {"AUTOMOBILE": "epo", "BUILDING": "org", "FURNITURE": "locn", "MACHINERY": "cccev", "HOUSEHOLD": "other"}
+SOURCE_ID = "portal"
+CREATED_AT = "2024-01-01 00:00:00"
+
+
+def _page_requests(spark: SparkSession, folder: str) -> DataFrame:
+    created = F.lit(CREATED_AT).cast("timestamp")
+    return requests.render(views.pages(spark, folder), F.lit(SOURCE_ID), created)
+
+
+def request_render(spark: SparkSession, folder: str) -> DataFrame:
+    return _page_requests(spark, folder)
+
+
+def request_parse(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = requests.parse(_page_requests(spark, folder).select("arrival_seq", "raw"))
+    return parsed.select(
+        "arrival_seq", "request_id", "source_id", "entity_type", "ere_request_id", F.sha2("content", 256).alias("content_hash")
+    )
+
+
+def rdf_prefix_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    prefix = F.create_map(*[F.lit(part) for pair in SEGMENT_PREFIXES.items() for part in pair])[F.col("c_mktsegment")]
+    name = F.concat_ws(":", prefix, "c_name")
+    return views.table(spark, folder, "customer").select("c_custkey", rdf.resolved(name, rdf.NAMESPACES).alias("iri"))
+
+
+def rdf_property_path(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = requests.parse(_page_requests(spark, folder).select("arrival_seq", "raw"))
+    payloads = parsed.withColumnRenamed("arrival_seq", "request_key")
+    mapped = rdf.attributes(payloads.select("request_key", "entity_type"), rdf.triples(payloads), rdf.shipped_mappings())
+    return mapped.drop("entity_type")
+
+
+def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every supplier once, some again, some with another name, some broken, in arrival order."""
+    mentions = views.suppliers(spark, folder)
+    balance = views.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("arrival_seq"), "s_acctbal")
+    known = mentions.join(balance, "arrival_seq")
+    renamed = known.where("s_acctbal < 0").withColumn("legal_name", F.concat("legal_name", F.lit(" (renamed)")))
+    created = F.lit(CREATED_AT).cast("timestamp")
+
+    def rendered(rows: DataFrame, step: int) -> DataFrame:
+        messages = requests.render(rows, F.lit(SOURCE_ID), created)
+        return messages.select((F.col("arrival_seq") * 4 + step).alias("arrival_seq"), "raw")
+
+    broken = rendered(known.where("s_acctbal > 9000"), 3).withColumn("raw", F.concat(F.lit("{"), "raw"))
+    repeated = rendered(known.where("s_acctbal > 5000"), 1)
+    return rendered(known, 0).unionByName(repeated).unionByName(rendered(renamed, 2)).unionByName(broken)
+
+
+def _processed(spark: SparkSession, folder: str) -> Outcome:
+    config = settings.shipped()
+    stored = Stored(
+        spark.createDataFrame([], tables.mention_layout(config)),
+        spark.createDataFrame([], tables.LINK_LAYOUT),
+        spark.createDataFrame([], tables.CLUSTER_LAYOUT),
+    )
+    return process(_supplier_messages(spark, folder), stored, config, rdf.shipped_mappings())
+
+
+def process_requests(spark: SparkSession, folder: str) -> DataFrame:
+    answer = F.from_json("response", "type string, error_type string, candidates array<struct<cluster_id string>>")
+    return (
+        _processed(spark, folder)
+        .responses.withColumn("r", answer)
+        .select("arrival_seq", "ere_request_id", "r.type", "r.error_type", F.size("r.candidates").alias("candidates"))
+        .withColumn("candidates", F.when(F.col("candidates") >= 0, F.col("candidates")))
+    )
+
+
+def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
+    found = _processed(spark, folder).events
+    return found.groupBy("event", "guard", "decision").agg(
+        F.count("*").alias("events"), F.sum("stored_links").alias("stored_links"), F.round(F.max("best_score"), 6).alias("best_score")
+    )
+
+
 # --- request log -----------------------------------------------------------------------------------------------
 
 
@@ -510,6 +591,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unrelated_merges,
         co_clustered_pairs,
         evaluate_variant,
+        request_render,
+        request_parse,
+        rdf_prefix_resolve,
+        rdf_property_path,
+        process_requests,
+        lifecycle_events,
         latency_summary,
         growth_profile,
         batch_summary,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from kinweave import config as settings
 from kinweave.config import JARO_WINKLER, ResolverConfig
 from kinweave.plans import catalog
-from kinweave.sources import views
+from kinweave.sources import rdf, requests, views
 
 
 def _norm(column: str) -> str:
@@ -226,12 +226,63 @@ params(field, level, label, m, u, weight, source) AS (VALUES {", ".join(rows)})
 SELECT p.*, coalesce(o.links, 0) AS links FROM params p LEFT JOIN observed o USING (field, level)"""
 
 
+def _text(value: str) -> str:
+    """SQL string literal with line breaks."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _escaped(column: str) -> str:
+    value = f"replace({column}, '\\', '\\\\')"
+    for code, letter in (('34', '"'), ("10", "n"), ("13", "r"), ("9", "t")):
+        value = f"replace({value}, chr({code}), '\\{letter}')"
+    return value
+
+
+def _page_content() -> str:
+    def quoted(column: str) -> str:
+        return f"""'"' || {_escaped(f"coalesce({column}, '')")} || '"'"""
+
+    optional = ", ".join(
+        f"CASE WHEN coalesce({c}, '') <> '' THEN '{p} ' || {quoted(c)} END"
+        for c, p in requests.ADDRESS_PREDICATES.items()
+        if c != "thoroughfare"
+    )
+    address = f"concat_ws({_text(' ;' + chr(10) + '        ')}, 'epo:hasCountryCode ' || {quoted('country_code')}, {optional})"
+    return (
+        f"{_text(requests.PREFIX_HEADER + chr(10) + 'epd:ent')} || mention_id || "
+        f"{_text(' a org:Organization ;' + chr(10) + '    epo:hasLegalName ')} || {quoted('legal_name')} || "
+        f"{_text(' ;' + chr(10) + '    cccev:registeredAddress [' + chr(10) + '        ')} || {address} || "
+        f"{_text(chr(10) + '    ] .')}"
+    )
+
+
+SUPPLIERS = f"""mentions AS (
+  SELECT sha256('{catalog.SOURCE_ID}' || 's' || s_suppkey || 'ORGANISATION') AS mention_id, 's' || s_suppkey AS request_id,
+         s_suppkey * 4 AS seq, s_name AS legal_name, n_name AS country_code, r_name AS nuts_code,
+         NULL::VARCHAR AS post_code, NULL::VARCHAR AS post_name, NULL::VARCHAR AS thoroughfare, {_norm("s_name")} AS name, s_acctbal
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+MESSAGES = """messages AS (
+  SELECT seq AS arrival_seq, request_id, mention_id, 'new' AS guard FROM mentions
+  UNION ALL SELECT seq + 1, request_id, mention_id, 'repeat' FROM mentions WHERE s_acctbal > 5000
+  UNION ALL SELECT seq + 2, request_id, mention_id, 'conflict' FROM mentions WHERE s_acctbal < 0
+  UNION ALL SELECT seq + 3, NULL, NULL, 'broken' FROM mentions WHERE s_acctbal > 9000)"""
+REQUERY_COUNTS = """sides AS (
+  SELECT mention_id_l AS mention_id, mention_id_r AS other FROM stored_links
+  UNION ALL SELECT mention_id_r, mention_id_l FROM stored_links),
+offered AS (
+  SELECT s.mention_id, c.cluster_id FROM sides s JOIN clusters c ON c.mention_id = s.other
+  UNION SELECT mention_id, cluster_id FROM clusters),
+later AS (SELECT mention_id, least(count(DISTINCT cluster_id), 100) AS n FROM offered GROUP BY 1),
+firsts AS (SELECT mention_id, count(*) AS n FROM candidates GROUP BY 1)"""
+
+
 def sql() -> dict[str, str]:
     """Oracle SQL by query name."""
     parts, pages, multi = catalog.parts_config(), catalog.pages_config(), settings.multirule()
     part_links = _mention_links(PARTS, parts)
     part_clusters = f"{part_links},\n{_clusters(parts)}"
     page_clusters = f"{_mention_links(PAGES, pages)},\n{_clusters(pages)}"
+    supplier_clusters = f"{_mention_links(SUPPLIERS, settings.shipped())},\n{_clusters(settings.shipped())}"
     rules = [["country_code"], ["post_name"], ["legal_name"]]
     kept = f"(SELECT *, {_weight(parts)} AS w FROM graded)"
     stages = ", ".join(
@@ -382,6 +433,42 @@ UNION ALL SELECT 'merged_pairs', count(*) FROM together
 UNION ALL SELECT 'unrelated_pairs', count(*) FROM together WHERE jaro_winkler_similarity(ln, rn) < 0.8
 UNION ALL SELECT reference || '_pairs', reference_pairs FROM recall
 UNION ALL SELECT reference || '_together', together FROM recall""",
+        ),
+        "request_render": f"""WITH {PAGES},
+bodies AS (SELECT mention_id, seq, {_page_content()} AS content FROM mentions)
+SELECT mention_id AS request_id, seq AS arrival_seq, CAST(to_json({{'type': '{requests.REQUEST_TYPE}', 'entity_mention': {{
+  'identifiedBy': {{'request_id': mention_id, 'source_id': '{catalog.SOURCE_ID}', 'entity_type': 'ORGANISATION'}},
+  'content': content, 'content_type': '{requests.CONTENT_TYPE}'}}, 'timestamp': '2024-01-01T00:00:00Z',
+  'ere_request_id': mention_id || ':01'}}) AS VARCHAR) AS raw FROM bodies""",
+        "request_parse": f"""WITH {PAGES}
+SELECT seq AS arrival_seq, mention_id AS request_id, '{catalog.SOURCE_ID}' AS source_id, 'ORGANISATION' AS entity_type,
+  mention_id || ':01' AS ere_request_id, sha256({_page_content()}) AS content_hash FROM mentions""",
+        "rdf_prefix_resolve": f"""SELECT c_custkey, CASE c_mktsegment
+  {" ".join(f"WHEN '{segment}' THEN '{rdf.NAMESPACES[prefix]}'" for segment, prefix in catalog.SEGMENT_PREFIXES.items() if prefix in rdf.NAMESPACES)}
+  END || c_name AS iri FROM customer""",
+        "rdf_property_path": f"""WITH {PAGES}
+SELECT seq AS request_key, country_code, coalesce(legal_name, '') AS legal_name, nuts_code, post_code, post_name,
+  NULL::VARCHAR AS thoroughfare, NULL::VARCHAR AS mapping_error FROM mentions""",
+        "process_requests": _with(
+            f"{supplier_clusters},\n{_candidates(100)},\n{_stored(100)},\n{REQUERY_COUNTS},\n{MESSAGES}",
+            f"""SELECT m.arrival_seq, coalesce(m.request_id || ':01', 'unknown') AS ere_request_id,
+  CASE WHEN guard IN ('new', 'repeat') THEN '{requests.RESPONSE_TYPE}' ELSE '{requests.ERROR_TYPE}' END AS type,
+  CASE guard WHEN 'conflict' THEN 'ConflictError' WHEN 'broken' THEN 'ProcessingError' END AS error_type,
+  CASE guard WHEN 'new' THEN f.n WHEN 'repeat' THEN l.n END AS candidates
+FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN later l USING (mention_id)""",
+        ),
+        "lifecycle_events": _with(
+            f"{supplier_clusters},\n{_stored(100)},\n{MESSAGES},\n"
+            f"""tops AS (SELECT ml, max({PROBABILITY}) AS p FROM links GROUP BY 1)""",
+            """SELECT event, guard, decision, count(*) AS events, sum(n) AS stored_links, round(max(p), 6) AS best_score FROM (
+  SELECT 'dequeued' AS event, NULL AS guard, NULL AS decision, NULL AS n, NULL::DOUBLE AS p FROM messages
+  UNION ALL SELECT 'responded', NULL, NULL, NULL, NULL FROM messages
+  UNION ALL SELECT 'parsed', NULL, NULL, NULL, NULL FROM messages WHERE guard <> 'broken'
+  UNION ALL SELECT 'guard', guard, NULL, NULL, NULL FROM messages WHERE guard <> 'broken'
+  UNION ALL SELECT 'persisted', NULL, NULL, NULL, NULL FROM clusters
+  UNION ALL SELECT 'clustered', NULL, CASE WHEN cluster_id = mention_id THEN 'new' ELSE 'join' END, NULL, NULL FROM clusters
+  UNION ALL SELECT 'scored', NULL, NULL, (SELECT count(*) FROM stored_links s WHERE s.mention_id_l = c.mention_id), t.p
+    FROM clusters c LEFT JOIN tops t ON t.ml = c.mention_id) GROUP BY ALL""",
         ),
         "latency_summary": """WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
 SELECT count(*) AS records, round(avg(value), 6) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -253,6 +253,10 @@ def triples(payloads: DataFrame) -> DataFrame:
     return payloads.select("request_key", "content").mapInPandas(_read_batches, TRIPLE_SCHEMA)
 
 
+def _has_type(rdf_type: str) -> Callable[[Column], Column]:
+    return lambda subject: F.array_contains(subject["types"], rdf_type)
+
+
 def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, EntityMapping]) -> DataFrame:
     """Fields of each request's entity, or an error.
 
@@ -278,8 +282,7 @@ def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, Entity
     subject, values = F.lit(None).cast("string"), {field: F.lit(None).cast("string") for field in fields}
     for entity_type, mapping in mappings.items():
         applies = F.col("entity_type") == entity_type
-        owner = F.filter("typed", lambda t, mapping=mapping: F.array_contains(t["types"], mapping.rdf_type))
-        found = F.try_element_at(owner, F.lit(1))["s"]
+        found = F.try_element_at(F.filter("typed", _has_type(mapping.rdf_type)), F.lit(1))["s"]
         subject = F.when(applies, found).otherwise(subject)
         for field, path in mapping.fields.items():
             node = found if path else F.lit(None).cast("string")
