@@ -59,9 +59,9 @@ def joins(weight: Column, threshold: float) -> Column:
 def roots(forest: DataFrame) -> DataFrame:
     """Root of every node by pointer jumping; the depth halves each round.
 
-    `forest` has `node` and `parent` (itself for a root).  A parent outside the forest is final.
+    `forest` is a written table of `node` and `parent` (itself for a root).  A parent outside the forest is final.
     """
-    current = cut(forest.select("node", "parent"))
+    current = forest.select("node", "parent")
     while True:
         upper = current.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
         progress = Observation()
@@ -82,7 +82,7 @@ def assign(best: DataFrame, config: ResolverConfig, stored: DataFrame | None = N
     `stored` holds (arrival_seq, cluster_id) of mentions clustered before.
     """
     parent = F.when(joins(F.col("best_weight"), config.threshold), F.col("best_seq")).otherwise(F.col("arrival_seq"))
-    edges = best.withColumn("parent", parent)
+    edges = cut(best.withColumn("parent", parent))
     inner = edges.where(F.col("arrival_seq") == F.col("profile_id"))
     top = roots(inner.select(F.col("arrival_seq").alias("node"), "parent"))
     founders = edges.where(F.col("parent") == F.col("arrival_seq")).select(

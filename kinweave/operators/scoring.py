@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,27 +37,13 @@ def gamma_columns(config: ResolverConfig) -> list[str]:
     return [gamma(c.field) for c in config.comparisons]
 
 
-def directed_level(present: Column, new: Column, stored: Column, missing: str = "penalise") -> Column:
-    """The level with its missing-value rule.
-
-    A stored NULL is neutral.  A new record's NULL counts as an empty string, i.e. as the else level,
-    unless missing values are neutral on both sides.
-    """
-    new_missing = F.lit(0 if missing == "penalise" else NULL_LEVEL)
-    return F.when(stored.isNull(), NULL_LEVEL).when(new.isNull(), new_missing).otherwise(present)
-
-
 def match_weight(model: Model, comparisons: tuple[Comparison, ...], prefix: str = "gamma_") -> Column:
     """log2 prior odds plus the weight of each level; the NULL level adds 0."""
-    total = F.lit(model.prior_weight)
+    terms = [f"{model.prior_weight!r}D"]
     for comparison in comparisons:
-        term = reduce(
-            lambda chain, p: chain.when(F.col(f"{prefix}{comparison.field}") == p.level, F.lit(p.weight)),
-            model.parameters[comparison.field],
-            F.when(F.col(f"{prefix}{comparison.field}") == NULL_LEVEL, F.lit(0.0)),
-        )
-        total = total + term
-    return total
+        cases = " ".join(f"WHEN {p.level} THEN {p.weight!r}D" for p in model.parameters[comparison.field])
+        terms.append(f"CASE {prefix}{comparison.field} WHEN {NULL_LEVEL} THEN 0.0D {cases} END")
+    return F.expr(" + ".join(terms))
 
 
 def match_probability(weight: Column) -> Column:
@@ -70,7 +54,9 @@ def match_probability(weight: Column) -> Column:
 def graded_pairs(pairs: DataFrame, config: ResolverConfig) -> DataFrame:
     """Directed profile pairs with their levels: `new_*` is the later mention's side, `stored_*` the earlier one's.
 
-    Similarities are symmetric and computed once per pair; only the missing-value rule depends on the direction.
+    Similarities are symmetric and computed once per pair; only the missing-value rule depends on the direction: a
+    stored NULL is neutral, a new record's NULL counts as an empty string, i.e. as the else level, unless missing
+    values are neutral on both sides.
     A direction exists when some mention of its stored profile arrived before the last new one of its new profile.
     """
     keep = [c for c in ("match_key",) if c in pairs.columns]
@@ -81,23 +67,22 @@ def graded_pairs(pairs: DataFrame, config: ResolverConfig) -> DataFrame:
         *[LEVELS[c.kind](F.col(f"a.{c.field}"), F.col(f"b.{c.field}"), c).alias(f"_{c.field}") for c in config.comparisons],
     )
 
-    def direction(new: str, stored: str) -> Column:
-        return F.struct(
-            F.col(f"{new}.profile_id").alias("new_profile"),
-            F.col(f"{stored}.profile_id").alias("stored_profile"),
-            F.col(f"{new}.mentions").alias("new_mentions"),
-            F.col(f"{stored}.mentions").alias("stored_mentions"),
-            F.col(f"{new}.last_new").alias("last_new"),
-            *[
-                directed_level(
-                    F.col(f"_{c.field}"), F.col(f"{new}.{c.field}"), F.col(f"{stored}.{c.field}"), config.missing
-                ).alias(gamma(c.field))
-                for c in config.comparisons
-            ],
+    def direction(new: str, stored: str) -> str:
+        graded = "".join(
+            f", CASE WHEN {stored}.{c.field} IS NULL THEN {NULL_LEVEL} WHEN {new}.{c.field} IS NULL THEN {new_missing}"
+            f" ELSE _{c.field} END AS {gamma(c.field)}"
+            for c in config.comparisons
+        )
+        return (
+            f"struct({new}.profile_id AS new_profile, {stored}.profile_id AS stored_profile, "
+            f"{new}.mentions AS new_mentions, {stored}.mentions AS stored_mentions, {new}.last_new AS last_new{graded})"
         )
 
-    same = F.col("a.profile_id") == F.col("b.profile_id")
-    ways = F.when(same, F.array(direction("b", "a"))).otherwise(F.array(direction("b", "a"), direction("a", "b")))
+    new_missing = 0 if config.missing == "penalise" else NULL_LEVEL
+    ways = F.expr(
+        f"CASE WHEN a.profile_id = b.profile_id THEN array({direction('b', 'a')}) "
+        f"ELSE array({direction('b', 'a')}, {direction('a', 'b')}) END"
+    )
     return (
         levels.select(*keep, F.explode(ways).alias("way"))
         .select("way.*", *keep)

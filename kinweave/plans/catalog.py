@@ -495,7 +495,7 @@ def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
 
     broken = rendered(known.where("s_acctbal > 9000"), 3).withColumn("raw", F.concat(F.lit("{"), "raw"))
     repeated = rendered(known.where("s_acctbal > 5000"), 1)
-    return rendered(known, 0).unionByName(repeated).unionByName(rendered(renamed, 2)).unionByName(broken)
+    return cut(rendered(known, 0).unionByName(repeated).unionByName(rendered(renamed, 2)).unionByName(broken))
 
 
 def _processed(spark: SparkSession, folder: str) -> Outcome:

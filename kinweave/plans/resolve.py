@@ -67,8 +67,31 @@ def resolve(mentions: DataFrame, config: ResolverConfig, stored_clusters: DataFr
     """
     linked = link(mentions, config)
     linked.links = cut(linked.links.select("new_profile", "stored_profile", "match_weight"))
-    carried = [c for c in ("mention_id", "arrival_seq", "is_new", "profile_id") if c in linked.mentions.columns]
-    linked.mentions = cut(linked.mentions.select(*carried))
+    linked.mentions = cut(linked.mentions.select(*_carried(linked.mentions)))
+    return _settle(linked, config, stored_clusters)
+
+
+def resolve_scored(
+    mentions: DataFrame, scores: DataFrame, config: ResolverConfig, stored_clusters: DataFrame | None = None
+) -> Resolution:
+    """Resolve with links scored elsewhere: (mention_id_l, mention_id_r, match_probability) of mentions.
+
+    Links to later mentions and to the mention itself are dropped; every mention is a profile of its own.
+    """
+    own = cut(mentions.withColumn("profile_id", F.col("arrival_seq")).select(*_carried(mentions), "profile_id"))
+    odds = F.log2(F.col("match_probability") / (F.lit(1.0) - F.col("match_probability")))
+    ends = scores.select("mention_id_l", "mention_id_r", odds.alias("match_weight"))
+    for side, name in (("l", "new_profile"), ("r", "stored_profile")):
+        ends = ends.join(own.select(F.col("mention_id").alias(f"mention_id_{side}"), F.col("profile_id").alias(name)), f"mention_id_{side}")
+    links = cut(ends.where("stored_profile < new_profile").select("new_profile", "stored_profile", "match_weight"))
+    return _settle(Linked(own, own, links, links), config, stored_clusters)
+
+
+def _carried(mentions: DataFrame) -> list[str]:
+    return [c for c in ("mention_id", "arrival_seq", "is_new", "profile_id") if c in mentions.columns]
+
+
+def _settle(linked: Linked, config: ResolverConfig, stored_clusters: DataFrame | None) -> Resolution:
     best = clustering.best_match(linked.mentions, linked.links)
     if stored_clusters is None:
         clusters = cut(clustering.assign(best, config))
