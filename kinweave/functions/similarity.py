@@ -198,11 +198,11 @@ def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     present = (left.notna() & right.notna()).to_numpy()
     half = int(present.sum())
     if half:
-        values, code = np.unique(
-            np.concatenate([left[present].to_numpy(dtype=object), right[present].to_numpy(dtype=object)]),
-            return_inverse=True,
-        )
-        result[present] = score_pairs(EncodedStrings(list(values)), code[:half], code[half:])
+        code, values = pd.factorize(pd.concat([left[present], right[present]], ignore_index=True))
+        # A batch repeats the same pairs of values; each is scored once.
+        pairs, where = np.unique(code[:half].astype(np.int64) * len(values) + code[half:], return_inverse=True)
+        scores = score_pairs(EncodedStrings(list(values)), pairs // len(values), pairs % len(values))
+        result[present] = scores[where]
     return pd.Series(result)
 
 
@@ -229,7 +229,7 @@ def similar_within_tiles(cutoff: float):
     """
 
     def finish(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        values, code = np.unique(rows["name"].to_numpy(dtype=object), return_inverse=True)
+        code, values = pd.factorize(rows["name"])
         enc = EncodedStrings(list(values))
         ids, side = rows["value_id"].to_numpy(), rows["side"].to_numpy()
         fresh = rows["fresh_value"].to_numpy(dtype=bool)

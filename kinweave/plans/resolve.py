@@ -67,7 +67,9 @@ def resolve(mentions: DataFrame, config: ResolverConfig, stored_clusters: DataFr
     """
     linked = link(mentions, config)
     linked.links = cut(linked.links.select("new_profile", "stored_profile", "match_weight"))
-    linked.mentions = cut(linked.mentions.select(*_carried(linked.mentions)))
+    linked.mentions = linked.mentions.select(*_carried(linked.mentions))
+    if stored_clusters is not None:
+        linked.mentions = cut(linked.mentions)
     return _settle(linked, config, stored_clusters)
 
 
@@ -95,6 +97,8 @@ def _settle(linked: Linked, config: ResolverConfig, stored_clusters: DataFrame |
     best = clustering.best_match(linked.mentions, linked.links)
     if stored_clusters is None:
         clusters = cut(clustering.assign(best, config))
+        # The written clusters hold every mention; later steps need not derive the profiles again.
+        linked.mentions = clusters.select("mention_id", "arrival_seq", "profile_id")
         return Resolution(linked, clusters, clusters, config)
     before = (
         linked.mentions.where(~F.col("is_new"))
