@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.config import BlockingRule, EqualityRule, NameSimilarityRule, ResolverConfig
-from kinweave.functions.similarity import TILE_PAIR_SCHEMA, similar_within_tiles
+from kinweave.functions.similarity import TILE_PAIR_SCHEMA, jaro_winkler, similar_within_tiles
 from kinweave.functions.text import NORMALISED_SUFFIX, normalise_name
 from kinweave.session import task_slots
 
-TILE_ROWS = 512
+# Values per tile: small blocks make small tiles for parallelism, large ones large tiles for little replication.
+TILE_ROWS = (512, 8192)
+TILES_WANTED = 64
 PROFILES_PER_TILE = 4096
 
 
@@ -64,7 +66,14 @@ def profiles(mentions: DataFrame, config: ResolverConfig) -> DataFrame:
     )
 
 
-def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows: int = TILE_ROWS) -> DataFrame:
+def _tile_count(size: str, least: int, most: int) -> Column:
+    rows = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col(size) / TILES_WANTED)))
+    return F.ceil(F.col(size) / rows).cast("int")
+
+
+def similar_values(
+    values: DataFrame, keys: list[str], cutoff: float, tile_rows: tuple[int, int] = TILE_ROWS
+) -> DataFrame:
     """Pairs of similar `name` values that agree on `keys`, each pair once, with its similarity.
 
     `values` has one row per distinct (keys, name): `value_id`, `name`, `profiles` (how many profiles share it),
@@ -79,8 +88,7 @@ def similar_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows:
         F.count("last_new").alias("fresh"),
     )
     blocks = blocks.where((F.col("size") > 1) & (F.col("fresh") > 0))
-    tiles = F.ceil(F.col("size") / tile_rows).cast("int")
-    fresh_tiles = F.ceil(F.col("fresh") / tile_rows).cast("int")
+    tiles, fresh_tiles = _tile_count("size", *tile_rows), _tile_count("fresh", *tile_rows)
     placed = values.join(blocks, keys).select(
         "block",
         "value_id",
@@ -249,16 +257,27 @@ def rule_pairs(known: DataFrame, rule: BlockingRule, config: ResolverConfig) ->
     return pairs_by_name(known, keys, *needed).unionByName(_pairs_without_name(known, keys, needed[0]))
 
 
+def admits(rule: BlockingRule) -> Column:
+    """Whether a rule admits the pair (a, b)."""
+    if isinstance(rule, EqualityRule):
+        agree = reduce(lambda x, y: x & y, [F.col(f"a.{f}") == F.col(f"b.{f}") for f in rule.fields])
+    else:
+        name = f"{rule.field}{NORMALISED_SUFFIX}"
+        similar = jaro_winkler(F.col(f"a.{name}"), F.col(f"b.{name}")) >= F.lit(rule.min_jaro_winkler)
+        agree = (F.col(f"a.{rule.same}") == F.col(f"b.{rule.same}")) & similar
+    return F.coalesce(agree, F.lit(False))
+
+
 def candidate_pairs(known: DataFrame, config: ResolverConfig) -> DataFrame:
-    """Profile pairs admitted by any rule, each once, with the number of the first rule that admits it."""
-    tagged = [
-        rule_pairs(known, rule, config).withColumn("match_key", F.lit(number)) for number, rule in enumerate(config.rules)
-    ]
-    if len(tagged) == 1:
-        return tagged[0]
-    return (
-        reduce(DataFrame.unionByName, tagged)
-        .groupBy("a.profile_id", F.col("b.profile_id").alias("other_id"))
-        .agg(F.any_value("a").alias("a"), F.any_value("b").alias("b"), F.min("match_key").alias("match_key"))
-        .select("a", "b", "match_key")
-    )
+    """Profile pairs admitted by any rule, each once, with the number of the first rule that admits it.
+
+    A rule leaves out the pairs that an earlier rule admits, which each pair tells by itself; no shuffle removes
+    duplicates.
+    """
+    found = []
+    for number, rule in enumerate(config.rules):
+        pairs = rule_pairs(known, rule, config)
+        for earlier in config.rules[:number]:
+            pairs = pairs.where(~admits(earlier))
+        found.append(pairs.withColumn("match_key", F.lit(number)))
+    return reduce(DataFrame.unionByName, found)

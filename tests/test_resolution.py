@@ -127,7 +127,7 @@ def _brute(rows, settings):
     return links
 
 
-@pytest.mark.parametrize("tile_rows, profile_tile", [(512, 4096), (2, 2)])
+@pytest.mark.parametrize("tile_rows, profile_tile", [((512, 8192), 4096), ((2, 2), 2)])
 def test_links_equal_brute_force_whatever_the_tiles(spark, monkeypatch, tile_rows, profile_tile):
     monkeypatch.setattr(blocking, "PROFILES_PER_TILE", profile_tile)
     monkeypatch.setattr(blocking.similar_values, "__defaults__", (tile_rows,))
@@ -178,3 +178,30 @@ def test_missing_values_depend_on_who_came_first(spark):
         rows = [("a", 0, "Acme", "DEU", first), ("b", 1, "Acme", "DEU", second)]
         found = link(spark.createDataFrame(rows, layout), settings).links.collect()
         assert [r.gamma_post_code for r in found] == [level]
+
+
+def test_each_pair_once_with_its_first_rule(spark):
+    rules = [config.EqualityRule(("nuts_code",)), config.shipped().rules[0], config.EqualityRule(("post_code",))]
+    rows = _corpus(random.Random(6), 60)
+    settings = replace(config.shipped().with_fields(FIELDS), rules=tuple(rules), match_weight_threshold=-60.0)
+    pairs = link(spark.createDataFrame(rows, LAYOUT), settings).pairs
+    found = {}
+    for r in pairs.select("a.profile_id", F.col("b.profile_id").alias("other"), "match_key").collect():
+        assert (r.profile_id, r.other) not in found
+        found[(r.profile_id, r.other)] = r.match_key
+    profiles = {}
+    for row in rows:
+        profiles.setdefault(row[2:], []).append(row[1])
+    heads = {seqs[0]: (key, len(seqs)) for key, seqs in profiles.items()}
+    expected = {}
+    for a in heads:
+        for b in heads:
+            if a > b or (a == b and heads[a][1] == 1):
+                continue
+            l, r = heads[a][0], heads[b][0]
+            enc = EncodedStrings(["".join(filter(str.isalnum, l[0])), "".join(filter(str.isalnum, r[0]))])
+            similar = score_pairs(enc, *(__import__("numpy").array([i]) for i in (0, 1)))[0] >= 0.8
+            hits = [l[2] is not None and l[2] == r[2], l[1] is not None and l[1] == r[1] and similar, l[3] is not None and l[3] == r[3]]
+            if any(hits):
+                expected[(a, b)] = hits.index(True)
+    assert found == expected
