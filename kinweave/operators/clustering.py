@@ -166,44 +166,41 @@ def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame,
         .agg(F.min("first_seq").alias("first_seq"))
         .withColumn("position", F.row_number().over(in_level))
         .where(F.col("position") <= top_n)
+        .groupBy("new_profile", "cluster_id")
+        .agg(F.collect_list(F.struct((-F.col("match_weight")).alias("order"), "first_seq")).alias("steps"))
         .groupBy(F.col("new_profile").alias("profile_id"))
-        .agg(F.collect_list(F.struct("match_weight", "first_seq", "cluster_id")).alias("choices"))
+        .agg(F.collect_list(F.struct("cluster_id", "steps")).alias("choices"))
     )
-    own = _only_new(mentions).select("mention_id").join(clusters, "mention_id")
-    earlier = F.filter("choices", lambda c: c["first_seq"] < F.col("arrival_seq"))
-    offered = F.concat(
-        F.coalesce(earlier, F.array().cast("array<struct<match_weight:double,first_seq:bigint,cluster_id:string>>")),
-        F.array(
-            F.struct(
-                F.lit(None).cast("double").alias("match_weight"),
-                F.col("arrival_seq").alias("first_seq"),
-                F.col("cluster_id"),
-            )
-        ),
-    )
-    order = Window.partitionBy("mention_id").orderBy(F.col("best.match_weight").desc_nulls_last(), F.col("first_seq"))
+    # Per mention everything happens inside one array: the best step of each cluster that had arrived, the own
+    # cluster at the end of the order where nothing links to it, and the cut.
+    ranked = """
+        slice(sort_array(
+          CASE WHEN exists(found, f -> f.cluster_id = own_cluster) THEN found
+               ELSE concat(found, array(struct(double('Infinity') AS order, arrival_seq AS first_seq, own_cluster AS cluster_id)))
+          END), 1, {top_n})"""
+    found = """
+        transform(
+          filter(
+            transform(
+              coalesce(choices, array()),
+              c -> struct(array_min(filter(c.steps, s -> s.first_seq < arrival_seq)) AS best, c.cluster_id AS cluster_id)),
+            f -> f.best IS NOT NULL),
+          f -> struct(f.best.order AS order, f.best.first_seq AS first_seq, f.cluster_id AS cluster_id))"""
     return (
-        own.join(choices, "profile_id", "left")
-        .select("mention_id", "arrival_seq", F.col("cluster_id").alias("own_cluster"), F.explode(offered).alias("offer"))
-        .groupBy("mention_id", "arrival_seq", "own_cluster", F.col("offer.cluster_id").alias("cluster_id"))
-        .agg(
-            F.max(
-                F.when(
-                    F.col("offer.match_weight").isNotNull(),
-                    F.struct("offer.match_weight", (-F.col("offer.first_seq")).alias("order")),
-                )
-            ).alias("best")
-        )
-        .withColumn("first_seq", F.coalesce(-F.col("best.order"), F.col("arrival_seq")))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_n)
+        _only_new(mentions)
+        .select("mention_id")
+        .join(clusters, "mention_id")
+        .withColumnRenamed("cluster_id", "own_cluster")
+        .join(choices, "profile_id", "left")
+        .withColumn("found", F.expr(found))
+        .select("mention_id", "arrival_seq", "own_cluster", F.posexplode(F.expr(ranked.format(top_n=top_n))).alias("position", "offer"))
         .select(
             "mention_id",
             "arrival_seq",
             "own_cluster",
-            "cluster_id",
-            F.coalesce(scoring.match_probability(F.col("best.match_weight")), F.lit(0.0)).alias("score"),
-            "rank",
+            "offer.cluster_id",
+            scoring.match_probability(-F.col("offer.order")).alias("score"),
+            (F.col("position") + 1).alias("rank"),
         )
     )
 
