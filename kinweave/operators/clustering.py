@@ -255,3 +255,15 @@ def members(clusters: DataFrame, chunk: int = 100_000) -> DataFrame:
             F.col("found.mention_id").alias("mention_ids"),
         )
     )
+
+
+def cluster_of(ids: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Cluster of each asked id; an id that was never resolved is an error row, not a lost one."""
+    return ids.join(clusters.select("mention_id", "cluster_id"), "mention_id", "left").withColumn(
+        "lookup_error", F.when(F.col("cluster_id").isNull(), F.lit("The mention was never resolved"))
+    )
+
+
+def listing(clusters: DataFrame, mentions: DataFrame, name: str = "legal_name") -> DataFrame:
+    """Members with their names, one row per mention.  The cluster table decides, not the top candidate."""
+    return clusters.select("cluster_id", "mention_id").join(mentions.select("mention_id", name), "mention_id")

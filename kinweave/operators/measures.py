@@ -81,3 +81,9 @@ def batch_summary(frame: DataFrame, batch: str, payload: str, stage: str, value:
         F.sum(value).alias("total_ms"),
         *[F.coalesce(F.sum(F.when(F.col(stage) == s, F.col(value))), F.lit(0.0)).alias(f"{s}_ms") for s in stages],
     )
+
+
+def write_report(summary: DataFrame, records: DataFrame, folder: str) -> None:
+    """Write a run's summary and its per-record metrics as JSON."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+    records.write.mode("overwrite").json(f"{folder}/records")

@@ -264,6 +264,15 @@ def clusters_for(spark: SparkSession, folder: str) -> DataFrame:
     return done.clusters.join(linked, "mention_id", "left_semi").select("mention_id", "cluster_id")
 
 
+def cluster_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    asked = views.table(spark, folder, "conversations").select(F.concat(F.lit("p"), F.col("conv_id") * 25).alias("mention_id"))
+    return clustering.cluster_of(asked.distinct(), _parts(spark, folder).clusters)
+
+
+def cluster_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.listing(_parts(spark, folder).clusters, views.parts(spark, folder))
+
+
 # --- guards ----------------------------------------------------------------------------------------------------
 
 
@@ -578,6 +587,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         requery_candidates,
         links_either_side,
         clusters_for,
+        cluster_lookup,
+        cluster_listing,
         conflict_guard,
         idempotent_split,
         in_batch_guard,

@@ -389,6 +389,14 @@ scored AS (SELECT mention_id, cluster_id, max(p) AS p FROM offers GROUP BY 1, 2)
             f"{part_clusters},\n{_stored(100)}",
             "SELECT mention_id, cluster_id FROM clusters WHERE mention_id IN (SELECT mention_id_r FROM stored_links)",
         ),
+        "cluster_lookup": _with(
+            part_clusters,
+            """SELECT a.mention_id, c.cluster_id, CASE WHEN c.cluster_id IS NULL THEN 'The mention was never resolved' END AS lookup_error
+FROM (SELECT DISTINCT 'p' || conv_id * 25 AS mention_id FROM conversations) a LEFT JOIN clusters c USING (mention_id)""",
+        ),
+        "cluster_listing": _with(
+            part_clusters, "SELECT c.cluster_id, m.mention_id, m.legal_name FROM clusters c JOIN mentions m USING (mention_id)"
+        ),
         "conflict_guard": f"""WITH {SUBMISSIONS}
 SELECT i.mention_id, i.turn FROM incoming i JOIN stored s USING (mention_id)
 WHERE i.text IS DISTINCT FROM s.text OR i.role IS DISTINCT FROM s.role""",

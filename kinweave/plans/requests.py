@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.config import EqualityRule, ResolverConfig
@@ -14,7 +14,9 @@ from kinweave.operators import blocking, clustering, guards, scoring
 from kinweave.plans.resolve import resolve
 from kinweave.session import cut
 from kinweave.sources import rdf, requests
+from kinweave.sources.tables import LINK_LAYOUT
 
+SETTLED_LAYOUT = "mention_id string, arrival_seq long, profile_id long, cluster_id string, best_weight double, best_seq long"
 CANDIDATES = "array<struct<cluster_id:string,score:double>>"
 
 
@@ -93,35 +95,42 @@ def process(
     messages = cut(read_requests(raw, config, mappings))
     fields = list(config.entity_fields)
     sound = blocking.with_normalised(messages.where("error_type is null"), config)
-    judged = cut(guards.guard(sound, stored.mentions, fields))
+    seen = Observation()
+    outcomes = (guards.NEW, guards.REPEAT, guards.IDEMPOTENT)
+    judged = cut(
+        guards.guard(sound, stored.mentions, fields),
+        seen,
+        *[F.count_if(F.col("guard") == outcome).alias(outcome) for outcome in outcomes],
+    )
     columns = ["mention_id", "arrival_seq", *[c for c in stored.mentions.columns if c not in ("mention_id", "arrival_seq")]]
     new = judged.where(F.col("guard") == guards.NEW).select(*columns)
-    everything = (
-        in_reach(stored.mentions, new, config)
-        .select(*columns)
-        .withColumn("is_new", F.lit(False))
-        .unionByName(new.withColumn("is_new", F.lit(True)))
-    )
-    done = resolve(everything, config, stored.clusters)
-    links = cut(done.stored_links())
-    clusters = done.clusters.select("mention_id", "arrival_seq", "cluster_id")
-
-    first = _listed(done.candidates())
-    repeats = judged.where(F.col("guard") == guards.REPEAT).select("mention_id").distinct()
-    known = judged.where(F.col("guard") == guards.IDEMPOTENT).select("mention_id").distinct()
     owners = stored.clusters.select("mention_id", "cluster_id")
-    after = clustering.requery(
-        stored.links.unionByName(links), owners.unionByName(clusters.select("mention_id", "cluster_id")), config.top_n, repeats
-    )
-    before = clustering.requery(stored.links, owners, config.top_n, known)
-    answers = (
-        _listed(before)
-        .withColumn("guard", F.lit(guards.IDEMPOTENT))
-        .unionByName(_listed(after).withColumn("guard", F.lit(guards.REPEAT)))
-        .unionByName(first.withColumn("guard", F.lit(guards.NEW)))
-    )
+    answers = []
+    if seen.get[guards.NEW]:
+        everything = (
+            in_reach(stored.mentions, new, config)
+            .select(*columns)
+            .withColumn("is_new", F.lit(False))
+            .unionByName(new.withColumn("is_new", F.lit(True)))
+        )
+        done = resolve(everything, config, stored.clusters)
+        links, settled = cut(done.stored_links()), done.clusters
+        answers.append(_listed(done.candidates()).withColumn("guard", F.lit(guards.NEW)))
+    else:
+        links = raw.sparkSession.createDataFrame([], LINK_LAYOUT)
+        settled = raw.sparkSession.createDataFrame([], SETTLED_LAYOUT)
+    clusters = settled.select("mention_id", "arrival_seq", "cluster_id")
+    # Stored mentions are answered from the state before the batch, repeats within it from the state after it.
+    after = (stored.links.unionByName(links), owners.unionByName(clusters.select("mention_id", "cluster_id")))
+    for outcome, (known_links, known_clusters) in ((guards.IDEMPOTENT, (stored.links, owners)), (guards.REPEAT, after)):
+        if seen.get[outcome]:
+            ids = judged.where(F.col("guard") == outcome).select("mention_id").distinct()
+            ranked = clustering.requery(known_links, known_clusters, config.top_n, ids)
+            answers.append(_listed(ranked).withColumn("guard", F.lit(outcome)))
+    if not answers:
+        answers.append(raw.sparkSession.createDataFrame([], f"mention_id string, candidates {CANDIDATES}, guard string"))
     envelope = ["arrival_seq", "request_id", "source_id", "entity_type", "ere_request_id"]
-    answered = judged.join(answers, ["mention_id", "guard"], "left")
+    answered = judged.join(reduce(DataFrame.unionByName, answers), ["mention_id", "guard"], "left")
     conflict = F.col("guard") == guards.CONFLICT
     detail = F.concat(F.lit("Mention "), F.col("mention_id"), F.lit(" was already submitted with other attributes"))
     responses = answered.select(
@@ -139,7 +148,7 @@ def process(
         mentions=new,
         links=links,
         clusters=clusters,
-        events=events(messages, judged, done.clusters, links, answered_at),
+        events=events(messages, judged, settled, links, answered_at),
     )
 
 

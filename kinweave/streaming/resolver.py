@@ -19,9 +19,16 @@ MESSAGE_LAYOUT = "arrival_seq long, raw string"
 TRAINED, FAILED, SKIPPED = "trained", "failed", "skipped"
 
 
-def message_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Request messages from JSON files with `arrival_seq` and `raw`; the rate is bounded per batch."""
-    return spark.readStream.schema(MESSAGE_LAYOUT).option("maxFilesPerTrigger", files_per_batch).json(folder)
+def message_stream(
+    spark: SparkSession, folder: str, files_per_batch: int | None = 1, bytes_per_batch: int | None = None
+) -> DataFrame:
+    """Request messages from JSON files with `arrival_seq` and `raw`; a batch is bounded by files or by bytes."""
+    reader = spark.readStream.schema(MESSAGE_LAYOUT)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(folder)
 
 
 def train_once(tables: StateTables, source: str, load_error: str | None) -> str:
