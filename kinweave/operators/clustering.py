@@ -210,15 +210,14 @@ def requery(stored_links: DataFrame, clusters: DataFrame, top_n: int, ids: DataF
 
     `stored_links` holds mention_id_l, mention_id_r and match_probability at rest (float).
     """
-    owners = clusters if ids is None else clusters.join(ids, "mention_id", "left_semi")
+    owners, ends = clusters, links_either_side(stored_links)
+    if ids is not None:
+        owners, ends = owners.join(ids, "mention_id", "left_semi"), ends.join(ids, "mention_id", "left_semi")
     own = owners.select("mention_id", "cluster_id", F.lit(0.0).cast("float").alias("score"))
     linked = (
-        links_either_side(stored_links)
-        .join(clusters.select(F.col("mention_id").alias("other_id"), "cluster_id"), "other_id")
+        ends.join(clusters.select(F.col("mention_id").alias("other_id"), "cluster_id"), "other_id")
         .select("mention_id", "cluster_id", F.col("match_probability").alias("score"))
     )
-    if ids is not None:
-        linked = linked.join(ids, "mention_id", "left_semi")
     order = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), "cluster_id")
     return (
         linked.unionByName(own)

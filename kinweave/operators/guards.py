@@ -52,8 +52,13 @@ def in_batch(incoming: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def guard(incoming: DataFrame, stored: DataFrame, fields: list[str]) -> DataFrame:
-    """Add `guard` against stored records first, then within the batch."""
-    known = stored.select("mention_id", digest(fields).alias("_stored_digest"))
+    """Add `guard` against stored records first, then within the batch.
+
+    Only stored records with an incoming id are looked at, so a small batch is sent to the stored table and not
+    the other way round.
+    """
+    asked = stored.join(incoming.select("mention_id").distinct(), "mention_id", "left_semi")
+    known = asked.select("mention_id", digest(fields).alias("_stored_digest"))
     checked = in_batch(incoming, fields).join(known, "mention_id", "left")
     return checked.withColumn(
         "guard",

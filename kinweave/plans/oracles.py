@@ -195,7 +195,7 @@ FROM ({" UNION ALL ".join(parts)})"""
 def _blocking_recall() -> str:
     rows = [
         f"SELECT '{rule}' AS rule, reference, count(*) FILTER (WHERE {rule}) AS admitted, "
-        "coalesce(sum(CASE WHEN found THEN 1 END), 0) AS reference_pairs FROM refs GROUP BY reference"
+        "count(*) FILTER (WHERE found) AS reference_pairs FROM refs GROUP BY reference"
         for rule in ("prefix", "post_code", "nuts_code")
     ]
     agree = ", ".join(f"l.{c} = r.{c} AS {c}" for c in ("prefix", "post_code", "nuts_code"))
@@ -468,7 +468,7 @@ FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN later l USING (m
         "lifecycle_events": _with(
             f"{supplier_clusters},\n{_stored(100)},\n{MESSAGES},\n"
             f"""tops AS (SELECT ml, max({PROBABILITY}) AS p FROM links GROUP BY 1)""",
-            """SELECT event, guard, decision, count(*) AS events, sum(n) AS stored_links, round(max(p), 6) AS best_score FROM (
+            """SELECT event, guard, decision, count(*) AS events, CAST(sum(n) AS BIGINT) AS stored_links, round(max(p), 6) AS best_score FROM (
   SELECT 'dequeued' AS event, NULL AS guard, NULL AS decision, NULL AS n, NULL::DOUBLE AS p FROM messages
   UNION ALL SELECT 'responded', NULL, NULL, NULL, NULL FROM messages
   UNION ALL SELECT 'parsed', NULL, NULL, NULL, NULL FROM messages WHERE guard <> 'broken'
@@ -489,6 +489,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY value) AS i,
 SELECT window_no AS "window", count(*) AS records, round(avg(value), 6) AS mean_ms,
   max(CASE WHEN i = greatest(CAST(floor(n * 0.95::DOUBLE) AS BIGINT), 1) THEN value END) AS p95_ms,
   count(*) FILTER (WHERE event_type = 'click') AS clicks FROM r GROUP BY window_no""",
-        "batch_summary": f"""SELECT user_id AS batch_id, count(*) AS batch_size, sum(octet_length(encode(props))) AS payload_bytes,
+        "batch_summary": f"""SELECT user_id AS batch_id, count(*) AS batch_size, CAST(sum(octet_length(encode(props))) AS BIGINT) AS payload_bytes,
   round(sum(value), 4) AS total_ms, {stages} FROM events GROUP BY 1""",
     }
