@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 
 JARO_WINKLER = "jaro_winkler"
 EXACT_MATCH = "exact_match"
-COMPARISON_KINDS = (JARO_WINKLER, EXACT_MATCH)
+# Kinds of comparison known by name; `scoring.register` adds further ones.
+COMPARISON_KINDS = [JARO_WINKLER, EXACT_MATCH]
 DEFAULT_THRESHOLDS = (0.9, 0.8)
 DEFAULT_TRAIN_AT = 200
 RULE_KEYS = ("same", "similar")
@@ -164,7 +165,9 @@ def _comparison(entry: dict) -> Comparison:
     kind = entry.get("type")
     if kind not in COMPARISON_KINDS:
         raise ValueError(f"Comparison type {kind!r} is not one of {', '.join(COMPARISON_KINDS)}")
-    thresholds = tuple(entry.get("thresholds", DEFAULT_THRESHOLDS)) if kind == JARO_WINKLER else ()
+    thresholds = tuple(entry.get("thresholds", DEFAULT_THRESHOLDS if kind == JARO_WINKLER else ()))
+    if kind == EXACT_MATCH:
+        thresholds = ()
     return Comparison(kind, entry["field"], thresholds)
 
 

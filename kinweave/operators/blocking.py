@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.config import BlockingRule, EqualityRule, NameSimilarityRule, ResolverConfig
+from kinweave.config import JARO_WINKLER, BlockingRule, EqualityRule, NameSimilarityRule, ResolverConfig
 from kinweave.functions.similarity import TILE_PAIR_SCHEMA, jaro_winkler, similar_within_tiles
 from kinweave.functions.text import NORMALISED_SUFFIX, normalise_name
 from kinweave.session import task_slots
@@ -228,7 +228,7 @@ def required_similarity(config: ResolverConfig) -> tuple[str, float] | None:
         c.field: max([0.0, *(p.weight for p in config.model.parameters[c.field])]) for c in config.comparisons
     }
     for comparison in config.comparisons:
-        if not comparison.thresholds:
+        if comparison.kind != JARO_WINKLER:
             continue
         others = config.model.prior_weight + sum(w for f, w in best.items() if f != comparison.field)
         cutoffs = (1.0, *comparison.thresholds)

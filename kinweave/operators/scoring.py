@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.config import EXACT_MATCH, JARO_WINKLER, Comparison, Model, ResolverConfig
+from kinweave.config import COMPARISON_KINDS, EXACT_MATCH, JARO_WINKLER, Comparison, Model, ResolverConfig
 from kinweave.functions.similarity import jaro_winkler
 
 NULL_LEVEL = -1
@@ -29,6 +31,13 @@ def exact_level(left: Column, right: Column, comparison: Comparison) -> Column:
 LEVELS = {JARO_WINKLER: jaro_winkler_level, EXACT_MATCH: exact_level}
 
 
+def register(kind: str, level: Callable[[Column, Column, Comparison], Column]) -> None:
+    """Add a kind of comparison: `level` grades two present values, 0 for the else level, rising with similarity."""
+    LEVELS[kind] = level
+    if kind not in COMPARISON_KINDS:
+        COMPARISON_KINDS.append(kind)
+
+
 def gamma(name: str) -> str:
     return f"gamma_{name}"
 

@@ -486,8 +486,7 @@ def rdf_prefix_resolve(spark: SparkSession, folder: str) -> DataFrame:
 def rdf_property_path(spark: SparkSession, folder: str) -> DataFrame:
     parsed = requests.parse(_page_requests(spark, folder).select("arrival_seq", "raw"))
     payloads = parsed.withColumnRenamed("arrival_seq", "request_key")
-    mapped = rdf.attributes(payloads.select("request_key", "entity_type"), rdf.triples(payloads), rdf.shipped_mappings())
-    return mapped.drop("entity_type")
+    return rdf.turtle_mapper(rdf.shipped_mappings())(payloads)
 
 
 def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -514,7 +513,7 @@ def _processed(spark: SparkSession, folder: str) -> Outcome:
         spark.createDataFrame([], tables.LINK_LAYOUT),
         spark.createDataFrame([], tables.CLUSTER_LAYOUT),
     )
-    return process(_supplier_messages(spark, folder), stored, config, rdf.shipped_mappings())
+    return process(_supplier_messages(spark, folder), stored, config, rdf.turtle_mapper(rdf.shipped_mappings()))
 
 
 def process_requests(spark: SparkSession, folder: str) -> DataFrame:

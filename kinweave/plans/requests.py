@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,9 +14,10 @@ from kinweave.functions.text import mention_id, queue_wait_ms
 from kinweave.operators import blocking, clustering, guards, scoring
 from kinweave.plans.resolve import resolve
 from kinweave.session import cut
-from kinweave.sources import rdf, requests
+from kinweave.sources import requests
 from kinweave.sources.tables import LINK_LAYOUT
 
+Mapper = Callable[[DataFrame], DataFrame]
 SETTLED_LAYOUT = "mention_id string, arrival_seq long, profile_id long, cluster_id string, best_weight double, best_seq long"
 CANDIDATES = "array<struct<cluster_id:string,score:double>>"
 
@@ -40,14 +42,15 @@ class Outcome:
     events: DataFrame
 
 
-def read_requests(raw: DataFrame, config: ResolverConfig, mappings: dict[str, rdf.EntityMapping]) -> DataFrame:
+def read_requests(raw: DataFrame, config: ResolverConfig, mapper: Mapper) -> DataFrame:
     """Messages with mention id, entity fields, and error type and detail where a message is unusable.
 
-    `raw` has `arrival_seq`, the unique position of the message, and `raw`.
+    `raw` has `arrival_seq`, the unique position of the message, and `raw`.  `mapper` turns payloads (request_key,
+    entity_type, content) into request_key, fields and mapping_error.
     """
     parsed = requests.parse(raw)
     payloads = parsed.where("parse_error is null").withColumnRenamed("arrival_seq", "request_key")
-    mapped = rdf.attributes(payloads.select("request_key", "entity_type"), rdf.triples(payloads), mappings).drop("entity_type")
+    mapped = mapper(payloads)
     absent = [F.lit(None).cast("string").alias(f) for f in config.entity_fields if f not in mapped.columns]
     kept = mapped.select(
         F.col("request_key").alias("arrival_seq"), "mapping_error", *[f for f in config.entity_fields if f in mapped.columns], *absent
@@ -87,12 +90,12 @@ def process(
     raw: DataFrame,
     stored: Stored,
     config: ResolverConfig,
-    mappings: dict[str, rdf.EntityMapping],
+    mapper: Mapper,
     answered_at: Column | None = None,
 ) -> Outcome:
     """One batch of requests against the stored state."""
     answered_at = F.current_timestamp() if answered_at is None else answered_at
-    messages = cut(read_requests(raw, config, mappings))
+    messages = cut(read_requests(raw, config, mapper))
     fields = list(config.entity_fields)
     sound = blocking.with_normalised(messages.where("error_type is null"), config)
     seen = Observation()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,3 +27,11 @@ def read_json(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     rows = document.select(F.posexplode("mentions").alias("arrival_seq", "m")).select("arrival_seq", "m.*")
     present = [f for f in ("request_id", "source_id", "entity_type", *fields) if f in rows.columns]
     return rows.select(F.col("arrival_seq").cast("long").alias("arrival_seq"), *present)
+
+
+def number_arrivals(batch: DataFrame, after: int, *order: Column | str) -> DataFrame:
+    """Number the rows of one bounded batch in the given order, continuing after the last stored arrival.
+
+    A whole corpus needs its own arrival column: numbering it here would sort it in one task.
+    """
+    return batch.withColumn("arrival_seq", F.lit(after) + F.row_number().over(Window.orderBy(*order)))

@@ -296,3 +296,15 @@ def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, Entity
         .when(subject.isNull(), F.lit("The RDF content holds no entity of the mapped type"))
     )
     return known.select(*requests.columns, *[values[f].alias(f) for f in fields], error.alias("mapping_error"))
+
+
+def turtle_mapper(mappings: dict[str, EntityMapping]) -> Callable[[DataFrame], DataFrame]:
+    """Mapper of Turtle payloads: (request_key, entity_type, content) to request_key, fields and mapping_error.
+
+    Any function of this form can take its place for other payloads.
+    """
+
+    def run(payloads: DataFrame) -> DataFrame:
+        return attributes(payloads.select("request_key", "entity_type"), triples(payloads), mappings).drop("entity_type")
+
+    return run

@@ -10,9 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinweave.config import ResolverConfig
 from kinweave.operators import training
-from kinweave.plans.requests import Stored, process
+from kinweave.plans.requests import Mapper, Stored, process
 from kinweave.session import cut
-from kinweave.sources.rdf import EntityMapping
 from kinweave.sources.tables import StateTables
 
 MESSAGE_LAYOUT = "arrival_seq long, raw string"
@@ -51,12 +50,12 @@ def train_at_start(tables: StateTables) -> str:
     return train_once(tables, source, load_error)
 
 
-def resolve_micro_batch(tables: StateTables, mappings: dict[str, EntityMapping], messages: DataFrame, batch_id: int) -> None:
+def resolve_micro_batch(tables: StateTables, mapper: Mapper, messages: DataFrame, batch_id: int) -> None:
     """Resolve one batch all-or-nothing: a repeated batch sees the state before it and replaces its own rows."""
     active, source, load_error = tables.load_model()
     before = tables.stored_mentions(batch_id)
     stored = Stored(tables.mentions(batch_id), tables.links(batch_id), tables.clusters(batch_id))
-    outcome = process(cut(messages.select("arrival_seq", "raw")), stored, active, mappings)
+    outcome = process(cut(messages.select("arrival_seq", "raw")), stored, active, mapper)
     counted = Observation()
     tables.write(
         batch_id,
@@ -75,7 +74,7 @@ def resolve_micro_batch(tables: StateTables, mappings: dict[str, EntityMapping],
 def start(
     messages: DataFrame,
     tables: StateTables,
-    mappings: dict[str, EntityMapping],
+    mapper: Mapper,
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     **trigger,
@@ -84,7 +83,7 @@ def start(
     train_at_start(tables)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        resolve_micro_batch(tables, mappings, batch, batch_id)
+        resolve_micro_batch(tables, mapper, batch, batch_id)
         if on_batch is not None:
             on_batch(batch, batch_id)
 

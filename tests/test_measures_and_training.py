@@ -94,3 +94,32 @@ def test_training_decision():
     assert not training.should_train(200, 240, settings, training.COLD_START)
     assert not training.should_train(150, 199, settings, training.COLD_START)
     assert not training.should_train(190, 240, settings, training.PERSISTED)
+
+
+def test_report_and_arrival_numbers(spark, tmp_path):
+    records = spark.createDataFrame([(1.0,), (2.0,), (9.0,)], "v double")
+    measures.write_report(measures.latency_summary(records, "v"), records, str(tmp_path))
+    row = spark.read.json(str(tmp_path / "summary")).first()
+    assert (row.records, row.median_ms, row.p95_ms, row.max_ms) == (3, 2.0, 9.0, 9.0)
+    assert spark.read.json(str(tmp_path / "records")).count() == 3
+    from kinweave.sources.mentions import number_arrivals
+
+    numbered = number_arrivals(records, 10, F.desc("v")).orderBy("arrival_seq").collect()
+    assert [(r.v, r.arrival_seq) for r in numbered] == [(9.0, 11), (2.0, 12), (1.0, 13)]
+
+
+def test_registered_comparison(spark, monkeypatch):
+    import copy
+
+    from kinweave.operators import scoring
+    from kinweave.plans.resolve import link
+
+    monkeypatch.setattr(scoring, "LEVELS", dict(scoring.LEVELS))
+    monkeypatch.setattr(config, "COMPARISON_KINDS", scoring.COMPARISON_KINDS)
+    scoring.register("same_start", lambda l, r, c: F.when(F.left(l, F.lit(2)) == F.left(r, F.lit(2)), 1).otherwise(0))
+    raw = copy.deepcopy(config.SHIPPED)
+    raw["splink"]["comparisons"][2] = {"type": "same_start", "field": "post_code"}
+    settings = config.ResolverConfig.from_dict(raw).with_fields(["legal_name", "country_code", "post_code"])
+    rows = [("a", 0, "Acme", "DEU", "1011"), ("b", 1, "Acme", "DEU", "1099")]
+    assert [r.gamma_post_code for r in link(spark.createDataFrame(rows, LAYOUT), settings).links.collect()] == [1]
+    scoring.COMPARISON_KINDS.remove("same_start")

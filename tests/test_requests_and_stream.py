@@ -10,6 +10,7 @@ from kinweave.sources import mentions, rdf, requests, tables
 from kinweave.streaming import resolver
 
 MAPPED = rdf.shipped_mappings()
+MAPPER = rdf.turtle_mapper(MAPPED)
 PAYLOAD = """@prefix org: <http://www.w3.org/ns/org#> .
 @prefix cccev: <http://data.europa.eu/m8g/> .
 @prefix epo: <http://data.europa.eu/a4g/ontology#> .
@@ -75,7 +76,7 @@ def test_one_answer_per_request_in_order(spark):
         spark.createDataFrame([], tables.LINK_LAYOUT),
         spark.createDataFrame([], tables.CLUSTER_LAYOUT),
     )
-    before = process(_frame(spark, [_message(0, "seen", "Acme Industries GmbH")]), stored, settings, MAPPED)
+    before = process(_frame(spark, [_message(0, "seen", "Acme Industries GmbH")]), stored, settings, MAPPER)
     stored = Stored(before.mentions, before.links, before.clusters.select("mention_id", "arrival_seq", "cluster_id"))
     rows = [
         _message(1, "fresh", "ACME-Industries GmbH."),
@@ -88,7 +89,7 @@ def test_one_answer_per_request_in_order(spark):
         _message(8, "blank", "x", content=" "),
         (9, json.dumps({"type": "FullRebuildRequest"})),
     ]
-    done = process(_frame(spark, rows), stored, settings, MAPPED)
+    done = process(_frame(spark, rows), stored, settings, MAPPER)
     found = _answers(done.responses)
     assert sorted(found) == list(range(1, 10))
     errors = {n: a.get("error_type") for n, a in found.items()}
@@ -108,7 +109,7 @@ def test_one_answer_per_request_in_order(spark):
 
 def _stream(spark, folder, settings):
     state = tables.StateTables(spark, f"{folder}/state", settings)
-    query = resolver.start(resolver.message_stream(spark, f"{folder}/in"), state, MAPPED, f"{folder}/checkpoint", availableNow=True)
+    query = resolver.start(resolver.message_stream(spark, f"{folder}/in"), state, MAPPER, f"{folder}/checkpoint", availableNow=True)
     query.awaitTermination()
     return state
 
@@ -169,3 +170,22 @@ def test_files(spark, tmp_path):
     bad.write_text('{"name": "x"}')
     with pytest.raises(ValueError, match="mentions"):
         mentions.read_json(spark, str(bad), ["legal_name"])
+
+
+def test_another_payload_format_needs_only_a_mapper(spark):
+    settings = config.shipped().with_fields(["legal_name", "country_code"])
+    stored = Stored(
+        spark.createDataFrame([], tables.mention_layout(settings)),
+        spark.createDataFrame([], tables.LINK_LAYOUT),
+        spark.createDataFrame([], tables.CLUSTER_LAYOUT),
+    )
+
+    def plain(payloads):
+        cells = F.split("content", ";")
+        return payloads.select(
+            "request_key", cells[0].alias("legal_name"), cells[1].alias("country_code"), F.lit(None).cast("string").alias("mapping_error")
+        )
+
+    rows = [_message(1, "a", "", content="Acme GmbH;DEU"), _message(2, "b", "", content="Acme GmbH.;DEU")]
+    done = process(_frame(spark, rows), stored, settings, plain)
+    assert done.clusters.select("cluster_id").distinct().count() == 1
