@@ -20,6 +20,8 @@ from kinweave.session import task_slots
 # Values per tile: small blocks make small tiles for parallelism, large ones large tiles for little replication.
 TILE_ROWS = (512, 8192)
 TILES_WANTED = 64
+# Profiles up to this measured size are sent to every task; beyond it, pairs and profiles are sorted and merged.
+SMALL_BYTES = 32 << 20
 PROFILES_PER_TILE = 4096
 
 
@@ -148,30 +150,28 @@ def _tiles(profiles_column: str = "profiles") -> Column:
 
 
 def _spread(known: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Profiles under the id of their value; a value with very many profiles is spread over several tiles.
-
-    Pairs far outnumber profiles, so the profiles keep their own number of partitions.
-    """
+    """Profiles under the id of their value; a value with very many profiles is spread over several tiles."""
     sized = values.select(*keys, "value_id", _tiles().alias("tiles"))
-    return (
-        known.join(sized, keys)
-        .select(
-            "value_id",
-            F.pmod(F.xxhash64("profile_id"), F.col("tiles")).cast("int").alias("tile"),
-            F.struct(*[c for c in known.columns if c != "profile_key"]).alias("profile"),
-        )
-        .repartition(task_slots(known.sparkSession), "value_id", "tile")
+    return known.join(sized, keys).select(
+        "value_id",
+        F.pmod(F.xxhash64("profile_id"), F.col("tiles")).cast("int").alias("tile"),
+        F.struct(*[c for c in known.columns if c != "profile_key"]).alias("profile"),
     )
 
 
-def _expand(value_pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Profile pairs (a, b) of value pairs, addressed by (value, tile) so that no join key is unbounded."""
+def _expand(value_pairs: DataFrame, left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
+    """Profile pairs (a, b) of value pairs, addressed by (value, tile) so that no join key is unbounded.
+
+    The planner cannot foresee how many pairs come out of a similarity join, so it is told which side to move:
+    the profiles where their measured size is small, both sides otherwise, the pairs never by broadcast.
+    """
+    way = "broadcast" if small else "merge"
     addressed = value_pairs.withColumn("l_tile", F.explode(F.sequence(F.lit(0), F.col("l_tiles") - 1))).withColumn(
         "r_tile", F.explode(F.sequence(F.lit(0), F.col("r_tiles") - 1))
     )
     a = left.select(F.col("value_id").alias("l_value"), F.col("tile").alias("l_tile"), F.col("profile").alias("a"))
     b = right.select(F.col("value_id").alias("r_value"), F.col("tile").alias("r_tile"), F.col("profile").alias("b"))
-    return addressed.join(a, ["l_value", "l_tile"]).join(b, ["r_value", "r_tile"])
+    return addressed.join(a.hint(way), ["l_value", "l_tile"]).join(b.hint(way), ["r_value", "r_tile"])
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -186,38 +186,43 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_itself(values: DataFrame) -> DataFrame:
-    return values.where("last_new is not null").select(
-        F.col("value_id").alias("l_value"),
-        F.col("value_id").alias("r_value"),
-        _tiles().alias("l_tiles"),
-        _tiles().alias("r_tiles"),
+    """Each value with itself; few rows with much work behind them, so they keep their number of partitions."""
+    return (
+        values.where("last_new is not null")
+        .select(
+            F.col("value_id").alias("l_value"),
+            F.col("value_id").alias("r_value"),
+            _tiles().alias("l_tiles"),
+            _tiles().alias("r_tiles"),
+        )
+        .repartition(task_slots(values.sparkSession), "l_value")
     )
 
 
-def pairs_by_name(known: DataFrame, keys: list[str], name: str, cutoff: float) -> DataFrame:
+def pairs_by_name(known: DataFrame, keys: list[str], name: str, cutoff: float, small: bool = False) -> DataFrame:
     """Profile pairs that agree on `keys` and whose `name` values reach the cut-off."""
     values = distinct_values(known, [*keys, name])
     spread = _spread(known, values, [*keys, name])
     similar = similar_values(values.withColumnRenamed(name, "name"), keys, cutoff).drop("similarity")
-    pairs = _expand(similar.unionByName(_with_itself(values)), spread, spread)
+    pairs = _expand(similar.unionByName(_with_itself(values)), spread, spread, small)
     once = (F.col("l_value") != F.col("r_value")) | (F.col("a.profile_id") <= F.col("b.profile_id"))
     return _ordered(pairs.where(once))
 
 
-def pairs_by_equality(known: DataFrame, keys: list[str]) -> DataFrame:
+def pairs_by_equality(known: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """Profile pairs that agree on `keys`."""
     values = distinct_values(known, keys)
     spread = _spread(known, values, keys)
-    pairs = _expand(_with_itself(values), spread, spread)
+    pairs = _expand(_with_itself(values), spread, spread, small)
     return _ordered(pairs.where(F.col("a.profile_id") <= F.col("b.profile_id")))
 
 
-def _pairs_without_name(known: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _pairs_without_name(known: DataFrame, keys: list[str], name: str, small: bool) -> DataFrame:
     """Profile pairs that agree on `keys` and lack `name` on at least one side."""
     values = distinct_values(known, keys)
     spread = _spread(known, values, keys)
     nameless = spread.where(F.col("profile").getField(name).isNull())
-    pairs = _expand(_with_itself(values), nameless, spread)
+    pairs = _expand(_with_itself(values), nameless, spread, small)
     once = F.col("b").getField(name).isNotNull() | (F.col("a.profile_id") <= F.col("b.profile_id"))
     return _ordered(pairs.where(once))
 
@@ -243,18 +248,19 @@ def required_similarity(config: ResolverConfig) -> tuple[str, float] | None:
     return None
 
 
-def rule_pairs(known: DataFrame, rule: BlockingRule, config: ResolverConfig) -> DataFrame:
+def rule_pairs(known: DataFrame, rule: BlockingRule, config: ResolverConfig, small: bool) -> DataFrame:
     """Profile pairs one rule admits.
 
     For an equality rule, pairs that cannot reach the match-weight cut-off are left out where the model tells.
     """
     if isinstance(rule, NameSimilarityRule):
-        return pairs_by_name(known, [rule.same], f"{rule.field}{NORMALISED_SUFFIX}", rule.min_jaro_winkler)
+        return pairs_by_name(known, [rule.same], f"{rule.field}{NORMALISED_SUFFIX}", rule.min_jaro_winkler, small)
     keys = list(rule.fields)
     needed = required_similarity(config)
     if needed is None or needed[0] in keys:
-        return pairs_by_equality(known, keys)
-    return pairs_by_name(known, keys, *needed).unionByName(_pairs_without_name(known, keys, needed[0]))
+        return pairs_by_equality(known, keys, small)
+    named = pairs_by_name(known, keys, *needed, small)
+    return named.unionByName(_pairs_without_name(known, keys, needed[0], small))
 
 
 def admits(rule: BlockingRule) -> Column:
@@ -268,15 +274,22 @@ def admits(rule: BlockingRule) -> Column:
     return F.coalesce(agree, F.lit(False))
 
 
-def candidate_pairs(known: DataFrame, config: ResolverConfig) -> DataFrame:
+def payload_bytes(config: ResolverConfig) -> Column:
+    """Measure of a profile table: bytes of all fields plus the fixed columns."""
+    return F.coalesce(F.sum(sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in profile_fields(config)), F.lit(64))), F.lit(0))
+
+
+def candidate_pairs(known: DataFrame, config: ResolverConfig, small: bool = False) -> DataFrame:
     """Profile pairs admitted by any rule, each once, with the number of the first rule that admits it.
 
+    `small` says that the profiles were measured and may be sent to every task.
+
     A rule leaves out the pairs that an earlier rule admits, which each pair tells by itself; no shuffle removes
     duplicates.
     """
     found = []
     for number, rule in enumerate(config.rules):
-        pairs = rule_pairs(known, rule, config)
+        pairs = rule_pairs(known, rule, config, small)
         for earlier in config.rules[:number]:
             pairs = pairs.where(~admits(earlier))
         found.append(pairs.withColumn("match_key", F.lit(number)))

@@ -87,8 +87,9 @@ def similar_names(values: DataFrame, keys: list[str], cutoff: float) -> DataFram
     l = values.select(*keys, F.col("value_id").alias("r_value"), F.col("name").alias("l_name"), F.col("mentions").alias("l_n"))
     r = values.select(F.col("value_id").alias("l_value"), F.col("name").alias("r_name"), F.col("mentions").alias("r_n"))
     return (
-        found.join(l, "r_value")
-        .join(r, "l_value")
+        # The planner cannot foresee the number of pairs; merging never broadcasts them.
+        found.join(l.hint("merge"), "r_value")
+        .join(r.hint("merge"), "l_value")
         .select(
             *keys,
             F.col("r_value").alias("l_value"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.config import ResolverConfig
@@ -49,8 +49,9 @@ class Resolution:
 def link(mentions: DataFrame, config: ResolverConfig) -> Linked:
     """Profiles, candidate pairs and links of all mentions (`is_new` limits which ones get links)."""
     keyed = blocking.with_profile_key(blocking.with_normalised(mentions, config), config)
-    known = cut(blocking.profiles(keyed, config))
-    pairs = blocking.candidate_pairs(known, config)
+    measured = Observation()
+    known = cut(blocking.profiles(keyed, config), measured, blocking.payload_bytes(config).alias("bytes"))
+    pairs = blocking.candidate_pairs(known, config, measured.get["bytes"] <= blocking.SMALL_BYTES)
     return Linked(
         mentions=clustering.with_profile_id(keyed, known),
         profiles=known,

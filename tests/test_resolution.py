@@ -205,3 +205,13 @@ def test_each_pair_once_with_its_first_rule(spark):
             if any(hits):
                 expected[(a, b)] = hits.index(True)
     assert found == expected
+
+
+def test_large_profiles_are_merged_not_broadcast(spark, monkeypatch):
+    rows = _corpus(random.Random(8), 60)
+    settings = config.shipped().with_fields(FIELDS)
+    mentions = spark.createDataFrame(rows, LAYOUT)
+    expected = sorted(map(tuple, link(mentions, settings).links.select("new_profile", "stored_profile", F.round("match_weight", 6)).collect()))
+    monkeypatch.setattr(blocking, "SMALL_BYTES", 0)
+    merged = link(mentions, settings).links.select("new_profile", "stored_profile", F.round("match_weight", 6))
+    assert sorted(map(tuple, merged.collect())) == expected and expected
