@@ -143,9 +143,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     known = cut(digests(narrow(docs, doc_id=doc_id, text=text)))
     routed = known.join(repeated_fingerprints(known, known.count()), "fingerprint", "left_semi")
     first = F.min(F.struct((-F.col("n_chars")).alias("shorter"), "doc_id")).alias("first")
-    groups = routed.groupBy("fingerprint", "n_bytes", "text_sha256").agg(F.count("*").alias("size"), first)
-    groups = groups.where("size > 1").select("fingerprint", "n_bytes", "text_sha256", "size", F.col("first.doc_id").alias("head"))
-    rows = known.join(groups, ["fingerprint", "n_bytes", "text_sha256"], "left")
+    # grouped without the fingerprint, so a large group is split in the join above and combined before this shuffle
+    groups = routed.groupBy("n_bytes", "text_sha256").agg(F.count("*").alias("size"), first)
+    groups = cut(groups.where("size > 1").select("n_bytes", "text_sha256", "size", F.col("first.doc_id").alias("head")))
+    rows = known.join(groups, ["n_bytes", "text_sha256"], "left")
     keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("head"))
     return rows.select(
         "doc_id",
