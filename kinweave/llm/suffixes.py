@@ -330,13 +330,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kind = type_of(rows, "doc_id")
     key = [F.col("doc_id"), F.col("print")]
     table = cut(_run_table(rows))
-    anchors = table.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first: a join of two plain shuffles is split where one anchor has very many runs
+    anchors = cut(table.groupBy("anchor").count().where("count > 1").select("anchor"))
     shared = cut(table.join(anchors, "anchor", "left_semi"))
     segments = shared.groupBy("anchor", "segment").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "print", "first", "starts", "lead")).alias("one")
     )
     segments = cut(segments)
-    kinds = segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    kinds = cut(segments.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
     mixed = segments.join(kinds, "anchor", "left_semi")
     whole = shared.join(segments.where("copies > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     known = (
