@@ -1,6 +1,6 @@
 """Byte-pair encoding with word ends, and decoding, by batched merge rounds.
 
-The words of a slice of documents that a task has not met yet are encoded together: their symbols lie in one flat array.
+The words of a slice of documents that a task has not met yet are encoded together; their symbols lie in one flat array.
 A round looks up the rank of every adjacent pair by binary search over the sorted pair keys, takes the lowest rank of each
 word with a segmented minimum, and merges all its places at once; words without a mergeable pair are done.  Encoded words
 are remembered as positions in one flat pool of ids, so a document's ids are gathered without a loop over its tokens.
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ from kinweave.llm.common import map_texts, narrow, to_batch, type_of
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ids a task remembers for words it has met; it starts afresh beyond, with equal results.
 POOL = 2_000_000
+#: Characters that Python, but not the vocabulary's tokenizer, takes for white space; and chunks as the latter sees them.
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+NOT_SPACE = regex.compile(r"\S+")
 DONE = np.iinfo(np.int64).max
 
 
@@ -118,8 +122,43 @@ class Vocabulary:
         return ids[order], np.bincount(owner, minlength=len(words))
 
 
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.fresh.append(key)
+        return number
+
+
+class Pool:
+    """Id lists one after another."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at some places, one after another, and their sizes."""
+        sizes = self.sizes[at]
+        shift = self.starts[at] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(sizes.sum())], sizes
+
+
 class Encoder:
-    """Encodes texts with one vocabulary and remembers words."""
+    """Encodes texts with one vocabulary; remembers words, and chunks: what stands between white space.
+
+    No word crosses white space, and neither normal forms nor lower case look across it, so a chunk has the same ids in
+    every text.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -129,55 +168,53 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self._learn([])
-
-    def _learn(self, words: list[str]) -> None:
-        """Add words, or special tokens where the vocabulary has no words left at all: see `pieces`."""
-        plain = [w for w in words if w not in self.vocabulary.special]
-        ids, counts = self.vocabulary.encode_words([w.encode() for w in plain])
-        for w in words:
-            if w in self.vocabulary.special:
-                plain.append(w)
-                ids, counts = np.append(ids, self.vocabulary.special[w]), np.append(counts, 1)
-        for w in plain:
-            self.places[w] = len(self.places)
-        starts = len(self.pool) + np.cumsum(counts) - counts
-        self.starts, self.sizes = np.r_[self.starts, starts], np.r_[self.sizes, counts]
-        self.pool = np.r_[self.pool, ids.astype(np.int32)]
-
-    def pieces(self, text: str) -> list[str]:
-        """Words of a text.  Special tokens are cut out of the text as it is, the rest is normalised part by part.
-
-        A special token can't be mistaken for a word: words hold either letters, one digit, or other signs.
-        """
-        if self.special is not None and any(name in text for name in self.vocabulary.special):
-            found = []
-            for i, part in enumerate(self.special.split(text)):
-                found += [part] if i % 2 else self._words(part)
-            return found
-        return self._words(text)
-
-    def _words(self, text: str) -> list[str]:
+        self.words, self.word_ids = Numbered(), Pool()
+        self.chunks, self.chunk_ids = Numbered(), Pool()
+
+    def _learn(self) -> None:
+        """Ids of the new chunks, and of the new words in them."""
+        fresh, self.chunks.fresh = self.chunks.fresh, []
+        special = self.vocabulary.special
+        cut_up = [[c] if c[0] == " " else self._words(c) for c in fresh]
+        at = np.array([self.words[w] for words in cut_up for w in words], np.int64)
+        new, self.words.fresh = self.words.fresh, []
+        # a special token is kept as a word behind a blank, which no word holds
+        marks = np.array([special.get(w[1:], -1) if w[0] == " " else -1 for w in new], np.int64)
+        plain = [w.encode() for w, mark in zip(new, marks) if mark < 0]
+        ids, sizes = self.vocabulary.encode_words(plain)
+        whole = np.ones(len(new), np.int64)
+        whole[marks < 0] = sizes
+        out = np.zeros(whole.sum(), np.int64)
+        is_mark = np.repeat(marks >= 0, whole)
+        out[~is_mark], out[is_mark] = ids, marks[marks >= 0]
+        self.word_ids.add(out, whole)
+        ids, sizes = self.word_ids.gather(at)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut_up)])]
+        self.chunk_ids.add(ids, np.diff(ends))
+
+    def _words(self, chunk: str) -> list[str]:
         """NFC, then lower case letter by letter (a final sigma is no exception), then the pattern."""
-        return self.piece.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self.piece.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+
+    def _chunks(self, text: str) -> list[str]:
+        """Chunks of a text; special tokens are cut out of the text as it is, and marked by a leading blank."""
+        if self.special is not None and any(name in text for name in self.vocabulary.special):
+            parts = self.special.split(text)
+            return [c for i, part in enumerate(parts) for c in ([f" {part}"] if i % 2 else self._chunks(part))]
+        if SEPARATORS.isdisjoint(text):
+            return text.split()
+        return NOT_SPACE.findall(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each."""
-        if len(self.pool) > POOL:
+        if len(self.chunk_ids.ids) > POOL:
             self._forget()
-        cut_up = [self.pieces(t) for t in texts]
-        new = dict.fromkeys(w for words in cut_up for w in words if w not in self.places)
-        if new:
-            self._learn(list(new))
-        places = self.places
-        at = np.array([places[w] for words in cut_up for w in words], np.int64)
-        sizes = self.sizes[at]
-        before = np.cumsum(sizes) - sizes
-        ids = self.pool[np.repeat(self.starts[at] - before, sizes) + np.arange(sizes.sum())]
-        words_of = np.cumsum([0, *(len(w) for w in cut_up)])
-        ends = np.r_[0, np.cumsum(sizes)][words_of]
+        number = self.chunks.__getitem__
+        places = [np.fromiter(map(number, chunks), np.int64, len(chunks)) for chunks in map(self._chunks, texts)]
+        if self.chunks.fresh:
+            self._learn()
+        ids, sizes = self.chunk_ids.gather(np.concatenate([np.zeros(0, np.int64), *places]))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, places)])]
         return ids, np.diff(ends)
 
 
@@ -215,13 +252,15 @@ def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
     schema = pa.schema([rows_field(rows), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        tokens = pa.array(shared.value, pa.string())
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                texts = [" ".join(map(token, ids or ())) for ids in part.column("token_ids").to_pylist()]
                 lists = part.column("token_ids").cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(texts, pa.string())], schema=schema)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                words = pa.ListArray.from_arrays(offsets, tokens.take(lists.flatten()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pc.binary_join(words, " ")], schema=schema)
 
     return rows.mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, token_ids array<int>, decoded string")
 
