@@ -14,6 +14,7 @@ Components come from the union of all forests by rounds of large-star and small-
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,8 @@ from kinweave.llm.common import map_texts, narrow, to_batch, type_of
 from kinweave.session import cut, task_slots
 
 WORDS, SEED, BITS = 4, 42, 4
+#: Multiplier that makes other hash functions of the first.
+MIX = 0xBF58476D1CE4E5B9
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 15
 #: Fingerprints of one tile; lists beyond are cut.
@@ -48,26 +51,38 @@ def shingle_digests(text: bytes, words: int, seed: int) -> np.ndarray:
     return np.frombuffer(hashed, np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> bytes:
-    """8 bytes: each bit set where more than half of the shingle hashes have it; zero without shingles."""
+def remixed(rows: np.ndarray, turn: int) -> np.ndarray:
+    """Rows of 8 hash bytes as those of another hash function; turn 0 leaves them."""
+    if not turn:
+        return rows
+    h = rows.view(">u8").ravel().astype(np.uint64) + np.uint64(turn * MIX % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX)
+    return (h ^ (h >> np.uint64(31))).astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, turns: int = 1) -> bytes:
+    """8 bytes a turn: each bit set where more than half of the shingle hashes have it; zero without shingles."""
     rows = shingle_digests(text, words, seed)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((turns, 64), np.int64)
     for start in range(0, len(rows), AT_ONCE):
-        counts += np.unpackbits(rows[start : start + AT_ONCE], axis=1).sum(0, dtype=np.int64)
+        for turn in range(turns):
+            bits = np.unpackbits(remixed(rows[start : start + AT_ONCE], turn), axis=1)
+            counts[turn] += bits.sum(0, dtype=np.int64)
     return np.packbits(2 * counts > len(rows)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, print (the fingerprint as a signed 64-bit number)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, turns: int = 1) -> DataFrame:
+    """doc_id, print0, print1 ... (fingerprints as signed 64-bit numbers, one a turn)."""
 
     def prepare():
         def work(part: pa.RecordBatch, texts: list[bytes]):
-            prints = b"".join([fingerprint(t, words, seed) for t in texts])
-            return part.column("doc_id"), np.frombuffer(prints, ">i8").astype(np.int64)
+            prints = b"".join([fingerprint(t, words, seed, turns) for t in texts])
+            return part.column("doc_id"), *np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, turns).T
 
         return work
 
-    return map_texts(docs, prepare, f"doc_id {type_of(docs, 'doc_id')}, print bigint")
+    columns = ", ".join(f"print{turn} bigint" for turn in range(turns))
+    return map_texts(docs, prepare, f"doc_id {type_of(docs, 'doc_id')}, {columns}")
 
 
 def covering(size: int) -> list[tuple[int, ...]]:
@@ -200,23 +215,52 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _turn_edges(distinct: DataFrame, turn: int, expected: int, bits: int) -> DataFrame:
+    """Edges between first fingerprints that the fingerprints of one turn link.
+
+    The documents that share a fingerprint of the turn are joined to the smallest first fingerprint among them.
+    """
+    if turn == 0:
+        return links(distinct.select(F.col("print0").alias("print")), expected, bits)
+    own = distinct.select(F.col(f"print{turn}").alias("print"), "print0")
+    heads = cut(own.groupBy("print").agg(F.min("print0").alias("head")))
+    alike = own.join(heads, "print").where("print0 <> head").select(F.col("print0").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("print"), expected, bits)
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("print").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return alike.unionAll(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
+
+
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = WORDS,
+    seed: int = SEED,
+    bits: int = BITS,
+    turns: int = 1,
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size.
 
     Documents link when their fingerprints differ in at most `bits` bits; component_id is the smallest doc_id reachable.
+    With more `turns`, further fingerprints of the same shingles by other hash functions link as well: near copies whose
+    one pair of fingerprints differs in a few bits too many are then found by another.  `fingerprint` is the first.
     Null and empty texts and texts of blanks have fingerprint zero and link like any other.  Rows that repeat a doc_id are
     rows of their own; null doc_ids take part but never name a component unless it has no other.  An empty table gives an
     empty result.
     """
-    known = cut(fingerprints(narrow(docs, doc_id=doc_id, text=text), words, seed))
-    distinct = cut(known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    found = components(links(distinct, distinct.count(), bits))
-    rooted = distinct.join(found, distinct["print"] == found["node"], "left").select(
+    known = cut(fingerprints(narrow(docs, doc_id=doc_id, text=text), words, seed, turns))
+    distinct = cut(known.groupBy(*[f"print{turn}" for turn in range(turns)]).agg(F.count("*").alias("n")))
+    expected = distinct.count()
+    edges = reduce(DataFrame.unionAll, [_turn_edges(distinct, turn, expected, bits) for turn in range(turns)])
+    found = components(edges)
+    known = known.select("doc_id", F.col("print0").alias("print"))
+    first = known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    rooted = first.join(found, first["print"] == found["node"], "left").select(
         "print", "first", "copies", F.coalesce("root", "print").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("component_size"))
-    named = rooted.select("print", "root").join(named, "root").drop("root")
+    # written first: the join of two plain shuffles is split where one fingerprint has very many documents
+    named = cut(rooted.select("print", "root").join(named, "root").drop("root"))
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return known.join(named, "print").select("doc_id", hexed.alias("fingerprint"), "component_id", "component_size")

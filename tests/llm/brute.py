@@ -64,11 +64,16 @@ def repeated_bytes(texts, length):
     return out
 
 
-def simhash(text, n=4, seed=42):
+def simhash(text, n=4, seed=42, turn=0):
     found = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(found[i : i + n]) for i in range(max(1, len(found) - n + 1))] if found else []
     value = 0
     hashes = [xxhash.xxh64_intdigest(s.encode(), seed) for s in shingles]
+    if turn:
+        mix, most = 0xBF58476D1CE4E5B9, 1 << 64
+        hashes = [(h + turn * mix) % most for h in hashes]
+        hashes = [(h ^ h >> 30) * mix % most for h in hashes]
+        hashes = [h ^ h >> 31 for h in hashes]
     for bit in range(64):
         if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes):
             value |= 1 << bit
@@ -76,7 +81,7 @@ def simhash(text, n=4, seed=42):
 
 
 def classes(ids, prints, bits=4):
-    """Smallest id reachable over links of fingerprints."""
+    """Smallest id reachable over links of fingerprints; `prints` has one or more lists of fingerprints."""
     parent = list(range(len(ids)))
 
     def root(i):
@@ -85,14 +90,15 @@ def classes(ids, prints, bits=4):
             i = parent[i]
         return i
 
-    first = {}
-    for i, p in enumerate(prints):
-        parent[root(i)] = root(first.setdefault(p, i))
-    distinct = list(first)
-    for i, p in enumerate(distinct):
-        for q in distinct[:i]:
-            if (p ^ q).bit_count() <= bits:
-                parent[root(first[p])] = root(first[q])
+    for turn in prints if prints and isinstance(prints[0], list) else [prints]:
+        first = {}
+        for i, p in enumerate(turn):
+            parent[root(i)] = root(first.setdefault(p, i))
+        distinct = list(first)
+        for i, p in enumerate(distinct):
+            for q in distinct[:i]:
+                if (p ^ q).bit_count() <= bits:
+                    parent[root(first[p])] = root(first[q])
     least = defaultdict(lambda: None)
     for i, d in enumerate(ids):
         r = root(i)

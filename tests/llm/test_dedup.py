@@ -38,14 +38,15 @@ def test_quotient_filters_merge_without_loss():
         assert (np.concatenate(blocks) == keys).all()
 
 
-@pytest.mark.parametrize("which", ["odd", "small"])
-def test_simhash_components(spark, odd, small, which):
+@pytest.mark.parametrize("which,turns", [("odd", 1), ("small", 1), ("small", 3)])
+def test_simhash_components(spark, odd, small, which, turns):
     docs = odd if which == "odd" else table(spark, small, "documents")
     rows = pairs(docs)
     prints = [brute.simhash(t) for _, t in rows]
-    roots = brute.classes([d for d, _ in rows], prints)
+    more = [[brute.simhash(t, turn=turn) for _, t in rows] for turn in range(1, turns)]
+    roots = brute.classes([d for d, _ in rows], [prints, *more])
     expected = sorted(((d, f"{p:016x}", r) for (d, _), p, r in zip(rows, prints, roots)), key=str)
-    assert plain(simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")) == expected
+    assert plain(simhash.near_duplicates(docs, turns=turns).select("doc_id", "fingerprint", "component_id")) == expected
 
 
 @pytest.mark.parametrize("expected,tile", [(10, 2048), (10_000, 2048), (10_000, 7), (1 << 25, 2048)])

@@ -42,7 +42,8 @@ def test_dedup_stages(steps):
     _, before, after, _ = steps[1]
     assert {r["doc_id"] for r in after} == {r[0] for r in brute.exact([(r["doc_id"], r["text"]) for r in before]) if r[3]}
     _, before, after, _ = steps[2]
-    roots = brute.classes([r["doc_id"] for r in before], [brute.simhash(r["text"]) for r in before])
+    prints = [[brute.simhash(r["text"], turn=turn) for r in before] for turn in range(corpus_pipeline.TURNS)]
+    roots = brute.classes([r["doc_id"] for r in before], prints)
     assert {r["doc_id"] for r in after} == set(roots)
 
 
