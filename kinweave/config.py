@@ -12,27 +12,15 @@ EXACT_MATCH = "exact_match"
 COMPARISON_KINDS = [JARO_WINKLER, EXACT_MATCH]
 DEFAULT_THRESHOLDS = (0.9, 0.8)
 DEFAULT_TRAIN_AT = 200
-RULE_KEYS = ("same", "similar")
-SIMILAR_KEYS = ("field", "min_jaro_winkler")
 
 
 @dataclass(frozen=True)
-class EqualityRule:
-    """Pairs agree on every listed field; NULL agrees with nothing."""
+class JoinRule:
+    """Pairs agree on all `keys`, where NULL agrees with nothing; with a `name`, its normalised values are similar, too."""
 
-    fields: tuple[str, ...]
-
-
-@dataclass(frozen=True)
-class NameSimilarityRule:
-    """Pairs agree on `same`, and their normalised `field` values are similar enough."""
-
-    same: str
-    field: str
-    min_jaro_winkler: float
-
-
-BlockingRule = EqualityRule | NameSimilarityRule
+    keys: tuple[str, ...]
+    name: str | None = None
+    cutoff: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -77,19 +65,14 @@ class Model:
 
 @dataclass(frozen=True)
 class BatchSettings:
-    """Bounds of one micro-batch of requests."""
+    """Bounds of one micro-batch of requests: bytes of input files, and milliseconds between batches."""
 
-    target_seconds: float = 2.0
-    max_mentions: int = 500
     max_bytes: int = 50_000_000
     linger_ms: int = 250
 
     def __post_init__(self):
-        for name in ("target_seconds", "max_mentions", "max_bytes"):
-            if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be positive, got {getattr(self, name)!r}")
-        if self.linger_ms < 0:
-            raise ValueError(f"linger_ms must not be negative, got {self.linger_ms!r}")
+        if self.max_bytes <= 0 or self.linger_ms < 0:
+            raise ValueError(f"A batch needs max_bytes above 0 and linger_ms from 0 on, got {self.max_bytes!r} and {self.linger_ms!r}")
 
 
 @dataclass(frozen=True)
@@ -97,7 +80,7 @@ class ResolverConfig:
     """Everything a resolution run needs besides its tables."""
 
     entity_fields: tuple[str, ...]
-    rules: tuple[BlockingRule, ...]
+    rules: tuple[JoinRule, ...]
     comparisons: tuple[Comparison, ...]
     model: Model
     threshold: float = 0.7
@@ -125,17 +108,21 @@ class ResolverConfig:
             raise ValueError(f"Missing setting(s): {', '.join(missing)}")
         linkage = raw["splink"]
         fields = tuple(raw["entity_fields"])
-        normalised = tuple(
-            _known(name, fields, "normalised field") for name in linkage.get("normalised_fields", ["legal_name"])
-        )
-        em_field = _known(linkage.get("em_blocking_field", "country_code"), fields, "EM blocking field")
+        normalised = tuple(linkage.get("normalised_fields", ["legal_name"]))
+        em_field = linkage.get("em_blocking_field", "country_code")
         rules = linkage.get("blocking_rules") or []
-        if not rules:
-            raise ValueError("blocking_rules needs at least one entry")
+        allowed = {"key": fields, "name": [f for f in fields if f in normalised]}
+        problems = [f"entity field {f!r} is not an identifier" for f in fields if not str(f).isidentifier()]
+        problems += [f"{f!r} is normalised or a training block, but not an entity field" for f in (*normalised, em_field) if f not in fields]
+        problems += [] if rules else ["blocking_rules needs at least one entry"]
+        compiled = [compile_rule(rule, f"blocking rule {number}", allowed, problems) for number, rule in enumerate(rules, 1)]
+        if problems:
+            raise ValueError("; ".join(problems))
         comparisons = tuple(_comparison(entry) for entry in linkage.get("comparisons", []))
+        batch = raw.get("batch") or {}
         return cls(
             entity_fields=fields,
-            rules=tuple(parse_rule(rule, fields, normalised) for rule in rules),
+            rules=tuple(compiled),
             comparisons=comparisons,
             model=cold_start_model(
                 comparisons,
@@ -148,6 +135,7 @@ class ResolverConfig:
             auto_train_threshold=int(raw.get("auto_train_threshold", DEFAULT_TRAIN_AT)),
             normalised_fields=normalised,
             em_blocking_field=em_field,
+            batch=BatchSettings(**{k: batch[k] for k in ("max_bytes", "linger_ms") if k in batch}),
         )
 
     @classmethod
@@ -171,44 +159,46 @@ def _comparison(entry: dict) -> Comparison:
     return Comparison(kind, entry["field"], thresholds)
 
 
-def parse_rule(rule, fields: tuple[str, ...], normalised: tuple[str, ...]) -> BlockingRule:
-    """One blocking rule: a field, a list of fields, or `{same, similar: {field, min_jaro_winkler}}`."""
-    if isinstance(rule, str):
-        return EqualityRule((_known(rule, fields, "blocking field"),))
-    if isinstance(rule, (list, tuple)):
-        return EqualityRule(tuple(_known(name, fields, "blocking field") for name in rule))
-    if not isinstance(rule, dict):
-        raise ValueError(f"Blocking rule {rule!r} is neither a field, a list of fields nor a mapping")
-    _exact_keys(rule, RULE_KEYS, "a blocking rule")
-    similar = rule["similar"]
-    if not isinstance(similar, dict):
-        raise ValueError("The entry 'similar' of a blocking rule has to be a mapping")
-    _exact_keys(similar, SIMILAR_KEYS, "the entry 'similar'")
-    name = _known(similar["field"], fields, "name similarity field")
-    if name not in normalised:
-        raise ValueError(f"The name similarity field {name!r} is missing from the normalised fields {list(normalised)}")
-    cutoff = similar["min_jaro_winkler"]
-    number = isinstance(cutoff, (int, float)) and not isinstance(cutoff, bool)
-    if not number or not 0 <= cutoff <= 1:
-        raise ValueError(f"min_jaro_winkler has to be a number from 0 to 1, got {cutoff!r}")
-    return NameSimilarityRule(_known(rule["same"], fields, "blocking field"), name, float(cutoff))
-
-
-def _exact_keys(entry: dict, allowed: tuple[str, ...], where: str) -> None:
-    extra = sorted(set(entry) - set(allowed))
-    lacking = [key for key in allowed if key not in entry]
-    if extra:
-        raise ValueError(f"Unexpected key(s) {', '.join(map(str, extra))} in {where}; allowed keys: {', '.join(allowed)}")
-    if lacking:
-        raise ValueError(f"Key(s) {', '.join(lacking)} missing in {where}; required keys: {', '.join(allowed)}")
-
-
-def _known(name, fields: tuple[str, ...], role: str) -> str:
-    if not isinstance(name, str) or not name.isidentifier():
-        raise ValueError(f"{role} {name!r} is not an identifier")
-    if name not in fields:
-        raise ValueError(f"{role} {name!r} is not an entity field; entity fields: {', '.join(sorted(fields))}")
-    return name
+#: Where the parts of a rule stand in its three written forms: alone, in a list, in a mapping.
+ITEM = "[]"
+LAYOUT = {
+    (): "key",
+    (ITEM,): "key",
+    ("same",): "key",
+    ("similar", "field"): "name",
+    ("similar", "min_jaro_winkler"): "cutoff",
+}
+
+
+def _leaves(value, path: tuple[str, ...] = ()):
+    """(path, value) of everything in nested mappings and lists that is neither."""
+    if isinstance(value, dict):
+        for key, inner in value.items():
+            yield from _leaves(inner, (*path, str(key)))
+    elif isinstance(value, (list, tuple)):
+        for inner in value:
+            yield from _leaves(inner, (*path, ITEM))
+    else:
+        yield path, value
+
+
+def compile_rule(rule, label: str, allowed: dict[str, list[str]], problems: list[str]) -> JoinRule:
+    """The join of a written rule; whatever is wrong with it is added to `problems`, all at once."""
+    parts: dict[str, list] = {"key": [], "name": [], "cutoff": []}
+    for path, value in _leaves(rule):
+        part = LAYOUT.get(path)
+        if part is None:
+            problems.append(f"{label}: {'.'.join(path)} has no meaning")
+            continue
+        sound = value in allowed[part] if part in allowed else type(value) in (int, float) and 0 <= value <= 1
+        if not sound:
+            wanted = f"one of {', '.join(allowed[part])}" if part in allowed else "a number from 0 to 1"
+            problems.append(f"{label}: {value!r} at {'.'.join(path) or 'the top'} should be {wanted}")
+        parts[part].append(value)
+    needed = [p for p in LAYOUT if isinstance(rule, dict) and len(p) and p[0] != ITEM] or [()]
+    given = {path for path, _ in _leaves(rule)}
+    problems += [f"{label}: {'.'.join(p) or 'a field'} is missing" for p in needed if p not in given and (p or not parts["key"])]
+    return JoinRule(tuple(parts["key"]), *parts["name"][:1], *parts["cutoff"][:1])
 
 
 def default_parameters(levels: tuple[int, ...]) -> tuple[list[float], list[float]]:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.config import JARO_WINKLER, BlockingRule, EqualityRule, NameSimilarityRule, ResolverConfig
+from kinweave.config import JARO_WINKLER, JoinRule, ResolverConfig
 from kinweave.functions.similarity import TILE_PAIR_SCHEMA, jaro_winkler, similar_within_tiles
 from kinweave.functions.text import NORMALISED_SUFFIX, normalise_name
 from kinweave.session import task_slots
@@ -39,10 +39,9 @@ def profile_fields(config: ResolverConfig) -> list[str]:
     """All columns that decide blocking and scoring."""
     names = [c.field for c in config.comparisons]
     for rule in config.rules:
-        if isinstance(rule, EqualityRule):
-            names += rule.fields
-        else:
-            names += [rule.same, f"{rule.field}{NORMALISED_SUFFIX}"]
+        names += rule.keys
+        if rule.name is not None:
+            names.append(f"{rule.name}{NORMALISED_SUFFIX}")
     return sorted(set(names))
 
 
@@ -248,14 +247,14 @@ def required_similarity(config: ResolverConfig) -> tuple[str, float] | None:
     return None
 
 
-def rule_pairs(known: DataFrame, rule: BlockingRule, config: ResolverConfig, small: bool) -> DataFrame:
+def rule_pairs(known: DataFrame, rule: JoinRule, config: ResolverConfig, small: bool) -> DataFrame:
     """Profile pairs one rule admits.
 
     For an equality rule, pairs that cannot reach the match-weight cut-off are left out where the model tells.
     """
-    if isinstance(rule, NameSimilarityRule):
-        return pairs_by_name(known, [rule.same], f"{rule.field}{NORMALISED_SUFFIX}", rule.min_jaro_winkler, small)
-    keys = list(rule.fields)
+    keys = list(rule.keys)
+    if rule.name is not None:
+        return pairs_by_name(known, keys, f"{rule.name}{NORMALISED_SUFFIX}", rule.cutoff, small)
     needed = required_similarity(config)
     if needed is None or needed[0] in keys:
         return pairs_by_equality(known, keys, small)
@@ -263,14 +262,12 @@ def rule_pairs(known: DataFrame, rule: BlockingRule, config: ResolverConfig, sma
     return named.unionByName(_pairs_without_name(known, keys, needed[0], small))
 
 
-def admits(rule: BlockingRule) -> Column:
+def admits(rule: JoinRule) -> Column:
     """Whether a rule admits the pair (a, b)."""
-    if isinstance(rule, EqualityRule):
-        agree = reduce(lambda x, y: x & y, [F.col(f"a.{f}") == F.col(f"b.{f}") for f in rule.fields])
-    else:
-        name = f"{rule.field}{NORMALISED_SUFFIX}"
-        similar = jaro_winkler(F.col(f"a.{name}"), F.col(f"b.{name}")) >= F.lit(rule.min_jaro_winkler)
-        agree = (F.col(f"a.{rule.same}") == F.col(f"b.{rule.same}")) & similar
+    agree = reduce(lambda x, y: x & y, [F.col(f"a.{f}") == F.col(f"b.{f}") for f in rule.keys])
+    if rule.name is not None:
+        name = f"{rule.name}{NORMALISED_SUFFIX}"
+        agree &= jaro_winkler(F.col(f"a.{name}"), F.col(f"b.{name}")) >= F.lit(rule.cutoff)
     return F.coalesce(agree, F.lit(False))
 
 

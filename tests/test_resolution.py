@@ -181,7 +181,7 @@ def test_missing_values_depend_on_who_came_first(spark):
 
 
 def test_each_pair_once_with_its_first_rule(spark):
-    rules = [config.EqualityRule(("nuts_code",)), config.shipped().rules[0], config.EqualityRule(("post_code",))]
+    rules = [config.JoinRule(("nuts_code",)), config.shipped().rules[0], config.JoinRule(("post_code",))]
     rows = _corpus(random.Random(6), 60)
     settings = replace(config.shipped().with_fields(FIELDS), rules=tuple(rules), match_weight_threshold=-60.0)
     pairs = link(spark.createDataFrame(rows, LAYOUT), settings).pairs
