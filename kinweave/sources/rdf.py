@@ -17,6 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 IRI, LITERAL, BLANK = "iri", "literal", "blank"
+PREFIX = re.compile(r"^([^:]*):")
 TRIPLE_SCHEMA = "request_key long, s string, p string, o string, o_kind string, error string"
 
 # Namespaces and the shipped mapping of entity types to property paths.
@@ -42,43 +43,47 @@ ENTITY_TYPES = {
 
 
 @dataclass(frozen=True)
-class EntityMapping:
-    """RDF class of an entity type and the resolved property path of each field (None: never filled)."""
-
-    rdf_type: str
-    fields: dict[str, tuple[str, ...] | None]
-
-
-def resolve_name(name: str, namespaces: dict[str, str]) -> str:
-    """Full IRI of a prefixed name; a name without a prefix stays as it is."""
-    prefix, colon, local = name.partition(":")
-    if not colon:
-        return name
-    if prefix not in namespaces:
-        raise ValueError(f"Namespace prefix {prefix!r} is not declared")
-    return namespaces[prefix] + local
-
-
-def load_mappings(namespaces: dict[str, str], entity_types: dict[str, dict]) -> dict[str, EntityMapping]:
-    """Resolve all prefixed names of a mapping configuration."""
-    return {
-        name: EntityMapping(
-            resolve_name(entry["rdf_type"], namespaces),
-            {
-                field: None if path is None else tuple(resolve_name(step, namespaces) for step in path.split("/"))
-                for field, path in entry["fields"].items()
-            },
-        )
+class Hop:
+    """One step of a field's property path; the step of no field names the class of the entity type."""
+
+    entity_type: str
+    field: str | None
+    hop: int
+    iri: str | None
+
+
+def hop_table(namespaces: dict[str, str], entity_types: dict[str, dict]) -> list[Hop]:
+    """All steps of a mapping configuration, prefixes expanded; a field without a path has one step without an IRI.
+
+    Prefixes that are not declared are reported together.
+    """
+    undeclared: set[str] = set()
+
+    def expanded(found: re.Match) -> str:
+        undeclared.update({found[1]} - namespaces.keys())
+        return namespaces.get(found[1], "")
+
+    written = [
+        (name, field, path)
         for name, entry in entity_types.items()
-    }
+        for field, path in [(None, entry["rdf_type"]), *entry["fields"].items()]
+    ]
+    hops = [
+        Hop(name, field, number, step and PREFIX.sub(expanded, step))
+        for name, field, path in written
+        for number, step in enumerate([None] if path is None else [path] if field is None else path.split("/"))
+    ]
+    if undeclared:
+        raise ValueError(f"No namespace is declared for {', '.join(sorted(undeclared))}")
+    return hops
 
 
-def shipped_mappings() -> dict[str, EntityMapping]:
-    return load_mappings(NAMESPACES, ENTITY_TYPES)
+def shipped_hops() -> list[Hop]:
+    return hop_table(NAMESPACES, ENTITY_TYPES)
 
 
 def resolved(name: Column, namespaces: dict[str, str]) -> Column:
-    """Column form of `resolve_name`; NULL where the prefix is not declared."""
+    """Full IRI of a prefixed name; a name without a prefix stays as it is, an undeclared prefix gives NULL."""
     table = F.create_map(*[F.lit(part) for pair in namespaces.items() for part in pair])
     prefix = F.substring_index(name, ":", 1)
     local = F.substring(name, F.length(prefix) + 2, F.length(name))
@@ -109,7 +114,10 @@ def _unescape(text: str) -> str:
     def one(found: re.Match) -> str:
         short, long, char = found.groups()
         if short or long:
-            return chr(int(short or long, 16))
+            code = int(short or long, 16)
+            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+                raise ValueError(f"{found.group()} is not a character")
+            return chr(code)
         if char not in ESCAPED:
             raise ValueError(f"unknown escape \\{char}")
         return ESCAPED[char]
@@ -163,7 +171,10 @@ class TurtleReader:
                     self._next(".")
                 continue
             if word == "[":
-                subject = self._nested()
+                subject = self._blank()
+                if self._peek()[1] != "]":
+                    self._predicates(subject, "]")
+                self._next("]")
                 if self._peek()[1] != ".":
                     self._predicates(subject, ".")
             else:
@@ -174,40 +185,53 @@ class TurtleReader:
             self._next(".")
         return self.triples
 
-    def _nested(self) -> str:
+    def _blank(self) -> str:
+        """A new node at an opening bracket."""
         self._next("[")
         self.blanks += 1
-        node = f"_:anon{self.blanks}"
-        if self._peek()[1] != "]":
-            self._predicates(node, "]")
-        self._next("]")
-        return node
+        return f"_:anon{self.blanks}"
+
+    def _verb(self) -> str:
+        if self._peek() == ("word", "a"):
+            self.at += 1
+            return RDF_TYPE
+        predicate, kind = self._term()
+        if kind != IRI:
+            raise ValueError("a predicate has to be an IRI")
+        return predicate
 
     def _predicates(self, subject: str, end: str) -> None:
+        """Predicates and objects of a subject up to its end mark, which stays.
+
+        Nodes in brackets may nest to any depth; the subjects that wait for them are kept in a list.
+        """
+        waiting: list[tuple[str, str, str]] = []
+        predicate = self._verb()
         while True:
-            kind, word = self._peek()
-            if kind == "word" and word == "a":
-                self.at += 1
-                predicate = RDF_TYPE
+            if self._peek()[1] == "[":
+                node = self._blank()
+                self.triples.append((subject, predicate, node, BLANK))
+                if self._peek()[1] != "]":
+                    waiting.append((subject, predicate, end))
+                    subject, end, predicate = node, "]", self._verb()
+                    continue
+                self._next("]")
             else:
-                predicate, predicate_kind = self._term()
-                if predicate_kind != IRI:
-                    raise ValueError("a predicate has to be an IRI")
-            while True:
-                if self._peek()[1] == "[":
-                    value, value_kind = self._nested(), BLANK
-                else:
-                    value, value_kind = self._term()
-                self.triples.append((subject, predicate, value, value_kind))
-                if self._peek()[1] != ",":
+                self.triples.append((subject, predicate, *self._term()))
+            while True:  # what follows an object
+                mark = self._peek()[1]
+                if mark == ",":
+                    self.at += 1
                     break
-                self.at += 1
-            if self._peek()[1] != ";":
-                return
-            while self._peek()[1] == ";":
-                self.at += 1
-            if self._peek()[1] == end:
-                return
+                while self._peek()[1] == ";":
+                    self.at += 1
+                if mark == ";" and self._peek()[1] != end:
+                    predicate = self._verb()
+                    break
+                if not waiting:
+                    return
+                self._next(end)
+                subject, predicate, end = waiting.pop()
 
     def _term(self) -> tuple[str, str]:
         kind, word = self._next()
@@ -234,7 +258,7 @@ class TurtleReader:
         raise ValueError(f"unexpected {word!r}")
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_batches(batches: Iterator[pd.DataFrame], wanted: frozenset[str] | None = None) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for key, content in zip(batch["request_key"], batch["content"]):
@@ -242,28 +266,31 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((key, None, None, None, None, "The RDF content is empty"))
                 continue
             try:
-                rows += [(key, *triple, None) for triple in TurtleReader(content).read()]
-            except ValueError as problem:
+                found = TurtleReader(content).read()
+                rows += [(key, *triple, None) for triple in found if wanted is None or triple[1] in wanted]
+            except Exception as problem:  # noqa: BLE001  one unreadable payload must not stop the others
                 rows.append((key, None, None, None, None, f"The RDF content is not valid Turtle: {problem}"))
         yield pd.DataFrame(rows, columns=["request_key", "s", "p", "o", "o_kind", "error"])
 
 
-def triples(payloads: DataFrame) -> DataFrame:
-    """One row per triple of each (request_key, content), or one row with an error."""
-    return payloads.select("request_key", "content").mapInPandas(_read_batches, TRIPLE_SCHEMA)
+def triples(payloads: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """One row per triple of each (request_key, content), or one row with an error; only `wanted` predicates, if given."""
+    kept = None if wanted is None else frozenset(wanted)
+    return payloads.select("request_key", "content").mapInPandas(lambda batches: _read_batches(batches, kept), TRIPLE_SCHEMA)
 
 
 def _has_type(rdf_type: str) -> Callable[[Column], Column]:
     return lambda subject: F.array_contains(subject["types"], rdf_type)
 
 
-def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, EntityMapping]) -> DataFrame:
+def attributes(requests: DataFrame, graph: DataFrame, hops: list[Hop]) -> DataFrame:
     """Fields of each request's entity, or an error.
 
     `requests` has request_key and entity_type.  The subject is the smallest one of the mapped class, and a step
     with several objects takes the smallest, so results do not depend on row order.  A missing step gives NULL.
     """
-    fields = sorted({field for mapping in mappings.values() for field in mapping.fields})
+    fields = sorted({h.field for h in hops if h.field is not None})
+    types = {h.entity_type: h.iri for h in hops if h.field is None}
     by_request = graph.repartition("request_key")
     failed = by_request.where("error is not null").select("request_key", "error")
     facts = (
@@ -280,17 +307,18 @@ def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, Entity
     )
     known = requests.join(failed, "request_key", "left").join(facts, "request_key", "left")
     subject, values = F.lit(None).cast("string"), {field: F.lit(None).cast("string") for field in fields}
-    for entity_type, mapping in mappings.items():
+    for entity_type, rdf_type in types.items():
         applies = F.col("entity_type") == entity_type
-        found = F.try_element_at(F.filter("typed", _has_type(mapping.rdf_type)), F.lit(1))["s"]
+        found = F.try_element_at(F.filter("typed", _has_type(rdf_type)), F.lit(1))["s"]
         subject = F.when(applies, found).otherwise(subject)
-        for field, path in mapping.fields.items():
-            node = found if path else F.lit(None).cast("string")
-            for predicate in path or ():
-                node = F.try_element_at("facts", F.struct(node.alias("s"), F.lit(predicate).alias("p")))
+        for field in {h.field for h in hops if h.entity_type == entity_type and h.field is not None}:
+            node = found
+            for step in sorted((h for h in hops if (h.entity_type, h.field) == (entity_type, field)), key=lambda h: h.hop):
+                at = F.struct(node.alias("s"), F.lit(step.iri).alias("p"))
+                node = F.lit(None).cast("string") if step.iri is None else F.try_element_at("facts", at)
             values[field] = F.when(applies, node).otherwise(values[field])
     error = (
-        F.when(~F.coalesce(F.col("entity_type").isin(*mappings), F.lit(False)),
+        F.when(~F.coalesce(F.col("entity_type").isin(*types), F.lit(False)),
                F.concat(F.lit("No mapping is configured for entity type "), F.coalesce("entity_type", F.lit("NULL"))))
         .when(F.col("error").isNotNull(), F.col("error"))
         .when(subject.isNull(), F.lit("The RDF content holds no entity of the mapped type"))
@@ -298,13 +326,15 @@ def attributes(requests: DataFrame, graph: DataFrame, mappings: dict[str, Entity
     return known.select(*requests.columns, *[values[f].alias(f) for f in fields], error.alias("mapping_error"))
 
 
-def turtle_mapper(mappings: dict[str, EntityMapping]) -> Callable[[DataFrame], DataFrame]:
+def turtle_mapper(hops: list[Hop]) -> Callable[[DataFrame], DataFrame]:
     """Mapper of Turtle payloads: (request_key, entity_type, content) to request_key, fields and mapping_error.
 
-    Any function of this form can take its place for other payloads.
+    Any function of this form can take its place for other payloads.  Only triples that some path needs leave the reader.
     """
+    wanted = {RDF_TYPE} | {h.iri for h in hops if h.field is not None and h.iri is not None}
 
     def run(payloads: DataFrame) -> DataFrame:
-        return attributes(payloads.select("request_key", "entity_type"), triples(payloads), mappings).drop("entity_type")
+        graph = triples(payloads, wanted)
+        return attributes(payloads.select("request_key", "entity_type"), graph, hops).drop("entity_type")
 
     return run

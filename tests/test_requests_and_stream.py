@@ -9,7 +9,7 @@ from kinweave.plans.requests import Stored, process
 from kinweave.sources import mentions, rdf, requests, tables
 from kinweave.streaming import resolver
 
-MAPPED = rdf.shipped_mappings()
+MAPPED = rdf.shipped_hops()
 MAPPER = rdf.turtle_mapper(MAPPED)
 PAYLOAD = """@prefix org: <http://www.w3.org/ns/org#> .
 @prefix cccev: <http://data.europa.eu/m8g/> .
@@ -64,9 +64,11 @@ def test_turtle_subset(spark):
 
 def test_mapping_configuration():
     with pytest.raises(ValueError, match="nope"):
-        rdf.load_mappings({}, {"T": {"rdf_type": "nope:T", "fields": {}}})
-    empty = rdf.load_mappings(rdf.NAMESPACES, {"P": {"rdf_type": "epo:Procedure", "fields": {"country_code": None}}})
-    assert empty["P"].fields == {"country_code": None}
+        rdf.hop_table({}, {"T": {"rdf_type": "nope:T", "fields": {"a": "never:b"}}})
+    empty = rdf.hop_table(rdf.NAMESPACES, {"P": {"rdf_type": "epo:Procedure", "fields": {"country_code": None}}})
+    assert empty == [rdf.Hop("P", None, 0, rdf.NAMESPACES["epo"] + "Procedure"), rdf.Hop("P", "country_code", 0, None)]
+    path = [h for h in MAPPED if h.field == "post_code"]
+    assert [(h.hop, h.iri.rsplit("/", 1)[1]) for h in path] == [(0, "registeredAddress"), (1, "locn#postCode")]
 
 
 def test_one_answer_per_request_in_order(spark):
