@@ -8,6 +8,8 @@ of level combinations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from kinweave.config import ResolverConfig
 from kinweave.operators import blocking, scoring
 from kinweave.session import cut
 
+#: The score of a link from its match weight.
+Score = Callable[[Column], Column]
+
 
 def with_profile_id(mentions: DataFrame, known: DataFrame) -> DataFrame:
     """Mentions with the id of their profile."""
@@ -51,9 +56,9 @@ def best_match(mentions: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def joins(weight: Column, threshold: float) -> Column:
+def joins(weight: Column, threshold: float, score: Score = scoring.match_probability) -> Column:
     """Whether a best link is good enough to join its cluster (inclusive)."""
-    return F.coalesce(scoring.match_probability(weight) >= F.lit(threshold), F.lit(False))
+    return F.coalesce(score(weight) >= F.lit(threshold), F.lit(False))
 
 
 def roots(forest: DataFrame) -> DataFrame:
@@ -76,13 +81,15 @@ def roots(forest: DataFrame) -> DataFrame:
             return current.withColumnRenamed("parent", "root")
 
 
-def assign(best: DataFrame, config: ResolverConfig, stored: DataFrame | None = None) -> DataFrame:
+def assign(
+    best: DataFrame, config: ResolverConfig, stored: DataFrame | None = None, score: Score = scoring.match_probability
+) -> DataFrame:
     """Cluster of each new mention: its root's cluster.
 
     Every parent is the first mention of its profile, so only those take part in the pointer jumping.
     `stored` holds (arrival_seq, cluster_id) of mentions clustered before.
     """
-    parent = F.when(joins(F.col("best_weight"), config.threshold), F.col("best_seq")).otherwise(F.col("arrival_seq"))
+    parent = F.when(joins(F.col("best_weight"), config.threshold, score), F.col("best_seq")).otherwise(F.col("arrival_seq"))
     edges = cut(best.withColumn("parent", parent))
     inner = edges.where(F.col("arrival_seq") == F.col("profile_id"))
     top = roots(inner.select(F.col("arrival_seq").alias("node"), "parent"))
@@ -112,8 +119,13 @@ def earliest_mentions(mentions: DataFrame, top_n: int) -> DataFrame:
 def top_links(mentions: DataFrame, links: DataFrame, top_n: int) -> DataFrame:
     """The best `top_n` links of each new mention to earlier ones (ties: earliest arrival first)."""
     order = Window.partitionBy("new_profile", "match_weight").orderBy("arrival_seq")
+    # Each of the first `top_n` linked profiles has a mention before any of a later one, so later ones never count.
+    first = Window.partitionBy("new_profile", "match_weight").orderBy("stored_profile")
     choices = (
         links.select("new_profile", "stored_profile", "match_weight")
+        .withColumn("position", F.row_number().over(first))
+        .where(F.col("position") <= top_n)
+        .drop("position")
         .join(earliest_mentions(mentions, top_n), "stored_profile")
         .withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= top_n)
@@ -143,13 +155,16 @@ def top_links(mentions: DataFrame, links: DataFrame, top_n: int) -> DataFrame:
     )
 
 
-def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame, top_n: int) -> DataFrame:
+def rank_candidates(
+    mentions: DataFrame, links: DataFrame, clusters: DataFrame, top_n: int, score: Score = scoring.match_probability
+) -> DataFrame:
     """Ranked candidate clusters of each new mention, from all its links to earlier mentions.
 
-    A cluster scores its best link; the own cluster is added at 0.0 before the cut.  Ties go to the cluster
-    whose best-scoring link arrived first.  `clusters` holds profile_id, arrival_seq, mention_id and cluster_id of
-    all mentions.
+    A cluster scores its best link, as a float, the form scores have at rest; the own cluster is added at 0.0 before the
+    cut.  Ties go to the cluster whose best-scoring link arrived first, as in `requery`.  `clusters` holds profile_id,
+    arrival_seq, mention_id and cluster_id of all mentions.
     """
+    links = links.select("new_profile", "stored_profile", score(F.col("match_weight")).cast("float").alias("match_weight"))
     in_profile = Window.partitionBy("stored_profile").orderBy("first_seq")
     seen = (
         clusters.groupBy(F.col("profile_id").alias("stored_profile"), "cluster_id")
@@ -176,7 +191,7 @@ def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame,
     ranked = """
         slice(sort_array(
           CASE WHEN exists(found, f -> f.cluster_id = own_cluster) THEN found
-               ELSE concat(found, array(struct(double('Infinity') AS order, arrival_seq AS first_seq, own_cluster AS cluster_id)))
+               ELSE concat(found, array(struct(float('Infinity') AS order, arrival_seq AS first_seq, own_cluster AS cluster_id)))
           END), 1, {top_n})"""
     found = """
         transform(
@@ -186,10 +201,9 @@ def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame,
               c -> struct(array_min(filter(c.steps, s -> s.first_seq < arrival_seq)) AS best, c.cluster_id AS cluster_id)),
             f -> f.best IS NOT NULL),
           f -> struct(f.best.order AS order, f.best.first_seq AS first_seq, f.cluster_id AS cluster_id))"""
+    asked = _only_new(mentions).select("mention_id").join(clusters, "mention_id") if "is_new" in mentions.columns else clusters
     return (
-        _only_new(mentions)
-        .select("mention_id")
-        .join(clusters, "mention_id")
+        asked.select("mention_id", "arrival_seq", "profile_id", "cluster_id")
         .withColumnRenamed("cluster_id", "own_cluster")
         .join(choices, "profile_id", "left")
         .withColumn("found", F.expr(found))
@@ -199,7 +213,7 @@ def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame,
             "arrival_seq",
             "own_cluster",
             "offer.cluster_id",
-            scoring.match_probability(-F.col("offer.order")).alias("score"),
+            F.when(F.col("offer.order") == float("inf"), 0.0).otherwise(-F.col("offer.order")).cast("double").alias("score"),
             (F.col("position") + 1).alias("rank"),
         )
     )
@@ -208,23 +222,26 @@ def rank_candidates(mentions: DataFrame, links: DataFrame, clusters: DataFrame,
 def requery(stored_links: DataFrame, clusters: DataFrame, top_n: int, ids: DataFrame | None = None) -> DataFrame:
     """Candidates of resolved mentions from stored links, whichever end they are on.
 
-    `stored_links` holds mention_id_l, mention_id_r and match_probability at rest (float).
+    `stored_links` holds mention_id_l, mention_id_r and match_probability at rest (float), `clusters` mention_id,
+    arrival_seq and cluster_id.  Ties go to the cluster whose best-scoring link arrived first.
     """
     owners, ends = clusters, links_either_side(stored_links)
     if ids is not None:
         owners, ends = owners.join(ids, "mention_id", "left_semi"), ends.join(ids, "mention_id", "left_semi")
-    own = owners.select("mention_id", "cluster_id", F.lit(0.0).cast("float").alias("score"))
+    own = owners.select("mention_id", "cluster_id", F.lit(0.0).cast("float").alias("score"), "arrival_seq")
     linked = (
-        ends.join(clusters.select(F.col("mention_id").alias("other_id"), "cluster_id"), "other_id")
-        .select("mention_id", "cluster_id", F.col("match_probability").alias("score"))
+        ends.join(clusters.select(F.col("mention_id").alias("other_id"), "cluster_id", "arrival_seq"), "other_id")
+        .select("mention_id", "cluster_id", F.col("match_probability").alias("score"), "arrival_seq")
     )
-    order = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), "cluster_id")
+    order = Window.partitionBy("mention_id").orderBy(F.col("score").desc(), "first_seq", "cluster_id")
+    best = F.min(F.struct((-F.col("score")).alias("order"), "arrival_seq"))
     return (
         linked.unionByName(own)
         .groupBy("mention_id", "cluster_id")
-        .agg(F.max("score").alias("score"))
+        .agg(F.max("score").alias("score"), best["arrival_seq"].alias("first_seq"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
+        .drop("first_seq")
     )
 
 
@@ -239,21 +256,20 @@ def links_either_side(stored_links: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
-def members(clusters: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Members of each cluster in arrival order.
+def members(clusters: DataFrame, slice_: int = 100_000) -> DataFrame:
+    """Members of each cluster, one row each: cluster_id, members (its size), position in arrival order from 1, mention_id.
 
-    The lists are cut by arrival number, `chunk` numbers each, so a list stays bounded in any cluster.
+    Positions are counted within slices of arrival numbers, which start behind the members of all earlier slices, so the
+    members of one huge cluster are numbered by many tasks.
     """
-    return (
-        clusters.groupBy("cluster_id", F.floor(F.col("arrival_seq") / chunk).alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct("arrival_seq", "mention_id"))).alias("found"))
-        .select(
-            "cluster_id",
-            "part",
-            F.size("found").cast("long").alias("members"),
-            F.col("found.mention_id").alias("mention_ids"),
-        )
-    )
+    sliced = clusters.select("cluster_id", "arrival_seq", "mention_id", F.floor(F.col("arrival_seq") / slice_).alias("slice"))
+    sizes = sliced.groupBy("cluster_id", "slice").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("cluster_id")
+    upto = F.sum("n").over(whole.orderBy("slice"))
+    sizes = sizes.select("cluster_id", "slice", (upto - F.col("n")).alias("before"), F.sum("n").over(whole).alias("members"))
+    nth = F.row_number().over(Window.partitionBy("cluster_id", "slice").orderBy("arrival_seq"))
+    numbered = sliced.withColumn("nth", nth).join(sizes, ["cluster_id", "slice"])
+    return numbered.select("cluster_id", "members", (F.col("nth") + F.col("before")).alias("position"), "mention_id")
 
 
 def cluster_of(ids: DataFrame, clusters: DataFrame) -> DataFrame:

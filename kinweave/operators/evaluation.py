@@ -16,9 +16,20 @@ VARIANT_SIMILARITY = 0.95
 UNRELATED_BELOW = 0.8
 
 
+#: Counts of pairs are decimals: products of counts of rows, exact beyond 64 bits.
+COUNT, PAIRS = "decimal(19,0)", "decimal(38,0)"
+
+
+def product(left: Column, right: Column) -> Column:
+    """Exact product of two counts of rows."""
+    return (left.cast(COUNT) * right.cast(COUNT)).cast(PAIRS)
+
+
 def pairs_of(size: Column) -> Column:
-    """Number of unordered pairs in a group."""
-    return (size * (size - 1) / 2).cast("long")
+    """Number of unordered pairs in a group: the even one of n and n - 1 is halved before they are multiplied."""
+    even = size % 2 == 0
+    half = F.when(even, F.shiftright(size, 1)).otherwise(F.shiftright(size - 1, 1))
+    return product(half, F.when(even, size - 1).otherwise(size))
 
 
 def with_name_keys(mentions: DataFrame) -> DataFrame:
@@ -53,17 +64,30 @@ def first_rule_counts(mentions: DataFrame, rules: list[list[str]]) -> DataFrame:
     Agreeing on two rules is agreeing on the fields of both, so inclusion and exclusion of group counts is exact
     and no pair is ever formed.
     """
-    terms = []
+    every = sorted({field for rule in rules for field in rule})
+    signs: dict[tuple[str, ...], dict[int, int]] = {}
     for number, rule in enumerate(rules):
         for size in range(number + 1):
             for earlier in combinations(rules[:number], size):
-                fields = sorted({field for r in (rule, *earlier) for field in r})
-                terms.append(
-                    equal_pairs(mentions, fields).select(
-                        F.lit(number).alias("match_key"), (F.col("pairs") * (-1) ** size).alias("pairs")
-                    )
-                )
-    return reduce(DataFrame.unionByName, terms).groupBy("match_key").agg(F.sum("pairs").alias("pairs"))
+                fields = tuple(sorted({field for r in (rule, *earlier) for field in r}))
+                counted = signs.setdefault(fields, {})
+                counted[number] = counted.get(number, 0) + (-1) ** size
+    # One scan: equal rows are combined first, then grouped by all sets of fields at once.  The grouping id tells the set,
+    # one bit per field, set where the field is left out; groups that lack a value of their set admit nothing.
+    rows = mentions.groupBy(*every).agg(F.count("*").alias("n"))
+    sets = [[F.col(f) for f in fields] for fields in signs]
+    grouped = rows.groupingSets(sets, *[F.col(f) for f in every]).agg(F.grouping_id().alias("set"), F.sum("n").alias("n"))
+    terms = []
+    for fields, counted in signs.items():
+        number = sum(1 << (len(every) - 1 - i) for i, f in enumerate(every) if f not in fields)
+        present = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields])
+        for match_key, sign in counted.items():
+            if sign:
+                terms.append(F.when((F.col("set") == number) & present, F.struct(F.lit(match_key).alias("match_key"), F.lit(sign).alias("sign"))))
+    signed = grouped.select(pairs_of(F.col("n")).alias("pairs"), F.explode(F.array_compact(F.array(*terms))).alias("term"))
+    found = signed.groupBy("term.match_key").agg(F.sum(F.col("pairs") * F.col("term.sign")).alias("pairs"))
+    keys = mentions.sparkSession.createDataFrame([(i,) for i in range(len(rules))], "match_key int")
+    return keys.join(found, "match_key", "left").select("match_key", F.coalesce(F.col("pairs"), F.lit(0)).cast(PAIRS).alias("pairs"))
 
 
 def counted_values(mentions: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +121,7 @@ def similar_names(values: DataFrame, keys: list[str], cutoff: float) -> DataFram
             "l_name",
             "r_name",
             "similarity",
-            (F.col("l_n") * F.col("r_n")).alias("pairs"),
+            product(F.col("l_n"), F.col("r_n")).alias("pairs"),
         )
     )
 
@@ -124,7 +148,7 @@ def variant_pairs_agreeing(mentions: DataFrame, variants: DataFrame, also: list[
         variants.select(*keys, "l_name", "r_name")
         .join(l, [*keys, "l_name"])
         .join(r, [*keys, "r_name", *also])
-        .agg(F.coalesce(F.sum(F.col("l_n") * F.col("r_n")), F.lit(0)).alias("pairs"))
+        .agg(F.coalesce(F.sum(product(F.col("l_n"), F.col("r_n"))), F.lit(0)).alias("pairs"))
     )
 
 
@@ -145,9 +169,8 @@ def unrelated_pairs(clustered: DataFrame) -> DataFrame:
     """
     values = counted_values(clustered, ["cluster_id"])
     different = values.groupBy("cluster_id").agg(
-        ((F.pow(F.sum("mentions"), F.lit(2)) - F.sum(F.col("mentions") * F.col("mentions"))) / 2)
-        .cast("long")
-        .alias("different")
+        # all pairs minus those of equal names
+        (pairs_of(F.sum("mentions")) - F.sum(pairs_of(F.col("mentions")))).cast(PAIRS).alias("different")
     )
     similar = similar_names(values, ["cluster_id"], UNRELATED_BELOW).groupBy("cluster_id").agg(F.sum("pairs").alias("similar"))
     return (

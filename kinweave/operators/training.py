@@ -89,11 +89,16 @@ def u_shares(rows: list[dict], comparison: Comparison) -> dict[int, float]:
 def expectation_maximisation(
     rows: list[dict], comparisons: tuple[Comparison, ...], u: dict[str, dict[int, float]], prior: float
 ) -> dict[str, dict[int, float]]:
-    """m of every observed level, on the bounded pattern table, with u and the prior fixed."""
+    """m of every observed level, on the bounded pattern table, with u fixed.
+
+    The share of matches among the training pairs is estimated along with m, from the configured prior on; it belongs to
+    these pairs only, so it is not part of the result.
+    """
     m = {c.field: dict(zip(c.levels, default_parameters(c.levels)[0])) for c in comparisons}
     for _ in range(MAX_ROUNDS):
         expected = {c.field: dict.fromkeys(c.levels, 0.0) for c in comparisons}
         present = {c.field: 0.0 for c in comparisons}
+        matches = total = 0.0
         for row in rows:
             match, other = prior, 1.0 - prior
             for c in comparisons:
@@ -102,6 +107,7 @@ def expectation_maximisation(
                     match *= m[c.field][level]
                     other *= u[c.field].get(level, 1.0)
             weight = row["pairs"] * match / (match + other) if match + other else 0.0
+            matches, total = matches + weight, total + row["pairs"]
             for c in comparisons:
                 level = row[scoring.gamma(c.field)]
                 if level != scoring.NULL_LEVEL:
@@ -114,6 +120,8 @@ def expectation_maximisation(
                     updated = expected[c.field][level] / present[c.field]
                     change = max(change, abs(updated - m[c.field][level]))
                     m[c.field][level] = updated
+        if total:
+            change, prior = max(change, abs(matches / total - prior)), matches / total
         if change < CONVERGED_BELOW:
             break
     return m
