@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave import config as settings
 from kinweave.functions import text
 from kinweave.operators import blocking, clustering, evaluation, guards, measures, scoring, training
-from kinweave.plans.requests import Outcome, Stored, process
+from kinweave.plans.requests import Outcome, Stored, process, read_requests
 from kinweave.plans.resolve import Linked, Resolution, link, resolve
-from kinweave.session import cut
-from kinweave.sources import rdf, requests, tables, views
+from kinweave.session import cut, shared_folder
+from kinweave.sources import mentions, rdf, requests, tables, views
 
 TURNS_PER_CONVERSATION = 1 << 20
+REPLAYED = 1 << 19
 WINDOW = 2500
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SUBMISSION_FIELDS = ["legal_name", "country_code"]
@@ -47,6 +49,11 @@ def _score(column: str):
     return F.round(F.col(column).cast("double"), 6)
 
 
+def _long(frame: DataFrame) -> DataFrame:
+    """Counts of pairs as 64-bit numbers, the type of the SQL they are compared with."""
+    return frame.withColumns({f.name: F.col(f.name).cast("long") for f in frame.schema if f.dataType.typeName() == "decimal"})
+
+
 # --- expressions -----------------------------------------------------------------------------------------------
 
 
@@ -74,26 +81,27 @@ def queue_wait(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def block_equality(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.blocks(views.parts(spark, folder), ["country_code"])
+    return _long(evaluation.blocks(views.parts(spark, folder), ["country_code"]))
 
 
 def block_compound(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.blocks(views.parts(spark, folder), ["country_code", "nuts_code"])
+    return _long(evaluation.blocks(views.parts(spark, folder), ["country_code", "nuts_code"]))
 
 
 def block_multirule(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.first_rule_counts(views.pages(spark, folder), [["country_code"], ["post_name"], ["legal_name"]])
+    return _long(evaluation.first_rule_counts(views.pages(spark, folder), [["country_code"], ["post_name"], ["legal_name"]]))
 
 
 def block_prefix_address(spark: SparkSession, folder: str) -> DataFrame:
     mentions = cut(evaluation.with_name_keys(views.pages(spark, folder)))
-    return evaluation.first_rule_counts(mentions, PREFIX_ADDRESS_RULES)
+    return _long(evaluation.first_rule_counts(mentions, PREFIX_ADDRESS_RULES))
 
 
 def dedupe_pairs(spark: SparkSession, folder: str) -> DataFrame:
     mentions = evaluation.with_name_keys(views.documents(spark, folder))
     keyed = mentions.withColumn("name", F.sha2("name", 256))
-    return evaluation.blocks(keyed, ["country_code", "name"]).where("pairs > 0").select("first_mention", "mentions", "pairs")
+    found = evaluation.blocks(keyed, ["country_code", "name"]).where("pairs > 0")
+    return _long(found.select("first_mention", "mentions", "pairs"))
 
 
 def block_name_similarity(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +117,7 @@ def jaro_winkler(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rounded_similarity(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("similarity", F.round("similarity", 9)).drop("l_value", "r_value")
+    return _long(pairs.withColumn("similarity", F.round("similarity", 9)).drop("l_value", "r_value"))
 
 
 def compare_levels(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,8 +193,7 @@ def greedy_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_members(spark: SparkSession, folder: str) -> DataFrame:
-    listed = clustering.members(_parts(spark, folder).clusters)
-    return listed.withColumn("mention_ids", F.array_join("mention_ids", ","))
+    return clustering.members(_parts(spark, folder).clusters)
 
 
 def state_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,7 +307,12 @@ def idempotent_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def in_batch_guard(spark: SparkSession, folder: str) -> DataFrame:
-    judged = guards.in_batch(_submissions(spark, folder), ["country_code"])
+    """First turns arrive a second time, behind the other turns of their conversation."""
+    incoming = _submissions(spark, folder)
+    again = incoming.where("turn = 0").withColumns(
+        {"turn": F.col("turn") + REPLAYED, "arrival_seq": F.col("arrival_seq") + REPLAYED}
+    )
+    judged = guards.in_batch(incoming.unionByName(again), SUBMISSION_FIELDS)
     return judged.select("mention_id", "turn", "guard")
 
 
@@ -317,10 +329,11 @@ def gamma_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 def em_train(spark: SparkSession, folder: str) -> DataFrame:
     trained = training.train(views.parts(spark, folder), parts_config())
-    return spark.createDataFrame(
+    rows = spark.createDataFrame(
         scoring.parameter_rows(trained.model, trained.comparisons),
         "field string, level int, label string, m double, u double, weight double, source string",
     )
+    return rows.withColumns({c: F.round(c, 6) for c in ("m", "u", "weight")})
 
 
 # --- evaluation ------------------------------------------------------------------------------------------------
@@ -347,7 +360,7 @@ def pairs_per_mention(spark: SparkSession, folder: str) -> DataFrame:
     counted.append(
         similar.unionByName(same).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).withColumn("variant", F.lit("name_similarity"))
     )
-    return reduce(DataFrame.unionByName, counted).select(
+    return _long(reduce(DataFrame.unionByName, counted)).select(
         "variant", "pairs", F.round(F.col("pairs") / F.lit(total), 6).alias("pairs_per_mention")
     )
 
@@ -356,7 +369,7 @@ def reference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     mentions = cut(evaluation.with_name_keys(views.parts(spark, folder)))
     exact = evaluation.exact_pairs(mentions).withColumn("reference", F.lit("exact"))
     variants = evaluation.variant_names(mentions).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
-    return exact.unionByName(variants.withColumn("reference", F.lit("variant"))).select("reference", "pairs")
+    return _long(exact.unionByName(variants.withColumn("reference", F.lit("variant"))).select("reference", "pairs"))
 
 
 def blocking_recall(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,7 +391,7 @@ def blocking_recall(spark: SparkSession, folder: str) -> DataFrame:
             rows.append(admitted.select(*label, F.col("pairs").alias("admitted"), none.alias("reference_pairs")))
             rows.append(whole.select(*label, none.alias("admitted"), F.col("pairs").alias("reference_pairs")))
     return (
-        reduce(DataFrame.unionByName, rows)
+        _long(reduce(DataFrame.unionByName, rows))
         .groupBy("rule", "reference")
         .agg(F.sum("admitted").alias("admitted"), F.sum("reference_pairs").alias("reference_pairs"))
         .withColumn("recall", F.round(F.try_divide("admitted", "reference_pairs"), 6))
@@ -410,7 +423,7 @@ def _recall_of(mentions: DataFrame) -> DataFrame:
         rows.append(together.select(label, F.col("pairs").alias("together"), none.alias("reference_pairs")))
         rows.append(whole.select(label, none.alias("together"), F.col("pairs").alias("reference_pairs")))
     return (
-        reduce(DataFrame.unionByName, rows)
+        _long(reduce(DataFrame.unionByName, rows))
         .groupBy("reference")
         .agg(F.sum("together").alias("together"), F.sum("reference_pairs").alias("reference_pairs"))
         .withColumn("recall", F.round(F.try_divide("together", "reference_pairs"), 6))
@@ -418,11 +431,11 @@ def _recall_of(mentions: DataFrame) -> DataFrame:
 
 
 def unrelated_merges(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.unrelated_pairs(_clustered(spark, folder, _parts(spark, folder)))
+    return _long(evaluation.unrelated_pairs(_clustered(spark, folder, _parts(spark, folder))))
 
 
 def co_clustered_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.co_clustered(_parts(spark, folder).clusters)
+    return _long(evaluation.co_clustered(_parts(spark, folder).clusters))
 
 
 def evaluate_variant(spark: SparkSession, folder: str) -> DataFrame:
@@ -450,7 +463,7 @@ def evaluate_variant(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("measure", "v")
     )
     single = [("admitted_pairs", admitted), ("merged_pairs", merged), ("unrelated_pairs", unrelated)]
-    parts = [frame.select(F.lit(name).alias("measure"), "v") for name, frame in single]
+    parts = [_long(frame).select(F.lit(name).alias("measure"), "v") for name, frame in single]
     return reduce(DataFrame.unionByName, [*parts, counters, recall]).withColumnRenamed("v", "value")
 
 
@@ -486,11 +499,12 @@ def rdf_prefix_resolve(spark: SparkSession, folder: str) -> DataFrame:
 def rdf_property_path(spark: SparkSession, folder: str) -> DataFrame:
     parsed = requests.parse(_page_requests(spark, folder).select("arrival_seq", "raw"))
     payloads = parsed.withColumnRenamed("arrival_seq", "request_key")
-    return rdf.turtle_mapper(rdf.shipped_mappings())(payloads)
+    return rdf.turtle_mapper(rdf.shipped_hops())(payloads)
 
 
 def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every supplier once, some again, some with another name, some broken, in arrival order."""
+    """Every supplier once, some again, some with another name, in arrival order; some broken, some with payloads that no
+    reader can take: a character that does not exist, and brackets that open by the thousand."""
     mentions = views.suppliers(spark, folder)
     balance = views.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("arrival_seq"), "s_acctbal")
     known = mentions.join(balance, "arrival_seq")
@@ -499,11 +513,19 @@ def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
 
     def rendered(rows: DataFrame, step: int) -> DataFrame:
         messages = requests.render(rows, F.lit(SOURCE_ID), created)
-        return messages.select((F.col("arrival_seq") * 4 + step).alias("arrival_seq"), "raw")
+        return messages.select((F.col("arrival_seq") * 8 + step).alias("arrival_seq"), "raw")
 
     broken = rendered(known.where("s_acctbal > 9000"), 3).withColumn("raw", F.concat(F.lit("{"), "raw"))
     repeated = rendered(known.where("s_acctbal > 5000"), 1)
-    return cut(rendered(known, 0).unionByName(repeated).unionByName(rendered(renamed, 2)).unionByName(broken))
+    odd = {4: ("epo:hasLegalName ", '\\"\\\\uD800\\" , '), 5: ("epo:hasLegalName ", "[ epo:x " * 3000)}
+    unreadable = [
+        rendered(known.where(f"s_acctbal BETWEEN {at} AND {at + 1000}"), step).withColumn(
+            "raw", F.replace("raw", F.lit(word), F.lit(word + more))
+        )
+        for at, (step, (word, more)) in zip((3000, 6000), odd.items())
+    ]
+    sent = [rendered(known, 0), repeated, rendered(renamed, 2), broken, *unreadable]
+    return cut(reduce(DataFrame.unionByName, sent))
 
 
 def _processed(spark: SparkSession, folder: str) -> Outcome:
@@ -513,19 +535,88 @@ def _processed(spark: SparkSession, folder: str) -> Outcome:
         spark.createDataFrame([], tables.LINK_LAYOUT),
         spark.createDataFrame([], tables.CLUSTER_LAYOUT),
     )
-    return process(_supplier_messages(spark, folder), stored, config, rdf.turtle_mapper(rdf.shipped_mappings()))
+    return process(_supplier_messages(spark, folder), stored, config, rdf.turtle_mapper(rdf.shipped_hops()))
 
 
 def process_requests(spark: SparkSession, folder: str) -> DataFrame:
-    answer = F.from_json("response", "type string, error_type string, candidates array<struct<cluster_id string>>")
+    """Every answer: its best cluster and score, and a digest of all its clusters in their order."""
+    offers = "array<struct<cluster_id string, confidence_score double>>"
+    answer = F.from_json("response", f"type string, error_type string, candidates {offers}")
+    first = F.try_element_at("r.candidates", F.lit(1))
     return (
         _processed(spark, folder)
         .responses.withColumn("r", answer)
-        .select("arrival_seq", "ere_request_id", "r.type", "r.error_type", F.size("r.candidates").alias("candidates"))
-        .withColumn("candidates", F.when(F.col("candidates") >= 0, F.col("candidates")))
+        .select(
+            "arrival_seq",
+            "ere_request_id",
+            "r.type",
+            "r.error_type",
+            F.when(F.col("r.candidates").isNotNull(), F.size("r.candidates")).alias("candidates"),
+            first["cluster_id"].alias("top_cluster"),
+            F.round(first["confidence_score"], 6).alias("top_score"),
+            F.sha2(F.array_join("r.candidates.cluster_id", ","), 256).alias("order_digest"),
+        )
     )
 
 
+def resolve_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The first half of the parts is stored, then the second half resolved against it; clusters of all."""
+    config, parts = parts_config(), views.parts(spark, folder)
+    half = parts.agg(F.floor((F.min("arrival_seq") + F.max("arrival_seq")) / 2)).first()[0]
+    stored = resolve(parts.where(F.col("arrival_seq") <= half), config).clusters.select("mention_id", "cluster_id")
+    later = resolve(parts.withColumn("is_new", F.col("arrival_seq") > half), config, stored)
+    return stored.unionByName(later.clusters.select("mention_id", "cluster_id"))
+
+
+def request_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of unknown entity types, without a type, without an id, and of other message types, by market segment."""
+    customers = views.table(spark, folder, "customer")
+    kinds = {
+        "AUTOMOBILE": (requests.REQUEST_TYPE, "VEHICLE", True),
+        "BUILDING": (None, "ORGANISATION", True),
+        "FURNITURE": (requests.REQUEST_TYPE, "ORGANISATION", False),
+        "MACHINERY": ("RebuildRequest", "ORGANISATION", True),
+    }
+
+    def by_segment(place: int) -> Column:
+        pairs = [F.lit(x) for segment, kind in kinds.items() for x in (segment, kind[place]) if kind[place] is not None]
+        return F.try_element_at(F.create_map(*pairs), F.col("c_mktsegment"))
+
+    key = F.col("c_custkey").cast("string")
+    named = F.coalesce(by_segment(2), F.lit(True))
+    ids = F.struct(
+        F.when(named, key).alias("request_id"), F.lit(SOURCE_ID).alias("source_id"), F.coalesce(by_segment(1), F.lit("PERSON")).alias("entity_type")
+    )
+    mention = F.struct(ids.alias("identifiedBy"), F.lit("<a> a <b> .").alias("content"), F.lit(requests.CONTENT_TYPE).alias("content_type"))
+    body = F.to_json(F.struct(F.coalesce(by_segment(0), F.when(F.col("c_mktsegment") == "HOUSEHOLD", requests.REQUEST_TYPE)).alias("type"), mention.alias("entity_mention")))
+    raw = customers.select(F.col("c_custkey").alias("arrival_seq"), body.alias("raw"))
+    read = read_requests(raw, settings.shipped(), rdf.turtle_mapper(rdf.shipped_hops()))
+    return read.select("arrival_seq", "request_id", "error_type", "error_detail")
+
+
+def corpus_growth(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts grown three-fold, counted by cycle and brand."""
+    grown = evaluation.synthetic_corpus(views.parts(spark, folder), 3)
+    cycle = F.substring_index("mention_id", "-", -1).cast("int")
+    return grown.groupBy(cycle.alias("cycle"), "country_code").agg(
+        F.count("*").alias("mentions"), F.min("arrival_seq").alias("first_seq"), F.countDistinct("legal_name").alias("names")
+    )
+
+
+def random_pair_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Levels of random pairs of the training sample."""
+    sample, config = training_sample(spark, folder), parts_config()
+    return training.patterns(training.random_pairs(sample, [c.field for c in config.comparisons]), config)
+
+
+def mention_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppliers written as a CSV file and read again."""
+    path = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    columns = ["mention_id", "arrival_seq", "legal_name", "country_code", "nuts_code"]
+    views.suppliers(spark, folder).select(columns).write.option("header", True).csv(path)
+    return mentions.read_csv(spark, path, columns, columns[2:])
+
+
 def lifecycle_events(spark: SparkSession, folder: str) -> DataFrame:
     found = _processed(spark, folder).events
     return found.groupBy("event", "guard", "decision").agg(
@@ -559,6 +650,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         greedy_clusters,
+        resolve_incremental,
         mention_id,
         normalise_name,
         queue_wait,
@@ -593,7 +685,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         in_batch_guard,
         training_sample,
         gamma_patterns,
+        random_pair_levels,
         em_train,
+        corpus_growth,
         pairs_per_mention,
         reference_pairs,
         blocking_recall,
@@ -605,6 +699,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_parse,
         rdf_prefix_resolve,
         rdf_property_path,
+        request_errors,
+        mention_files,
         process_requests,
         lifecycle_events,
         latency_summary,

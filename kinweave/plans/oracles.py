@@ -113,19 +113,19 @@ def _stored(top_n: int) -> str:
 
 def _candidates(top_n: int) -> str:
     return f"""per_level AS (
-  SELECT l.ml AS mention_id, c.cluster_id, l.w, min(l.sr) AS first_seq
+  SELECT l.ml AS mention_id, c.cluster_id, CAST({PROBABILITY} AS REAL) AS p, min(l.sr) AS first_seq
   FROM links l JOIN clusters c ON c.mention_id = l.mr GROUP BY ALL),
 linked AS (
   SELECT * EXCLUDE n FROM (
-    SELECT *, row_number() OVER (PARTITION BY mention_id, cluster_id ORDER BY w DESC) AS n FROM per_level) WHERE n = 1),
+    SELECT *, row_number() OVER (PARTITION BY mention_id, cluster_id ORDER BY p DESC) AS n FROM per_level) WHERE n = 1),
 offers AS (
   SELECT * FROM linked
   UNION ALL
   SELECT c.mention_id, c.cluster_id, NULL, c.seq FROM clusters c
   WHERE NOT EXISTS (SELECT 1 FROM linked k WHERE k.mention_id = c.mention_id AND k.cluster_id = c.cluster_id)),
 candidates AS (
-  SELECT mention_id, cluster_id, round(coalesce({PROBABILITY}, 0), 6) AS score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY w DESC NULLS LAST, first_seq) AS rank FROM offers)
+  SELECT mention_id, cluster_id, round(CAST(coalesce(p, 0) AS DOUBLE), 6) AS score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p DESC NULLS LAST, first_seq) AS rank FROM offers)
   WHERE rank <= {top_n})"""
 
 
@@ -258,22 +258,90 @@ def _page_content() -> str:
 
 SUPPLIERS = f"""mentions AS (
   SELECT sha256('{catalog.SOURCE_ID}' || 's' || s_suppkey || 'ORGANISATION') AS mention_id, 's' || s_suppkey AS request_id,
-         s_suppkey * 4 AS seq, s_name AS legal_name, n_name AS country_code, r_name AS nuts_code,
+         s_suppkey * 8 AS seq, s_name AS legal_name, n_name AS country_code, r_name AS nuts_code,
          NULL::VARCHAR AS post_code, NULL::VARCHAR AS post_name, NULL::VARCHAR AS thoroughfare, {_norm("s_name")} AS name, s_acctbal
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 MESSAGES = """messages AS (
   SELECT seq AS arrival_seq, request_id, mention_id, 'new' AS guard FROM mentions
   UNION ALL SELECT seq + 1, request_id, mention_id, 'repeat' FROM mentions WHERE s_acctbal > 5000
   UNION ALL SELECT seq + 2, request_id, mention_id, 'conflict' FROM mentions WHERE s_acctbal < 0
-  UNION ALL SELECT seq + 3, NULL, NULL, 'broken' FROM mentions WHERE s_acctbal > 9000)"""
+  UNION ALL SELECT seq + 3, NULL, NULL, 'broken' FROM mentions WHERE s_acctbal > 9000
+  UNION ALL SELECT seq + 4, request_id, NULL, 'odd' FROM mentions WHERE s_acctbal BETWEEN 3000 AND 4000
+  UNION ALL SELECT seq + 5, request_id, NULL, 'odd' FROM mentions WHERE s_acctbal BETWEEN 6000 AND 7000)"""
 REQUERY_COUNTS = """sides AS (
-  SELECT mention_id_l AS mention_id, mention_id_r AS other FROM stored_links
-  UNION ALL SELECT mention_id_r, mention_id_l FROM stored_links),
+  SELECT mention_id_l AS mention_id, mention_id_r AS other, match_probability AS p FROM stored_links
+  UNION ALL SELECT mention_id_r, mention_id_l, match_probability FROM stored_links),
 offered AS (
-  SELECT s.mention_id, c.cluster_id FROM sides s JOIN clusters c ON c.mention_id = s.other
-  UNION SELECT mention_id, cluster_id FROM clusters),
-later AS (SELECT mention_id, least(count(DISTINCT cluster_id), 100) AS n FROM offered GROUP BY 1),
-firsts AS (SELECT mention_id, count(*) AS n FROM candidates GROUP BY 1)"""
+  SELECT s.mention_id, c.cluster_id, s.p, c.seq FROM sides s JOIN clusters c ON c.mention_id = s.other
+  UNION ALL SELECT mention_id, cluster_id, CAST(0 AS REAL), seq FROM clusters),
+best_offer AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id, cluster_id ORDER BY p DESC, seq) AS n FROM offered) WHERE n = 1),
+again AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p DESC, seq, cluster_id) AS rank FROM best_offer) WHERE rank <= 100),
+later AS (
+  SELECT mention_id, count(*) AS n, arg_min(cluster_id, rank) AS top_cluster, round(CAST(arg_min(p, rank) AS DOUBLE), 6) AS top_score,
+         sha256(string_agg(cluster_id, ',' ORDER BY rank)) AS order_digest FROM again GROUP BY 1),
+firsts AS (
+  SELECT mention_id, count(*) AS n, arg_min(cluster_id, rank) AS top_cluster, arg_min(score, rank) AS top_score,
+         sha256(string_agg(cluster_id, ',' ORDER BY rank)) AS order_digest FROM candidates GROUP BY 1)"""
+
+
+def _em_train(config: ResolverConfig) -> str:
+    """The training rounds as a recursion over one row: all m, the share of matches, and the last change."""
+    u_of, m_start, columns = {}, [], []
+    for c in config.comparisons:
+        start = settings.default_parameters(c.levels)[0]
+        for level, value in zip(c.levels, start):
+            columns.append((c.field, level, f"m_{c.field}_{level}"))
+            m_start.append(f"{_double(value)} AS m_{c.field}_{level}")
+    params = [(c.field, p.level, p.m, p.u, p.source) for c in config.comparisons for p in config.model.parameters[c.field]]
+    labels = {c.field: dict(zip(c.levels, ["exact", *[f">= {t}" for t in c.thresholds], "else"])) for c in config.comparisons}
+
+    def levels_of(table: str, field: str) -> str:
+        return f"SELECT '{field}' AS field, gamma_{field} AS level, sum(pairs) AS n FROM {table} WHERE gamma_{field} <> -1 GROUP BY 2"
+
+    fields = [c.field for c in config.comparisons]
+    random_ = " UNION ALL ".join(levels_of("random_patterns", f) for f in fields)
+    seen = " UNION ALL ".join(levels_of("patterns", f) for f in fields)
+    hand = ", ".join(f"('{f}', {n}, '{labels[f][n]}', {_double(float(m))}, {_double(float(u))}, '{s}')" for f, n, m, u, s in params)
+    own_u = " * ".join(
+        f"CASE gamma_{f} WHEN -1 THEN 1 ELSE (SELECT u FROM u WHERE u.field = '{f}' AND u.level = p.gamma_{f}) END" for f in fields
+    )
+    own_m = " * ".join(
+        "CASE gamma_" + f + " WHEN -1 THEN 1 " + " ".join(f"WHEN {n} THEN s.{name}" for g, n, name in columns if g == f) + " END" for f in fields
+    )
+    sums = ", ".join(
+        f"coalesce(sum(w) FILTER (WHERE gamma_{f} = {n}), 0) / NULLIF(sum(w) FILTER (WHERE gamma_{f} <> -1), 0) AS new_{name}" for f, n, name in columns
+    )
+    kept = ", ".join(f"any_value({name}) AS {name}" for _, _, name in columns)
+    moved = ", ".join(f"coalesce(new_{name}, {name}) AS {name}" for _, _, name in columns)
+    change = ", ".join(f"abs(coalesce(new_{name}, {name}) - {name})" for _, _, name in columns)
+    last = " UNION ALL ".join(f"SELECT '{f}' AS field, {n} AS level, {name} AS m FROM last" for f, n, name in columns)
+    return f"""WITH RECURSIVE {PARTS},
+sample AS (SELECT * FROM mentions ORDER BY mention_id LIMIT 200),
+graded AS (SELECT {_levels(config)}, l.country_code = r.country_code AS same FROM sample l JOIN sample r ON l.mention_id < r.mention_id),
+random_patterns AS (SELECT {_gammas(config)}, count(*) AS pairs FROM graded GROUP BY ALL),
+patterns AS (SELECT {_gammas(config)}, count(*) AS pairs FROM graded WHERE same GROUP BY ALL),
+hand(field, level, label, m, u, source) AS (VALUES {hand}),
+observed AS (SELECT field, level, n / sum(n) OVER (PARTITION BY field) AS u FROM ({random_})),
+seen AS ({seen}),
+u AS (SELECT h.field, h.level, coalesce(o.u, h.u) AS u FROM hand h LEFT JOIN observed o USING (field, level)),
+weighed AS (SELECT *, {own_u} AS other FROM patterns p),
+rounds AS (
+  SELECT 0 AS round, 1.0::DOUBLE AS change, {_double(float(config.model.prior))} AS prior, {", ".join(m_start)}
+  UNION ALL
+  SELECT round + 1, greatest(abs(new_prior - prior), {change}), new_prior, {moved} FROM (
+    SELECT any_value(round) AS round, any_value(prior) AS prior, sum(w) / sum(pairs) AS new_prior, {kept}, {sums} FROM (
+      SELECT p.*, s.*, p.pairs * s.prior * {own_m} / (s.prior * {own_m} + (1 - s.prior) * other) AS w
+      FROM weighed p, rounds s WHERE s.round < 25 AND s.change >= 1e-4) HAVING count(*) > 0)),
+last AS (SELECT * FROM rounds ORDER BY round DESC LIMIT 1),
+trained AS ({last}),
+result AS (
+  SELECT h.field, h.level, h.label, s.level IS NOT NULL AND t.m > 0 AS learned, o.u IS NOT NULL AS counted, h.source,
+         CASE WHEN s.level IS NOT NULL AND t.m > 0 THEN t.m ELSE h.m END AS m, coalesce(o.u, h.u) AS u
+  FROM hand h JOIN trained t USING (field, level) LEFT JOIN seen s USING (field, level) LEFT JOIN observed o USING (field, level))
+SELECT field, level, label, round(m, 6) AS m, round(u, 6) AS u, round(log2(m / u), 6) AS weight,
+       CASE WHEN learned OR counted THEN 'trained' ELSE source END AS source FROM result"""
 
 
 def sql() -> dict[str, str]:
@@ -336,10 +404,11 @@ FROM (SELECT *, {_weight(multi)} AS w FROM graded) WHERE w >= -10""",
             part_clusters, f"SELECT ml AS mention_id, mr AS best_id, round({PROBABILITY}, 6) AS best_score FROM best"
         ),
         "greedy_clusters": _with(part_clusters, "SELECT mention_id, cluster_id FROM clusters"),
+        "resolve_incremental": _with(part_clusters, "SELECT mention_id, cluster_id FROM clusters"),
         "cluster_members": _with(
             part_clusters,
-            """SELECT cluster_id, CAST(floor(seq / 100000) AS BIGINT) AS part, count(*) AS members,
-  string_agg(mention_id, ',' ORDER BY seq) AS mention_ids FROM clusters GROUP BY 1, 2""",
+            """SELECT cluster_id, count(*) OVER (PARTITION BY cluster_id) AS members,
+  row_number() OVER (PARTITION BY cluster_id ORDER BY seq) AS position, mention_id FROM clusters""",
         ),
         "state_snapshot": _with(
             f"{part_clusters},\n{_stored(100)}",
@@ -373,11 +442,12 @@ sides AS (
   SELECT mention_id_l AS mention_id, mention_id_r AS other, match_probability AS p FROM stored_links
   UNION ALL SELECT mention_id_r, mention_id_l, match_probability FROM stored_links),
 offers AS (
-  SELECT s.mention_id, c.cluster_id, s.p FROM sides s JOIN clusters c ON c.mention_id = s.other
-  UNION ALL SELECT mention_id, cluster_id, CAST(0 AS REAL) FROM clusters),
-scored AS (SELECT mention_id, cluster_id, max(p) AS p FROM offers GROUP BY 1, 2)""",
+  SELECT s.mention_id, c.cluster_id, s.p, c.seq FROM sides s JOIN clusters c ON c.mention_id = s.other
+  UNION ALL SELECT mention_id, cluster_id, CAST(0 AS REAL), seq FROM clusters),
+scored AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id, cluster_id ORDER BY p DESC, seq) AS n FROM offers) WHERE n = 1)""",
             """SELECT mention_id, cluster_id, round(CAST(p AS DOUBLE), 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p DESC, cluster_id) AS rank FROM scored) WHERE rank <= 5""",
+  SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY p DESC, seq, cluster_id) AS rank FROM scored) WHERE rank <= 5""",
         ),
         "links_either_side": _with(
             f"{part_links},\n{_stored(100)}",
@@ -403,11 +473,35 @@ WHERE i.text IS DISTINCT FROM s.text OR i.role IS DISTINCT FROM s.role""",
         "idempotent_split": f"""WITH {SUBMISSIONS}
 SELECT mention_id, turn, CASE WHEN mention_id IN (SELECT mention_id FROM stored) THEN 'stored' ELSE 'new' END AS state FROM incoming""",
         "in_batch_guard": f"""WITH {SUBMISSIONS},
+sent AS (
+  SELECT mention_id, turn, text, role FROM incoming
+  UNION ALL SELECT mention_id, turn + {catalog.REPLAYED}, text, role FROM incoming WHERE turn = 0),
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY turn) AS n,
-         first_value(role) OVER (PARTITION BY mention_id ORDER BY turn) AS first_role FROM incoming)
-SELECT mention_id, turn, CASE WHEN n = 1 THEN 'new' WHEN role IS NOT DISTINCT FROM first_role THEN 'repeat' ELSE 'conflict' END AS guard
+         first_value(role) OVER (PARTITION BY mention_id ORDER BY turn) AS first_role,
+         first_value(text) OVER (PARTITION BY mention_id ORDER BY turn) AS first_text FROM sent)
+SELECT mention_id, turn, CASE WHEN n = 1 THEN 'new'
+  WHEN role IS NOT DISTINCT FROM first_role AND text IS NOT DISTINCT FROM first_text THEN 'repeat' ELSE 'conflict' END AS guard
 FROM numbered""",
+        "random_pair_levels": f"""WITH {PARTS},
+sample AS (SELECT * FROM mentions ORDER BY mention_id LIMIT 200),
+graded AS (SELECT {_levels(parts)} FROM sample l JOIN sample r ON l.mention_id < r.mention_id)
+SELECT {_gammas(parts)}, count(*) AS pairs FROM graded GROUP BY ALL""",
+        "em_train": _em_train(parts),
+        "corpus_growth": f"""WITH {PARTS},
+grown AS (
+  SELECT c AS cycle, country_code, seq + c * (SELECT max(seq) + 1 FROM mentions) AS seq, CASE WHEN c = 0 THEN legal_name ELSE
+    translate(substr(md5(mention_id || '-' || c), 1, 8), '0123456789', 'ghijklmnop') || ' ' || legal_name END AS legal_name
+  FROM mentions, (SELECT unnest([0, 1, 2]) AS c))
+SELECT cycle, country_code, count(*) AS mentions, min(seq) AS first_seq, count(DISTINCT legal_name) AS names FROM grown GROUP BY 1, 2""",
+        "request_errors": """SELECT c_custkey AS arrival_seq, CASE WHEN c_mktsegment <> 'FURNITURE' THEN CAST(c_custkey AS VARCHAR) END AS request_id,
+  CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD') THEN 'ValueError' ELSE 'ProcessingError' END AS error_type,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'No mapping is configured for entity type VEHICLE'
+    WHEN 'HOUSEHOLD' THEN 'No mapping is configured for entity type PERSON' WHEN 'BUILDING' THEN 'The message has no type'
+    WHEN 'MACHINERY' THEN 'Unsupported message type RebuildRequest'
+    ELSE 'The message identifies no mention: it needs request_id, source_id and entity_type' END AS error_detail FROM customer""",
+        "mention_files": """SELECT 's' || s_suppkey AS mention_id, s_suppkey AS arrival_seq, s_name AS legal_name, n_name AS country_code, r_name AS nuts_code
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
         "training_sample": f"""WITH {PARTS}
 SELECT mention_id, seq AS arrival_seq, legal_name, country_code, nuts_code, post_code FROM mentions ORDER BY mention_id LIMIT 200""",
         "gamma_patterns": f"""WITH {PARTS},
@@ -461,8 +555,11 @@ SELECT seq AS request_key, country_code, coalesce(legal_name, '') AS legal_name,
             f"{supplier_clusters},\n{_candidates(100)},\n{_stored(100)},\n{REQUERY_COUNTS},\n{MESSAGES}",
             f"""SELECT m.arrival_seq, coalesce(m.request_id || ':01', 'unknown') AS ere_request_id,
   CASE WHEN guard IN ('new', 'repeat') THEN '{requests.RESPONSE_TYPE}' ELSE '{requests.ERROR_TYPE}' END AS type,
-  CASE guard WHEN 'conflict' THEN 'ConflictError' WHEN 'broken' THEN 'ProcessingError' END AS error_type,
-  CASE guard WHEN 'new' THEN f.n WHEN 'repeat' THEN l.n END AS candidates
+  CASE guard WHEN 'conflict' THEN 'ConflictError' WHEN 'broken' THEN 'ProcessingError' WHEN 'odd' THEN 'ValueError' END AS error_type,
+  CASE guard WHEN 'new' THEN f.n WHEN 'repeat' THEN l.n END AS candidates,
+  CASE guard WHEN 'new' THEN f.top_cluster WHEN 'repeat' THEN l.top_cluster END AS top_cluster,
+  CASE guard WHEN 'new' THEN f.top_score WHEN 'repeat' THEN l.top_score END AS top_score,
+  CASE guard WHEN 'new' THEN f.order_digest WHEN 'repeat' THEN l.order_digest END AS order_digest
 FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN later l USING (mention_id)""",
         ),
         "lifecycle_events": _with(
@@ -471,8 +568,8 @@ FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN later l USING (m
             """SELECT event, guard, decision, count(*) AS events, CAST(sum(n) AS BIGINT) AS stored_links, round(max(p), 6) AS best_score FROM (
   SELECT 'dequeued' AS event, NULL AS guard, NULL AS decision, NULL AS n, NULL::DOUBLE AS p FROM messages
   UNION ALL SELECT 'responded', NULL, NULL, NULL, NULL FROM messages
-  UNION ALL SELECT 'parsed', NULL, NULL, NULL, NULL FROM messages WHERE guard <> 'broken'
-  UNION ALL SELECT 'guard', guard, NULL, NULL, NULL FROM messages WHERE guard <> 'broken'
+  UNION ALL SELECT 'parsed', NULL, NULL, NULL, NULL FROM messages WHERE guard NOT IN ('broken', 'odd')
+  UNION ALL SELECT 'guard', guard, NULL, NULL, NULL FROM messages WHERE guard NOT IN ('broken', 'odd')
   UNION ALL SELECT 'persisted', NULL, NULL, NULL, NULL FROM clusters
   UNION ALL SELECT 'clustered', NULL, CASE WHEN cluster_id = mention_id THEN 'new' ELSE 'join' END, NULL, NULL FROM clusters
   UNION ALL SELECT 'scored', NULL, NULL, (SELECT count(*) FROM stored_links s WHERE s.mention_id_l = c.mention_id), t.p

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kinweave.config import EqualityRule, ResolverConfig
+from kinweave.config import ResolverConfig
 from kinweave.functions.text import mention_id, queue_wait_ms
 from kinweave.operators import blocking, clustering, guards, scoring
 from kinweave.plans.resolve import resolve
@@ -24,11 +24,20 @@ CANDIDATES = "array<struct<cluster_id:string,score:double>>"
 
 @dataclass
 class Stored:
-    """What was resolved before: mentions with normalised copies, links at rest, clusters."""
+    """What was resolved before: mentions with normalised copies, links at rest, clusters.
+
+    `last_seq` is the largest arrival number among the mentions; it is looked up where it is not given.
+    """
 
     mentions: DataFrame
     links: DataFrame
     clusters: DataFrame
+    last_seq: int | None = None
+
+    def last(self) -> int:
+        if self.last_seq is None:
+            self.last_seq = self.mentions.agg(F.coalesce(F.max("arrival_seq"), F.lit(-1))).first()[0]
+        return self.last_seq
 
 
 @dataclass
@@ -71,7 +80,7 @@ def in_reach(stored: DataFrame, new: DataFrame, config: ResolverConfig) -> DataF
     """Stored mentions that share the equality keys of some rule with a new one; no other can be paired."""
     reached = []
     for rule in config.rules:
-        keys = list(rule.fields) if isinstance(rule, EqualityRule) else [rule.same]
+        keys = list(rule.keys)
         reached.append(stored.join(new.select(*keys).distinct(), keys, "left_semi"))
     return reached[0] if len(reached) == 1 else reduce(DataFrame.unionByName, reached).dropDuplicates(["mention_id"])
 
@@ -93,7 +102,11 @@ def process(
     mapper: Mapper,
     answered_at: Column | None = None,
 ) -> Outcome:
-    """One batch of requests against the stored state."""
+    """One batch of requests against the stored state.
+
+    Whatever number a source gives its messages, everything stored counts as earlier: where the numbers of a batch start
+    at or below the last stored one, its mentions are stored under numbers behind it.  Answers keep the messages' numbers.
+    """
     answered_at = F.current_timestamp() if answered_at is None else answered_at
     messages = cut(read_requests(raw, config, mapper))
     fields = list(config.entity_fields)
@@ -104,10 +117,12 @@ def process(
         guards.guard(sound, stored.mentions, fields),
         seen,
         *[F.count_if(F.col("guard") == outcome).alias(outcome) for outcome in outcomes],
+        F.min(F.when(F.col("guard") == guards.NEW, F.col("arrival_seq"))).alias("first"),
     )
+    shift = max(0, stored.last() + 1 - seen.get["first"]) if seen.get[guards.NEW] else 0
     columns = ["mention_id", "arrival_seq", *[c for c in stored.mentions.columns if c not in ("mention_id", "arrival_seq")]]
-    new = judged.where(F.col("guard") == guards.NEW).select(*columns)
-    owners = stored.clusters.select("mention_id", "cluster_id")
+    new = judged.where(F.col("guard") == guards.NEW).withColumn("arrival_seq", F.col("arrival_seq") + shift).select(*columns)
+    owners = stored.clusters.select("mention_id", "cluster_id", "arrival_seq")
     answers = []
     if seen.get[guards.NEW]:
         everything = (
@@ -124,7 +139,7 @@ def process(
         settled = raw.sparkSession.createDataFrame([], SETTLED_LAYOUT)
     clusters = settled.select("mention_id", "arrival_seq", "cluster_id")
     # Stored mentions are answered from the state before the batch, repeats within it from the state after it.
-    after = (stored.links.unionByName(links), owners.unionByName(clusters.select("mention_id", "cluster_id")))
+    after = (stored.links.unionByName(links), owners.unionByName(clusters.select("mention_id", "cluster_id", "arrival_seq")))
     for outcome, (known_links, known_clusters) in ((guards.IDEMPOTENT, (stored.links, owners)), (guards.REPEAT, after)):
         if seen.get[outcome]:
             ids = judged.where(F.col("guard") == outcome).select("mention_id").distinct()
@@ -187,8 +202,8 @@ def events(messages: DataFrame, judged: DataFrame, clusters: DataFrame, links: D
     joined = F.when(F.col("cluster_id") == F.col("mention_id"), "new").otherwise("join")
     settled = (
         judged.where(F.col("guard") == guards.NEW)
-        .select("ere_request_id", "mention_id")
-        .join(clusters, "mention_id")
+        .select("arrival_seq", "ere_request_id", "mention_id")
+        .join(clusters.drop("arrival_seq"), "mention_id")
         .join(counted, "mention_id", "left")
     )
     return reduce(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.config import ResolverConfig
@@ -30,10 +31,11 @@ class Resolution:
     clusters: DataFrame
     all_clusters: DataFrame
     config: ResolverConfig
+    score: Callable[[Column], Column] = scoring.match_probability
 
     def candidates(self) -> DataFrame:
         return clustering.rank_candidates(
-            self.linked.mentions, self.linked.links, self.all_clusters, self.config.top_n
+            self.linked.mentions, self.linked.links, self.all_clusters, self.config.top_n, self.score
         )
 
     def stored_links(self) -> DataFrame:
@@ -42,7 +44,7 @@ class Resolution:
         return best.select(
             "mention_id_l",
             "mention_id_r",
-            scoring.match_probability(F.col("match_weight")).cast("float").alias("match_probability"),
+            self.score(F.col("match_weight")).cast("float").alias("match_probability"),
         )
 
 
@@ -64,7 +66,8 @@ def resolve(mentions: DataFrame, config: ResolverConfig, stored_clusters: DataFr
     """Resolve all new mentions in arrival order.
 
     Without stored clusters every mention is new.  Otherwise `mentions` holds stored and new ones, told apart by
-    `is_new`, and `stored_clusters` has mention_id and cluster_id of the stored ones.
+    `is_new`, and `stored_clusters` has mention_id and cluster_id of the stored ones; new ones have arrival numbers behind
+    all stored ones, as `plans.requests` sees to.
     """
     linked = link(mentions, config)
     linked.links = cut(linked.links.select("new_profile", "stored_profile", "match_weight"))
@@ -79,33 +82,38 @@ def resolve_scored(
 ) -> Resolution:
     """Resolve with links scored elsewhere: (mention_id_l, mention_id_r, match_probability) of mentions.
 
-    Links to later mentions and to the mention itself are dropped; every mention is a profile of its own.
+    Scores are compared and kept as they are given.  Links to later mentions and to the mention itself are dropped; every
+    mention is a profile of its own.
     """
     own = cut(mentions.withColumn("profile_id", F.col("arrival_seq")).select(*_carried(mentions), "profile_id"))
-    odds = F.log2(F.col("match_probability") / (F.lit(1.0) - F.col("match_probability")))
-    ends = scores.select("mention_id_l", "mention_id_r", odds.alias("match_weight"))
+    ends = scores.select("mention_id_l", "mention_id_r", F.col("match_probability").cast("double").alias("match_weight"))
     for side, name in (("l", "new_profile"), ("r", "stored_profile")):
         ends = ends.join(own.select(F.col("mention_id").alias(f"mention_id_{side}"), F.col("profile_id").alias(name)), f"mention_id_{side}")
     links = cut(ends.where("stored_profile < new_profile").select("new_profile", "stored_profile", "match_weight"))
-    return _settle(Linked(own, own, links, links), config, stored_clusters)
+    return _settle(Linked(own, own, links, links), config, stored_clusters, lambda score: score)
 
 
 def _carried(mentions: DataFrame) -> list[str]:
     return [c for c in ("mention_id", "arrival_seq", "is_new", "profile_id") if c in mentions.columns]
 
 
-def _settle(linked: Linked, config: ResolverConfig, stored_clusters: DataFrame | None) -> Resolution:
+def _settle(
+    linked: Linked,
+    config: ResolverConfig,
+    stored_clusters: DataFrame | None,
+    score: Callable[[Column], Column] = scoring.match_probability,
+) -> Resolution:
     best = clustering.best_match(linked.mentions, linked.links)
     if stored_clusters is None:
-        clusters = cut(clustering.assign(best, config))
+        clusters = cut(clustering.assign(best, config, score=score))
         # The written clusters hold every mention; later steps need not derive the profiles again.
         linked.mentions = clusters.select("mention_id", "arrival_seq", "profile_id")
-        return Resolution(linked, clusters, clusters, config)
+        return Resolution(linked, clusters, clusters, config, score)
     before = (
         linked.mentions.where(~F.col("is_new"))
         .select("mention_id", "arrival_seq", "profile_id")
         .join(stored_clusters.select("mention_id", "cluster_id"), "mention_id")
     )
-    clusters = cut(clustering.assign(best, config, before))
+    clusters = cut(clustering.assign(best, config, before, score))
     everything = clusters.select("mention_id", "arrival_seq", "profile_id", "cluster_id").unionByName(before)
-    return Resolution(linked, clusters, everything, config)
+    return Resolution(linked, clusters, everything, config, score)

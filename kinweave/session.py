@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SCRATCH: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 def local_session(cores: int | str = 8, app: str = "kinweave") -> SparkSession:
@@ -29,9 +33,12 @@ def local_session(cores: int | str = 8, app: str = "kinweave") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the session names for lineage cuts; a local one only where none is set."""
+    """The shared folder the session names for lineage cuts; a local one only where none is set and all tasks are local."""
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"Set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="kinweave-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -47,11 +54,25 @@ def cut(frame: DataFrame, watch: Observation | None = None, *measures: Column) -
     if watch is not None:
         frame = frame.observe(watch, *measures)
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(spark), "kinweave", *_SCRATCH.get(), uuid.uuid4().hex])
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end; everything read from them has to be written by then."""
+    name = f"scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set((*_SCRATCH.get(), name))
+    folder = "/".join([shared_folder(spark), "kinweave", *_SCRATCH.get()])
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_slots(spark: SparkSession) -> int:
     """Partitions for stages whose work outgrows their input, which must not be coalesced by size."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,15 @@ def parse(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Add the fields of each message, or `parse_error` for malformed, untyped and unsupported ones."""
     message = F.from_json(F.col(column), REQUEST_LAYOUT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     body = raw.withColumn("_m", message)
-    kind = F.col("_m.type")
+    kind, ids = F.col("_m.type"), "_m.entity_mention.identifiedBy"
     problem = (
         F.when(F.col("_m._corrupt_record").isNotNull() | F.col("_m").isNull(), "The message is not valid JSON")
         .when(F.coalesce(kind, F.lit("")) == "", "The message has no type")
         .when(kind != REQUEST_TYPE, F.concat(F.lit("Unsupported message type "), kind))
-        .when(F.col("_m.entity_mention.identifiedBy").isNull(), "The message identifies no mention")
+        .when(
+            reduce(lambda a, b: a | b, [F.col(f"{ids}.{name}").isNull() for name in ("request_id", "source_id", "entity_type")]),
+            "The message identifies no mention: it needs request_id, source_id and entity_type",
+        )
     )
     return body.select(
         *raw.columns,

@@ -1,4 +1,8 @@
-"""State tables: Parquet folders per batch, visible once the batch's commit row is written."""
+"""State tables: Parquet folders per batch, visible once the batch's commit row is written.
+
+The state numbers its batches itself.  A commit row names the run (a stream's own id) and the run's batch, so a batch that
+a run repeats replaces its rows, and a new run, whose batches start at 0 again, never touches those of another.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +18,7 @@ from kinweave.functions.text import NORMALISED_SUFFIX
 from kinweave.operators import scoring
 from kinweave.operators.training import COLD_START, PERSISTED
 
-COMMIT_LAYOUT = "batch_id long, mentions long, source string"
+COMMIT_LAYOUT = "batch_id long, mentions long, source string, run string, stream_batch long, last_seq long"
 LINK_LAYOUT = "mention_id_l string, mention_id_r string, match_probability float"
 CLUSTER_LAYOUT = "mention_id string, arrival_seq long, cluster_id string"
 MODEL_LAYOUT = "field string, level int, label string, m double, u double, weight double, source string, prior double"
@@ -52,7 +56,24 @@ class StateTables:
     def commits(self) -> DataFrame:
         """Committed batches."""
         found = self._read("commits")
-        return self.spark.createDataFrame([], COMMIT_LAYOUT) if found is None else found
+        if found is None:
+            return self.spark.createDataFrame([], COMMIT_LAYOUT)
+        return self.spark.read.schema(COMMIT_LAYOUT).parquet(f"{self.folder}/commits")
+
+    def number_of(self, run: str, stream_batch: int) -> int:
+        """Number of a run's batch: the one it was committed under, else the next one."""
+        same = (F.col("run") == run) & (F.col("stream_batch") == stream_batch)
+        row = self.commits().agg(F.max("batch_id").alias("last"), F.max(F.when(same, F.col("batch_id"))).alias("known")).first()
+        if row["known"] is not None:
+            return row["known"]
+        return 0 if row["last"] is None else row["last"] + 1
+
+    def last_arrival(self, before: int | None = None) -> int | None:
+        """The largest arrival number stored, from the commit rows."""
+        committed = self.commits()
+        if before is not None:
+            committed = committed.where(F.col("batch_id") < before)
+        return committed.agg(F.max("last_seq")).first()[0]
 
     def table(self, name: str, layout: T.StructType | str, before: int | None = None) -> DataFrame:
         """Rows of all committed batches (before a batch, to repeat that batch after a failure)."""
@@ -89,9 +110,14 @@ class StateTables:
         for name, frame in tables.items():
             frame.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch_id={batch_id}")
 
-    def commit(self, batch_id: int, mentions: int, source: str) -> None:
+    def commit(
+        self, batch_id: int, mentions: int, source: str, run: str = "", stream_batch: int | None = None, last_seq: int | None = None
+    ) -> None:
         """Make the batch visible; written last."""
-        row = self.spark.createDataFrame([(mentions, source)], "mentions long, source string")
+        row = self.spark.createDataFrame(
+            [(mentions, source, run, stream_batch, last_seq)],
+            "mentions long, source string, run string, stream_batch long, last_seq long",
+        )
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/batch_id={batch_id}")
 
     def stored_mentions(self, before: int | None = None) -> int:

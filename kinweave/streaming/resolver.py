@@ -8,28 +8,31 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kinweave.config import ResolverConfig
+from kinweave.config import BatchSettings
 from kinweave.operators import training
 from kinweave.plans.requests import Mapper, Stored, process
-from kinweave.session import cut
+from kinweave.session import cut, scratch
 from kinweave.sources.tables import StateTables
 
 MESSAGE_LAYOUT = "arrival_seq long, raw string"
 TRAINED, FAILED, SKIPPED = "trained", "failed", "skipped"
 
 
-def message_stream(
-    spark: SparkSession, folder: str, files_per_batch: int | None = 1, bytes_per_batch: int | None = None
-) -> DataFrame:
-    """Request messages from JSON files with `arrival_seq` and `raw`; a batch is bounded by files or by bytes."""
+def message_stream(spark: SparkSession, folder: str, batch: BatchSettings | None = None, files_per_batch: int = 1) -> DataFrame:
+    """Request messages from JSON files with `arrival_seq` and `raw`; a batch is bounded by its settings or by files."""
     reader = spark.readStream.schema(MESSAGE_LAYOUT)
-    if bytes_per_batch is not None:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    if batch is not None:
+        reader = reader.option("maxBytesPerTrigger", batch.max_bytes)
     else:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(folder)
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that writes to a checkpoint folder; it outlives restarts, a new folder has a new one."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def train_once(tables: StateTables, source: str, load_error: str | None) -> str:
     """Estimate and save the parameters; skipped while a model, usable or not, is there.  Failures keep the old ones."""
     if source != training.COLD_START or load_error is not None:
@@ -50,23 +53,34 @@ def train_at_start(tables: StateTables) -> str:
     return train_once(tables, source, load_error)
 
 
-def resolve_micro_batch(tables: StateTables, mapper: Mapper, messages: DataFrame, batch_id: int) -> None:
-    """Resolve one batch all-or-nothing: a repeated batch sees the state before it and replaces its own rows."""
+def resolve_micro_batch(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str = "") -> None:
+    """Resolve one batch all-or-nothing: a repeated batch sees the state before it and replaces its own rows.
+
+    Intermediate tables are deleted when the batch is committed.
+    """
+    with scratch(tables.spark):
+        _resolve(tables, mapper, messages, stream_batch, run)
+
+
+def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str) -> None:
+    batch_id = tables.number_of(run, stream_batch)
     active, source, load_error = tables.load_model()
     before = tables.stored_mentions(batch_id)
-    stored = Stored(tables.mentions(batch_id), tables.links(batch_id), tables.clusters(batch_id))
+    last = tables.last_arrival(batch_id)
+    stored = Stored(tables.mentions(batch_id), tables.links(batch_id), tables.clusters(batch_id), last)
     outcome = process(cut(messages.select("arrival_seq", "raw")), stored, active, mapper)
     counted = Observation()
     tables.write(
         batch_id,
-        mentions=outcome.mentions.observe(counted, F.count(F.lit(1)).alias("mentions")),
+        mentions=outcome.mentions.observe(counted, F.count(F.lit(1)).alias("mentions"), F.max("arrival_seq").alias("last")),
         links=outcome.links,
         clusters=outcome.clusters,
         responses=outcome.responses.repartitionByRange("arrival_seq").sortWithinPartitions("arrival_seq"),
         events=outcome.events,
     )
     added = counted.get["mentions"]
-    tables.commit(batch_id, added, source)
+    newest = counted.get["last"]
+    tables.commit(batch_id, added, source, run, stream_batch, last if newest is None else newest)
     if training.should_train(before, before + added, tables.config, source):
         train_once(tables, source, load_error)
 
@@ -79,17 +93,17 @@ def start(
     on_batch: Callable[[DataFrame, int], None] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the resolution stream; pass `availableNow=True` or `processingTime=...` as trigger."""
+    """Start the resolution stream; pass `availableNow=True` or another trigger instead of the configured interval."""
     train_at_start(tables)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        resolve_micro_batch(tables, mapper, batch, batch_id)
+        resolve_micro_batch(tables, mapper, batch, batch_id, run_id(tables.spark, checkpoint))
         if on_batch is not None:
             on_batch(batch, batch_id)
 
     return (
         messages.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
+        .trigger(**(trigger or {"processingTime": f"{tables.config.batch.linger_ms} milliseconds"}))
         .start()
     )
