@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD_BITS = 64
 BAG_WORDS = 4
 PAIR_CHUNK = 1 << 14
+# Strings up to so many bytes are scored many pairs at a time, and how many pairs; longer ones one pair at a time.
+WIDE, WIDE_CHUNK = 256, 1 << 11
 PAIRS_AT_ONCE = 1 << 18
 ROUNDING_SLACK = 1e-9
 
@@ -174,6 +176,49 @@ def _short_chunk(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutof
     return score
 
 
+def _wide_chunk(enc: EncodedStrings, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler of pairs whose strings fit `WIDE` bytes: as many machine words a string as the longest needs."""
+    rows, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    longest, pairs = int(enc.length[rows].max()), np.arange(len(left))
+    words = -(-longest // WORD_BITS)
+    padding = 256  # matches nothing
+    codes = np.full((len(rows), words * WORD_BITS), padding, dtype=np.int64)
+    for i, row in enumerate(rows):
+        codes[i, : enc.length[row]] = np.frombuffer(enc.raw[row], dtype=np.uint8)
+    masks = np.zeros((len(rows), padding + 1, words), dtype=np.uint64)
+    for position in range(longest):
+        masks[np.arange(len(rows)), codes[:, position], position // WORD_BITS] |= _ONE << np.uint64(position % WORD_BITS)
+    masks[:, padding] = 0
+    l, r = at[: len(left)], at[len(left) :]
+    la, lb = enc.length[left], enc.length[right]
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    open_bits = np.clip(reach[:, None] + 1 - WORD_BITS * np.arange(words), 0, WORD_BITS)
+    window = np.where(open_bits == WORD_BITS, ~np.uint64(0), (_ONE << (open_bits % WORD_BITS).astype(np.uint64)) - _ONE)
+    taken, flagged = np.zeros_like(window), np.zeros_like(window)
+    for position in range(int(la.max(initial=0))):
+        hits = masks[r, codes[l, position]] & window & ~taken
+        word = (hits != 0).argmax(axis=1)
+        chosen = hits[pairs, word]
+        taken[pairs, word] |= chosen & (~chosen + _ONE)
+        flagged[:, position // WORD_BITS] |= (chosen != 0).astype(np.uint64) << np.uint64(position % WORD_BITS)
+        carry = window[:, :-1] >> np.uint64(WORD_BITS - 1)
+        window = window << _ONE
+        window[:, 1:] |= carry
+        window[:, 0] |= (position < reach).astype(np.uint64)
+
+    def matched(strings: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, byte) of the matched bytes, pair by pair in their order."""
+        at_pair, place = np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little"))
+        return at_pair, codes[strings[at_pair], place]
+
+    owner, from_left = matched(l, flagged)
+    moved = np.bincount(owner, weights=from_left != matched(r, taken)[1], minlength=len(left)).astype(np.int64)
+    m = np.bincount(owner, minlength=len(left))
+    safe = np.maximum(m, 1)
+    jaro = (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved // 2) / safe) / 3.0
+    return np.where(m > 0, _boost(jaro, _common_prefix(enc, left, right)), 0.0)
+
+
 def score_pairs(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff: float | None = None) -> np.ndarray:
     """Jaro-Winkler of many pairs of rows of `enc`; with a cut-off, hopeless pairs may score lower than their value."""
     result = np.empty(len(left))
@@ -183,7 +228,13 @@ def score_pairs(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff
     for start in range(0, len(index), PAIR_CHUNK):
         part = index[start : start + PAIR_CHUNK]
         result[part] = _short_chunk(enc, left[part], right[part], cutoff)
-    for row in np.flatnonzero(~short):
+    wide = ~short & (np.maximum(enc.length[left], enc.length[right]) <= WIDE)
+    index = np.flatnonzero(wide)
+    index = index[np.argsort(np.maximum(enc.length[left[index]], enc.length[right[index]]), kind="stable")]
+    for start in range(0, len(index), WIDE_CHUNK):
+        part = index[start : start + WIDE_CHUNK]
+        result[part] = _wide_chunk(enc, left[part], right[part])
+    for row in np.flatnonzero(~short & ~wide):
         a, b = enc.raw[left[row]], enc.raw[right[row]]
         prefix = 0
         while prefix < min(MAX_PREFIX, len(a), len(b)) and a[prefix] == b[prefix]:

@@ -6,47 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-SMALL_SLICE = 50_000
 
 
-def order_statistic(frame: DataFrame, value: str, rank: int) -> float:
-    """Exact value at a zero-based rank of the sorted column.
+def order_statistics(frame: DataFrame, value: str, ranks: list[int]) -> list[float]:
+    """Exact values at zero-based ranks of the sorted column.
 
-    Each round counts equal-width buckets (a combinable aggregate of at most `BUCKETS` groups) and goes on inside
-    the bucket that holds the rank, until the slice is constant or small enough to sort by itself.
+    A round counts, for all ranks together, equal-width buckets of the ranges that hold them (a combinable aggregate of at
+    most `BUCKETS` groups a range), and each rank goes on inside its bucket until that holds one value.
     """
-    current = frame.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    low, high, size = current.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if size is None or not 0 <= rank < size:
-        raise ValueError(f"rank {rank} is outside the {size} values")
-    while low < high and size > SMALL_SLICE:
-        slot = F.least(F.floor((F.col("v") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
-        counted = current.groupBy(slot.alias("slot")).agg(
+    values = frame.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    low, high, size = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    for rank in ranks:
+        if size is None or not 0 <= rank < size:
+            raise ValueError(f"rank {rank} is outside the {size} values")
+    found = [(low, high, rank) for rank in ranks]
+    while spans := sorted({(low, high) for low, high, _ in found if low < high}):
+        # the spans are disjoint: all are buckets of the round before
+        place, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for number, (low, high) in enumerate(spans):
+            inside = F.col("v").between(low, high)
+            place = F.when(inside, number).otherwise(place)
+            slot = F.when(inside, F.least(F.floor((F.col("v") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(slot)
+        counts = values.groupBy(place.alias("place"), slot.alias("slot")).agg(
             F.count("*").alias("size"), F.min("v").alias("low"), F.max("v").alias("high")
         )
-        passed = F.sum("size").over(Window.orderBy("slot"))
-        size, low, high, before = (
-            counted.withColumn("upto", passed)
-            .where(F.col("upto") > rank)
-            .orderBy("slot")
-            .select("size", "low", "high", (F.col("upto") - F.col("size")).alias("before"))
-            .first()
-        )
-        rank -= before
-        current = current.where(F.col("v").between(low, high))
-    if low == high:
-        return low
-    return current.orderBy("v").offset(rank).limit(1).first()[0]
+        rows = counts.where("place is not null").orderBy("place", "slot").collect()
+        for i, (low, high, rank) in enumerate(found):
+            for row in rows if low < high else ():
+                if spans[row["place"]] == (low, high):
+                    if rank < row["size"]:
+                        found[i] = row["low"], row["high"], rank
+                        break
+                    rank -= row["size"]
+    return [low for low, _, _ in found]
 
 
 def latency_summary(frame: DataFrame, value: str) -> DataFrame:
     """Mean, median, tails, extremes and deviation; the median and the tails are elements, not interpolations."""
     size = frame.where(F.col(value).isNotNull()).count()
-    picked = {
-        "median_ms": order_statistic(frame, value, size // 2),
-        "p95_ms": order_statistic(frame, value, int(0.95 * size)),
-        "p99_ms": order_statistic(frame, value, int(0.99 * size)),
-    }
+    names = {"median_ms": size // 2, "p95_ms": int(0.95 * size), "p99_ms": int(0.99 * size)}
+    picked = dict(zip(names, order_statistics(frame, value, list(names.values()))))
     return frame.agg(
         F.count(value).alias("records"),
         F.avg(value).alias("mean_ms"),

@@ -11,17 +11,16 @@ LAYOUT = "mention_id string, arrival_seq long, legal_name string, country_code s
 
 
 def test_order_statistics_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(measures, "SMALL_SLICE", 20)
     monkeypatch.setattr(measures, "BUCKETS", 8)
     rng = random.Random(1)
     # A third of the values are equal, and one is far away.
     values = [7.25] * 200 + [rng.gauss(0, 10) for _ in range(399)] + [1e9]
     frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
     ordered = sorted(values)
-    for rank in (0, 1, 150, 300, 420, 598, 599):
-        assert measures.order_statistic(frame, "v", rank) == ordered[rank]
+    ranks = [0, 1, 150, 300, 420, 598, 599, 150]
+    assert measures.order_statistics(frame, "v", ranks) == [ordered[rank] for rank in ranks]
     with pytest.raises(ValueError):
-        measures.order_statistic(frame, "v", 600)
+        measures.order_statistics(frame, "v", [0, 600])
 
 
 def test_guards(spark):

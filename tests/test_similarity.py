@@ -26,7 +26,7 @@ def _pairs(count, seed=3):
 
     pairs = []
     for _ in range(count):
-        limit = rng.choice([3, 8, 20, 50, 90, 200])
+        limit = rng.choice([3, 8, 20, 50, 90, 200, 260])
         left = word(limit)
         pairs.append((left, typo(left) if rng.random() < 0.5 else word(limit)))
     return pairs
