@@ -20,13 +20,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kinweave.llm.common import map_texts, narrow, to_batch, type_of
 
 #: How the vocabulary's tokenizer cuts lower-cased text into words; fixed by the vocabulary.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ids a task remembers for words it has met; it starts afresh beyond, with equal results.
-POOL = 2_000_000
+POOL = 1_000_000
 #: Characters that Python, but not the vocabulary's tokenizer, takes for white space; and chunks as the latter sees them.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 NOT_SPACE = regex.compile(r"\S+")
@@ -218,28 +220,39 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, token_ids (array of int).
+def _encoded(encoder: Encoder, texts: list[bytes]) -> pa.ListArray:
+    ids, counts = encoder.encode([t.decode("utf-8", "replace") for t in texts])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _decoded(tokens: pa.StringArray, lists: pa.ListArray) -> pa.StringArray:
+    """Tokens of each list joined by single spaces; a null list decodes to empty text."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, tokens.take(lists.flatten())), " ")
+
+
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per document: doc_id, token_ids (array of int), and with `decoded` what these decode to, in the same pass.
 
     Texts are encoded whole; null and empty texts and those of blanks have no ids.  Strings that read like special tokens
     become these, as in the tokenizer that the vocabulary belongs to.  Repeated rows encode alike; an empty table gives an
     empty result.
     """
     rows = narrow(docs, doc_id=doc_id, text=text)
-    vocabulary = Vocabulary.read(path)
-    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)  # the file's 49,000 tokens, fixed
+    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.read(path))  # the file's 49,000 tokens, fixed
 
     def prepare():
-        encoder = Encoder(shared.value)
+        encoder, tokens = Encoder(shared.value), pa.array(shared.value.tokens, pa.string())
 
         def work(part: pa.RecordBatch, texts: list[bytes]):
-            ids, counts = encoder.encode([t.decode("utf-8", "replace") for t in texts])
-            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            return part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            lists = _encoded(encoder, texts)
+            return part.column("doc_id"), lists, *([_decoded(tokens, lists)] if decoded else [])
 
         return work
 
-    return map_texts(rows, prepare, f"doc_id {type_of(rows, 'doc_id')}, token_ids array<int>")
+    schema = f"doc_id {type_of(rows, 'doc_id')}, token_ids array<int>" + ", decoded string" * decoded
+    return map_texts(rows, prepare, schema)
 
 
 def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
@@ -249,7 +262,8 @@ def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
     """
     rows = narrow(encoded, doc_id=doc_id, token_ids="token_ids")
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.read(path).tokens)
-    schema = pa.schema([rows_field(rows), ("token_ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    schema = f"doc_id {type_of(rows, 'doc_id')}, token_ids array<int>, decoded string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(shared.value, pa.string())
@@ -257,18 +271,9 @@ def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id") -> DataFrame:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 lists = part.column("token_ids").cast(pa.list_(pa.int32()))
-                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-                words = pa.ListArray.from_arrays(offsets, tokens.take(lists.flatten()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pc.binary_join(words, " ")], schema=schema)
-
-    return rows.mapInArrow(run, f"doc_id {type_of(rows, 'doc_id')}, token_ids array<int>, decoded string")
-
-
-def rows_field(rows: DataFrame) -> pa.Field:
-    from pyspark.sql.pandas.types import to_arrow_schema
+                yield to_batch([part.column("doc_id"), part.column("token_ids"), _decoded(tokens, lists)], arrow)
 
-    return to_arrow_schema(rows.select("doc_id").schema).field(0)
+    return rows.mapInArrow(run, schema)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -43,8 +43,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = vocabulary_path()
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), vocabulary_path(), decoded=True))
 
 
 def op7_suffixes(spark: SparkSession, folder: str) -> DataFrame:

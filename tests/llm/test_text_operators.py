@@ -21,6 +21,8 @@ def test_bpe_equals_the_library(spark, odd, small, which):
         ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
         expected.append((r["doc_id"], ids, tokenizer.decode(ids, skip_special_tokens=False)))
     decoded = bpe.decode(bpe.encode(docs, path), path)
+    at_once = bpe.encode(docs, path, decoded=True)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, decoded.collect()))
     nulls = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [5, 7])], "doc_id int, token_ids array<int>"), path)
     assert [r["decoded"] for r in nulls.orderBy("doc_id").collect()] == ["", "", "& ("]
     assert sorted(((r[0], r[1], r[2]) for r in decoded.collect()), key=str) == sorted(expected, key=str)
