@@ -252,7 +252,8 @@ def near_duplicates(
     known = cut(fingerprints(narrow(docs, doc_id=doc_id, text=text), words, seed, turns))
     distinct = cut(known.groupBy(*[f"print{turn}" for turn in range(turns)]).agg(F.count("*").alias("n")))
     expected = distinct.count()
-    edges = reduce(DataFrame.unionAll, [_turn_edges(distinct, turn, expected, bits) for turn in range(turns)])
+    # each turn's few edges are written by a job of their own, so plans stay small with any number of turns
+    edges = reduce(DataFrame.unionAll, [cut(_turn_edges(distinct, turn, expected, bits)) for turn in range(turns)])
     found = components(edges)
     known = known.select("doc_id", F.col("print0").alias("print"))
     first = known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))

@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from kinweave.llm.common import key_bucket, labelled_sample, narrow
 
 WORD = re.compile(r"[^\W_]+")
-HASH_BITS = 22
+HASH_BITS = 20
 #: Lengths of the word beginnings that are terms besides the word.
 STEMS = (4, 5)
 #: Bounds of the training sample: rows of each class, and characters of a row.
