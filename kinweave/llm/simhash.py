@@ -6,6 +6,10 @@ in groups: a family of position sets such that every 4 positions contain one of
 Whoever shares a list is counted: the positions at which both have the same byte are tallied, pairs with fewer than the
 guaranteed 4 are dropped, and the others are verified on all bits.  Equal fingerprints are one entry of the index.
 
+Near copies of similarity 0.8 differ in about 10 of 64 bits, which leaves no position equal for sure.  A search for them takes
+several fingerprints of one document by different hash functions as one of 8 positions each, indexes triples of positions
+that overlap little (`spread`), tallies over all positions and verifies the sum of the differing bits.
+
 A list never yields all its pairs: a search from fingerprint to fingerprint inside the list gives a spanning forest of its
 links, which has fewer edges than the list has entries.  Long lists are cut into tiles, and pairs of tiles are dealt out.
 Components come from the union of all forests by rounds of large-star and small-star joins.
@@ -14,7 +18,6 @@ Components come from the union of all forests by rounds of large-star and small-
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +36,8 @@ MIX = 0xBF58476D1CE4E5B9
 AT_ONCE = 1 << 15
 #: Fingerprints of one tile; lists beyond are cut.
 TILE = 2_048
+#: Equal positions that a pair needs at least to be verified.
+SHARED = 4
 
 
 def shingle_digests(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -104,78 +109,95 @@ def covering(size: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def _keys(print_: Column, size: int) -> Column:
-    """Array of the lists of a fingerprint: number of the position set, then the bytes there."""
+def spread(turns: int) -> list[tuple[int, ...]]:
+    """Triples of the 8 * turns positions; no two of them have more than one position in common (from 3 turns on).
+
+    The steps within the three kinds of triples, 1 to 7, 9 and 13, all differ.
+    """
+    places = 8 * turns
+    return [(i, (i + x) % places, (i + y) % places) for x, y in ((1, 3), (4, 9), (6, 13)) for i in range(places)]
+
+
+def _keys(sets: list[tuple[int, ...]]) -> Column:
+    """Array of the lists of a row of fingerprints: number of the position set, then the bytes there."""
     keys = []
-    for number, places in enumerate(covering(size)):
+    for number, places in enumerate(sets):
         key = F.lit(number).cast("bigint")
         for place in places:
-            key = key * 256 + F.shiftrightunsigned(print_, 8 * place).bitwiseAND(F.lit(255))
+            key = key * 256 + F.shiftrightunsigned(f"print{place // 8}", 8 * (place % 8)).bitwiseAND(F.lit(255))
         keys.append(key)
     return F.array(*keys)
 
 
+def near(differ: np.ndarray, bits: int) -> np.ndarray:
+    """Which columns of differences (a row a turn) stay: the count filter over byte positions, then all bits."""
+    turns, n = differ.shape
+    differ = np.ascontiguousarray(differ)
+    same = (differ.view(np.uint8).reshape(turns, n, 8) == 0).sum((0, 2))
+    found = same >= max(8 * turns - bits, SHARED)
+    found[found] = np.bitwise_count(differ[:, found]).sum(0, dtype=np.int64) <= bits
+    return found
+
+
 def forest(prints: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of the links among the fingerprints (positions in the array)."""
-    if len(prints) == 2:  # most lists
-        return ([0], [1]) if int(prints[0] ^ prints[1]).bit_count() <= bits else ([], [])
-    left, right, rest = [], [], np.arange(len(prints))
+    """Edges of a spanning forest of the links among the columns of fingerprints (a row a turn)."""
+    left, right, rest = [], [], np.arange(prints.shape[1])
     queue: list[int] = []
     while len(rest):
         if not queue:
             queue.append(int(rest[0]))
             rest = rest[1:]
         at = queue.pop()
-        differ = prints[rest] ^ prints[at]
-        same = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        near = same >= 8 - bits  # count filter, then all bits
-        near[near] = np.bitwise_count(differ[near]) <= bits
-        found = rest[near].tolist()
+        linked = near(prints[:, rest] ^ prints[:, at, None], bits)
+        found = rest[linked].tolist()
         left += [at] * len(found)
         right += found
         queue += found
-        rest = rest[~near]
+        rest = rest[~linked]
     return left, right
 
 
-def links(prints: DataFrame, expected: int, bits: int = BITS) -> DataFrame:
-    """(a, b) edges that connect exactly those distinct fingerprints which links within `bits` connect.
+def links(prints: DataFrame, expected: int, bits: int = BITS, turns: int = 1) -> DataFrame:
+    """(a, b) edges between values of print0 of distinct rows (print0, print1 ...), with equal components as the links.
 
-    `expected`, the number of fingerprints, chooses how many bytes a list has, so that lists of chance stay short at any
-    size; the edges connect alike for every choice.
+    With one turn the edges connect exactly what links of at most `bits` differing bits connect; `expected`, the number of
+    rows, then chooses how many bytes a list has, so that lists of chance stay short at any size, and the edges connect
+    alike for every choice.  With more turns, `bits` counts over all of them, and pairs that have no triple of `spread` and
+    fewer than `SHARED` positions in common are not seen; neither depends on the size of the table.
     """
-    if bits > 4:
+    if turns == 1 and bits > 8 - SHARED:
         raise ValueError("the position sets guarantee links of at most 4 differing bits")
     size = 2 if expected <= 1 << 12 else 3 if expected <= 1 << 24 else 4
-    spark = prints.sparkSession
-    listed = prints.select("print", F.explode(_keys(F.col("print"), size)).alias("key"))
-    # long lists: tiles by a hash, each fingerprint in every pair of tiles that has its own
+    spark, columns = prints.sparkSession, [f"print{turn}" for turn in range(turns)]
+    listed = prints.select(*columns, F.explode(_keys(covering(size) if turns == 1 else spread(turns))).alias("key"))
+    # long lists: tiles by a hash, each row in every pair of tiles that has its own
     lengths = listed.groupBy("key").count().where(F.col("count") > TILE)
     tiles = lengths.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     tiled = listed.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     dealt = tiled.withColumn("own", own).withColumn("other", other)
     pair = [F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
-    dealt = dealt.select("key", *pair, "print")
+    dealt = dealt.select("key", *pair, *columns)
     parts = max(task_slots(spark), 1)
-    dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "print")
+    dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", *columns)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         kept: list[np.ndarray] = []
 
         def found(rows: np.ndarray) -> pa.RecordBatch:
-            group, prints_ = rows[:3], rows[3].view(np.uint64)
+            group, prints_ = rows[:3], rows[3:].view(np.uint64)
             starts = np.flatnonzero(np.r_[True, (group[:, 1:] != group[:, :-1]).any(0)])
-            ends = np.r_[starts[1:], len(prints_)]
-            a, b = [], []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                x, y = forest(prints_[s:e], bits)
-                a += [s + i for i in x]
-                b += [s + i for i in y]
-            values = prints_.view(np.int64)
-            return to_batch([values[a], values[b]] if a else [[], []], schema)
+            lengths_ = np.diff(np.r_[starts, rows.shape[1]])
+            twos = starts[lengths_ == 2]  # most lists, all at once
+            twos = twos[near(prints_[:, twos] ^ prints_[:, twos + 1], bits)]
+            a, b = [twos], [twos + 1]
+            for s, n in zip(starts[lengths_ > 2].tolist(), lengths_[lengths_ > 2].tolist()):
+                x, y = forest(prints_[:, s : s + n], bits)
+                a.append(np.array(x, np.int64) + s)
+                b.append(np.array(y, np.int64) + s)
+            return to_batch([rows[3][np.concatenate(a)], rows[3][np.concatenate(b)]], schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -189,7 +211,7 @@ def links(prints: DataFrame, expected: int, bits: int = BITS) -> DataFrame:
         if kept:
             yield found(np.concatenate(kept, axis=1))
 
-    return dealt.mapInArrow(search, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(search, "a bigint, b bigint").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,22 +237,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _turn_edges(distinct: DataFrame, turn: int, expected: int, bits: int) -> DataFrame:
-    """Edges between first fingerprints that the fingerprints of one turn link.
-
-    The documents that share a fingerprint of the turn are joined to the smallest first fingerprint among them.
-    """
-    if turn == 0:
-        return links(distinct.select(F.col("print0").alias("print")), expected, bits)
-    own = distinct.select(F.col(f"print{turn}").alias("print"), "print0")
-    heads = cut(own.groupBy("print").agg(F.min("print0").alias("head")))
-    alike = own.join(heads, "print").where("print0 <> head").select(F.col("print0").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("print"), expected, bits)
-    for end in ("a", "b"):
-        near = near.join(heads.select(F.col("print").alias(end), F.col("head").alias(f"{end}_head")), end)
-    return alike.unionAll(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b")))
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -243,17 +249,17 @@ def near_duplicates(
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, component_size.
 
     Documents link when their fingerprints differ in at most `bits` bits; component_id is the smallest doc_id reachable.
-    With more `turns`, further fingerprints of the same shingles by other hash functions link as well: near copies whose
-    one pair of fingerprints differs in a few bits too many are then found by another.  `fingerprint` is the first.
+    With more `turns`, the fingerprints of the same shingles by that many hash functions count as one long fingerprint, for
+    similarities too low for one of 64 bits (`links` tells what is seen); `fingerprint` is the first.  Documents whose first
+    fingerprints are equal always link.
     Null and empty texts and texts of blanks have fingerprint zero and link like any other.  Rows that repeat a doc_id are
     rows of their own; null doc_ids take part but never name a component unless it has no other.  An empty table gives an
     empty result.
     """
     known = cut(fingerprints(narrow(docs, doc_id=doc_id, text=text), words, seed, turns))
-    distinct = cut(known.groupBy(*[f"print{turn}" for turn in range(turns)]).agg(F.count("*").alias("n")))
-    expected = distinct.count()
-    # each turn's few edges are written by a job of their own, so plans stay small with any number of turns
-    edges = reduce(DataFrame.unionAll, [cut(_turn_edges(distinct, turn, expected, bits)) for turn in range(turns)])
+    columns = [f"print{turn}" for turn in range(turns)]
+    distinct = cut(known.groupBy(*columns).agg(F.count("*").alias("n")))
+    edges = cut(links(distinct, distinct.count(), bits, turns))
     found = components(edges)
     known = known.select("doc_id", F.col("print0").alias("print"))
     first = known.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))

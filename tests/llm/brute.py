@@ -80,8 +80,16 @@ def simhash(text, n=4, seed=42, turn=0):
     return value
 
 
-def classes(ids, prints, bits=4):
-    """Smallest id reachable over links of fingerprints; `prints` has one or more lists of fingerprints."""
+def linked_turns(p, q, bits, triples):
+    """Do two tuples of fingerprints link: few differing bits in all, 4 equal bytes, among them one of the triples?"""
+    if sum((x ^ y).bit_count() for x, y in zip(p, q)) > bits:
+        return False
+    alike = {8 * t + b for t, (x, y) in enumerate(zip(p, q)) for b in range(8) if not (x ^ y) >> 8 * b & 255}
+    return len(alike) >= 4 and any(alike.issuperset(t) for t in triples)
+
+
+def classes(ids, prints, bits=4, triples=None):
+    """Smallest id reachable over links of fingerprints; tuples of them, one a turn, link over `triples` or where the first are equal."""
     parent = list(range(len(ids)))
 
     def root(i):
@@ -90,15 +98,18 @@ def classes(ids, prints, bits=4):
             i = parent[i]
         return i
 
-    for turn in prints if prints and isinstance(prints[0], list) else [prints]:
-        first = {}
-        for i, p in enumerate(turn):
-            parent[root(i)] = root(first.setdefault(p, i))
-        distinct = list(first)
-        for i, p in enumerate(distinct):
-            for q in distinct[:i]:
-                if (p ^ q).bit_count() <= bits:
-                    parent[root(first[p])] = root(first[q])
+    first = {}
+    for i, p in enumerate(prints):
+        parent[root(i)] = root(first.setdefault(p, i))
+    distinct = list(first)
+    for i, p in enumerate(distinct):
+        for q in distinct[:i]:
+            if triples is None:
+                near = (p ^ q).bit_count() <= bits
+            else:
+                near = p[0] == q[0] or linked_turns(p, q, bits, triples)
+            if near:
+                parent[root(first[p])] = root(first[q])
     least = defaultdict(lambda: None)
     for i, d in enumerate(ids):
         r = root(i)

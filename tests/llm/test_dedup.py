@@ -38,15 +38,42 @@ def test_quotient_filters_merge_without_loss():
         assert (np.concatenate(blocks) == keys).all()
 
 
-@pytest.mark.parametrize("which,turns", [("odd", 1), ("small", 1), ("small", 3)])
-def test_simhash_components(spark, odd, small, which, turns):
+@pytest.mark.parametrize("which,turns,bits,words", [("odd", 1, 4, 4), ("small", 1, 4, 4), ("odd", 4, 44, 5), ("small", 3, 40, 5)])
+def test_simhash_components(spark, odd, small, which, turns, bits, words):
     docs = odd if which == "odd" else table(spark, small, "documents")
     rows = pairs(docs)
-    prints = [brute.simhash(t) for _, t in rows]
-    more = [[brute.simhash(t, turn=turn) for _, t in rows] for turn in range(1, turns)]
-    roots = brute.classes([d for d, _ in rows], [prints, *more])
-    expected = sorted(((d, f"{p:016x}", r) for (d, _), p, r in zip(rows, prints, roots)), key=str)
-    assert plain(simhash.near_duplicates(docs, turns=turns).select("doc_id", "fingerprint", "component_id")) == expected
+    prints = [tuple(brute.simhash(t, words, turn=turn) for turn in range(turns)) for _, t in rows]
+    alone = [p[0] for p in prints] if turns == 1 else prints
+    roots = brute.classes([d for d, _ in rows], alone, bits, None if turns == 1 else simhash.spread(turns))
+    expected = sorted(((d, f"{p[0]:016x}", r) for (d, _), p, r in zip(rows, prints, roots)), key=str)
+    found = simhash.near_duplicates(docs, words=words, bits=bits, turns=turns)
+    assert plain(found.select("doc_id", "fingerprint", "component_id")) == expected
+
+
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_long_fingerprints_link_over_few_equal_bytes(spark, monkeypatch, tile):
+    """Tiles change nothing for several fingerprints a document, either."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rnd = random.Random(6)
+    prints = [tuple(rnd.getrandbits(64) for _ in range(4)) for _ in range(20)]
+    for p in prints[:20]:
+        for bits in range(5, 60, 5):
+            flipped = sum(1 << b for b in rnd.sample(range(256), bits))
+            prints.append(tuple(x ^ (flipped >> 64 * t) % (1 << 64) for t, x in enumerate(p)))
+    prints.sort(key=lambda p: p[0] ^ 1 << 63)  # as signed numbers
+    signed = [tuple(x - (1 << 64) if x >> 63 else x for x in p) for p in prints]
+    frame = spark.createDataFrame(signed, "print0 bigint, print1 bigint, print2 bigint, print3 bigint")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, len(signed), 44, 4)).collect()}
+    assert [found.get(p[0], p[0]) for p in signed] == brute.classes([p[0] for p in signed], prints, 44, simhash.spread(4))
+
+
+def test_spread_triples_share_one_position_at_most():
+    from itertools import combinations
+
+    for turns in (3, 4, 6):
+        sets = [frozenset(t) for t in simhash.spread(turns)]
+        assert all(len(s) == 3 for s in sets)
+        assert all(len(s & t) <= 1 for s, t in combinations(sets, 2))
 
 
 @pytest.mark.parametrize("expected,tile", [(10, 2048), (10_000, 2048), (10_000, 7), (1 << 25, 2048)])
@@ -62,7 +89,7 @@ def test_links_connect_what_is_linked(spark, monkeypatch, expected, tile):
                 q ^= 1 << bit
             prints.append(q)
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
-    frame = spark.createDataFrame([(p,) for p in signed], "print bigint")
+    frame = spark.createDataFrame([(p,) for p in signed], "print0 bigint")
     found = {r["node"]: r["root"] for r in simhash.components(simhash.links(frame, expected)).collect()}
     roots = brute.classes(signed, [p % (1 << 64) for p in signed])
     assert [found.get(p, p) for p in signed] == roots

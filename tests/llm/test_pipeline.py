@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from kinweave.llm import mixing, toxicity  # noqa: E402
+from kinweave.llm import mixing, simhash, toxicity  # noqa: E402
 from kinweave.llm.common import table  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.01"
@@ -42,8 +42,9 @@ def test_dedup_stages(steps):
     _, before, after, _ = steps[1]
     assert {r["doc_id"] for r in after} == {r[0] for r in brute.exact([(r["doc_id"], r["text"]) for r in before]) if r[3]}
     _, before, after, _ = steps[2]
-    prints = [[brute.simhash(r["text"], turn=turn) for r in before] for turn in range(corpus_pipeline.TURNS)]
-    roots = brute.classes([r["doc_id"] for r in before], prints)
+    turns, words = corpus_pipeline.TURNS, corpus_pipeline.SHINGLE
+    prints = [tuple(brute.simhash(r["text"], words, turn=turn) for turn in range(turns)) for r in before]
+    roots = brute.classes([r["doc_id"] for r in before], prints, corpus_pipeline.NEAR_BITS, simhash.spread(turns))
     assert {r["doc_id"] for r in after} == set(roots)
 
 
