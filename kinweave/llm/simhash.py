@@ -172,7 +172,8 @@ def links(prints: DataFrame, expected: int, bits: int = BITS, turns: int = 1) ->
     listed = prints.select(*columns, F.explode(_keys(covering(size) if turns == 1 else spread(turns))).alias("key"))
     # long lists: tiles by a hash, each row in every pair of tiles that has its own
     lengths = listed.groupBy("key").count().where(F.col("count") > TILE)
-    tiles = lengths.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # written first: the planner then knows the size of these few keys before it would shuffle all lists for the join
+    tiles = cut(lengths.select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")))
     tiled = listed.join(tiles, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64(*columns), F.col("tiles")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
