@@ -140,13 +140,13 @@ class Numbered(dict):
 class Pool:
     """Id lists one after another."""
 
-    def __init__(self):
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def __init__(self, kind: type = np.int32):
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists at some places, one after another, and their sizes."""

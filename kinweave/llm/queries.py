@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, exact, fingerprints, mixing, quality, sharding, simhash, suffixes, toxicity, urls
+from kinweave.llm import alignment, bpe, exact, fingerprints, mixing, quality, sharding, simhash, suffixes, tokencounts, toxicity, urls, whitening
 from kinweave.llm.common import table
 
 SHARDS = 8
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary of the queries; its folder is installed beside the libraries."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary of the queries; their folder is installed beside the libraries."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,20 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, folder, "documents"), *paths).documents()
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.by_component(whitening.whiten(table(spark, folder, "embeddings")))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, folder, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
@@ -75,6 +89,9 @@ QUERIES = {
     "op8_exact": op8_exact,
     "op9_urls": op9_urls,
     "op10_fingerprints": op10_fingerprints,
+    "op11_alignment": op11_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_token_counts": op13_token_counts,
 }
 
 OP8_SQL = r"""

@@ -175,3 +175,66 @@ def url(value, rules, default):
 
 def held(doc_id, parts, out):
     return zlib.crc32(str(doc_id).encode()) % parts == out
+
+
+def aligned(texts):
+    """For each text: n_a, n_b, n_groups, n_links, n_best, count_sum, groups; token by token."""
+    import public_tokenizers
+    import sentencepiece
+    import tokenizers
+
+    a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    left = tokenizers.Tokenizer.from_file(a_path)
+    left.encode_special_tokens = True
+    right = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    hidden = [c for c in range(256) if c not in shown]
+    letter = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(hidden)}
+
+    def piece(i):
+        p = right.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if right.is_byte(i) else p.replace("\u2581", " ").encode()
+
+    links, out = [], []
+    for text in texts:
+        a = left.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = right.encode(text) if text else []
+        a_bytes = [bytes(letter[c] for c in left.id_to_token(i)) for i in a]
+        b_bytes = [piece(i) for i in b]
+        if not text or b"".join(a_bytes) != (" " + text).encode() or b"".join(b_bytes) != (" " + text).encode():
+            a, b, a_bytes, b_bytes = [], [], [], []
+        spans = []
+        for parts in (a_bytes, b_bytes):
+            at, found = 0, []
+            for p in parts:
+                found.append((at, at + len(p)))
+                at += len(p)
+            spans.append(found)
+        ends = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups, at = [], [0, 0]
+        for end in ends:
+            ids = []
+            for side, x in enumerate((a, b)):
+                begin = at[side]
+                while at[side] < len(x) and spans[side][at[side]][1] <= end:
+                    at[side] += 1
+                ids.append(",".join(map(str, x[begin : at[side]])))
+            groups.append("|".join(ids))
+        own, first = [], 0
+        for i, (s, e) in zip(a, spans[0]):
+            while first < len(b) and spans[1][first][1] <= s:
+                first += 1
+            k = first
+            while k < len(b) and spans[1][k][0] < e:
+                own.append((i, b[k]))
+                k += 1
+        links.append(own)
+        out.append([len(a), len(b), len(groups), len(own), ";".join(groups)])
+    count = Counter(pair for own in links for pair in own)
+    highest = {}
+    for (_, i), n in count.items():
+        highest[i] = max(highest.get(i, 0), n)
+    rows = []
+    for (a, b, groups, n, shown_), own in zip(out, links):
+        rows.append((a, b, groups, n, sum(count[p] == highest[p[1]] for p in own), sum(count[p] for p in own), shown_))
+    return rows, count
