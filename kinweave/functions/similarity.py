@@ -27,8 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD_BITS = 64
 BAG_WORDS = 4
 PAIR_CHUNK = 1 << 14
-# Strings up to so many bytes are scored many pairs at a time, and how many pairs; longer ones one pair at a time.
+# Strings up to so many bytes are bit sets of a few machine words, and how many of their pairs are scored at once.
 WIDE, WIDE_CHUNK = 256, 1 << 11
+# Bytes of pairs with a longer string that are scored at once.
+LONG_BYTES = 1 << 20
 PAIRS_AT_ONCE = 1 << 18
 ROUNDING_SLACK = 1e-9
 
@@ -109,31 +111,6 @@ def may_reach(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff:
     return _boost(upper, _common_prefix(enc, left, right)) >= cutoff - ROUNDING_SLACK
 
 
-def _long_pair(a: bytes, b: bytes) -> float:
-    """Jaro for one pair in which a string is longer than a machine word (Python integers as bit sets)."""
-    if not a or not b:
-        return 0.0
-    positions: dict[int, int] = {}
-    for index, byte in enumerate(b):
-        positions[byte] = positions.get(byte, 0) | (1 << index)
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = (1 << len(b)) - 1
-    window = (1 << (reach + 1)) - 1
-    matched = []
-    for index, byte in enumerate(a):
-        hits = positions.get(byte, 0) & window & free
-        if hits:
-            free &= ~(hits & -hits)
-            matched.append(byte)
-        window = (window << 1) | (index < reach)
-    if not matched:
-        return 0.0
-    taken = [byte for index, byte in enumerate(b) if not free >> index & 1]
-    half = sum(x != y for x, y in zip(matched, taken)) // 2
-    m = len(matched)
-    return (m / len(a) + m / len(b) + (m - half) / m) / 3.0
-
-
 def _short_chunk(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff: float | None) -> np.ndarray:
     """Jaro-Winkler of pairs that fit one machine word; below the cut-off the value may be any lower number."""
     la, lb = enc.length[left], enc.length[right]
@@ -219,6 +196,69 @@ def _wide_chunk(enc: EncodedStrings, left: np.ndarray, right: np.ndarray) -> np.
     return np.where(m > 0, _boost(jaro, _common_prefix(enc, left, right)), 0.0)
 
 
+class LongStrings:
+    """Positions of every byte value in some strings: one flat array, string by string and byte by byte."""
+
+    def __init__(self, enc: EncodedStrings, rows: np.ndarray):
+        self.length = enc.length[rows]
+        data = np.frombuffer(b"".join([enc.raw[row] for row in rows.tolist()]), dtype=np.uint8)
+        self.start = np.cumsum(self.length) - self.length
+        owner = np.repeat(np.arange(len(rows)), self.length)
+        order = np.argsort(owner * 256 + data, kind="stable")
+        self.position = order - np.repeat(self.start, self.length)
+        self.counts = np.bincount(owner * 256 + data, minlength=256 * len(rows)).reshape(-1, 256)
+        self.first = (np.cumsum(self.counts.ravel()) - self.counts.ravel()).reshape(-1, 256)
+
+    def listed(self, strings: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a byte in a string, for many of both, one after another, and how many each."""
+        sizes = self.counts[strings, byte]
+        shift = self.first[strings, byte] - (np.cumsum(sizes) - sizes)
+        return self.position[np.repeat(shift, sizes) + np.arange(sizes.sum())], sizes
+
+
+def _long_chunk(enc: EncodedStrings, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler of pairs of strings of any length, in time proportional to their lengths.
+
+    A byte takes the first free equal byte in its window, and windows move forwards, so for each byte value the free places
+    are a queue: an occurrence gets the place behind the last one taken, or the first in its window if that is later.  The
+    n-th occurrences of all byte values of all pairs are matched at once.
+    """
+    rows, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    strings, l, r = LongStrings(enc, rows), at[: len(left)], at[len(left) :]
+    la, lb = strings.length[l], strings.length[r]
+    pair, byte = np.nonzero((strings.counts[l] > 0) & (strings.counts[r] > 0))
+    # values with many occurrences first, so those that have an n-th one are the first ones
+    order = np.argsort(-strings.counts[l[pair], byte], kind="stable")
+    pair, byte = pair[order], byte[order]
+    a, a_sizes = strings.listed(l[pair], byte)
+    b, b_sizes = strings.listed(r[pair], byte)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[pair]
+    span = int(max(la.max(initial=0), lb.max(initial=0))) * 2 + 2
+    value_of_a = np.repeat(np.arange(len(pair)), a_sizes)
+    places = np.repeat(np.arange(len(pair)), b_sizes) * span + b
+    around = np.repeat(reach, a_sizes)
+    low = np.searchsorted(places, value_of_a * span + np.maximum(a - around, 0))
+    high = np.searchsorted(places, value_of_a * span + a + around, side="right")
+    taken_by = np.full(len(a), -1)
+    begin = np.cumsum(a_sizes) - a_sizes
+    free = np.zeros(len(pair), dtype=np.int64)
+    with_nth = np.searchsorted(-a_sizes, -np.arange(int(a_sizes.max(initial=0))), side="left")
+    for nth, active in enumerate(with_nth.tolist()):
+        index = begin[:active] + nth
+        place = np.maximum(free[:active], low[index])
+        hit = place < high[index]
+        taken_by[index] = np.where(hit, place, -1)
+        free[:active] = place + hit
+    matched = np.flatnonzero(taken_by >= 0)
+    owner, letter = pair[value_of_a[matched]], byte[value_of_a[matched]]
+    from_left = np.argsort(owner * span + a[matched], kind="stable")
+    from_right = np.argsort(owner * span + b[taken_by[matched]], kind="stable")
+    m = np.bincount(owner, minlength=len(left))
+    moved = np.bincount(owner[from_left], weights=letter[from_left] != letter[from_right], minlength=len(left)).astype(np.int64)
+    jaro = (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved // 2) / np.maximum(m, 1)) / 3.0
+    return np.where(m > 0, _boost(jaro, _common_prefix(enc, left, right)), 0.0)
+
+
 def score_pairs(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff: float | None = None) -> np.ndarray:
     """Jaro-Winkler of many pairs of rows of `enc`; with a cut-off, hopeless pairs may score lower than their value."""
     result = np.empty(len(left))
@@ -234,15 +274,22 @@ def score_pairs(enc: EncodedStrings, left: np.ndarray, right: np.ndarray, cutoff
     for start in range(0, len(index), WIDE_CHUNK):
         part = index[start : start + WIDE_CHUNK]
         result[part] = _wide_chunk(enc, left[part], right[part])
-    for row in np.flatnonzero(~short & ~wide):
-        a, b = enc.raw[left[row]], enc.raw[right[row]]
-        prefix = 0
-        while prefix < min(MAX_PREFIX, len(a), len(b)) and a[prefix] == b[prefix]:
-            prefix += 1
-        result[row] = float(_boost(np.float64(_long_pair(a, b)), np.float64(prefix)))
+    index = np.flatnonzero(~short & ~wide)
+    size = enc.length[left[index]] + enc.length[right[index]]
+    index, size = index[np.argsort(size, kind="stable")], np.sort(size)
+    part = np.cumsum(size) // LONG_BYTES
+    for begin, end in zip(*_runs(part)):
+        chosen = index[begin:end]
+        result[chosen] = _long_chunk(enc, left[chosen], right[chosen])
     return result
 
 
+def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return starts.tolist(), np.append(starts[1:], len(values)).tolist() if len(values) else []
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     result = np.full(len(left), np.nan)
@@ -275,8 +322,9 @@ TILE_PAIR_SCHEMA = "l_value long, r_value long, l_tiles int, r_tiles int, simila
 def similar_within_tiles(cutoff: float):
     """Batch function for `mapInPandas`: pairs of similar names in each (block, left tile, right tile) group.
 
-    Input rows are sorted by group, side 0 (left tile, new values only) before side 1.  Of two new values the
-    later one is the left end, so each pair is produced once.
+    Input rows are sorted by group, side 0 (left tile, new values only) before side 1.  The right side of a group of two
+    tiles holds what the left one is to be compared with, as the group that has them the other way round leaves it out; a
+    tile with itself gives each pair once.  Of two new values the later one is the left end.
     """
 
     def finish(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -284,6 +332,7 @@ def similar_within_tiles(cutoff: float):
         enc = EncodedStrings(list(values))
         ids, side = rows["value_id"].to_numpy(), rows["side"].to_numpy()
         fresh = rows["fresh_value"].to_numpy(dtype=bool)
+        alone = rows["l_tile"].to_numpy() == rows["r_tile"].to_numpy()
         starts = np.flatnonzero(_changes(rows))
         waiting, size = [], 0
         for begin, end in zip(starts, np.append(starts[1:], len(rows))):
@@ -292,9 +341,12 @@ def similar_within_tiles(cutoff: float):
             for first in range(begin, split, max(PAIRS_AT_ONCE // width, 1)):
                 part = np.arange(first, min(first + max(PAIRS_AT_ONCE // width, 1), split))
                 l, r = np.repeat(part, end - split), np.tile(np.arange(split, end), len(part))
-                wanted = (ids[l] > ids[r]) | (~fresh[r] & (ids[l] != ids[r]))
-                waiting.append((l[wanted], r[wanted]))
-                size += len(waiting[-1][0])
+                if alone[begin]:
+                    wanted = (ids[l] > ids[r]) | (~fresh[r] & (ids[l] != ids[r]))
+                    l, r = l[wanted], r[wanted]
+                swap = fresh[r] & (ids[r] > ids[l])
+                waiting.append((np.where(swap, r, l), np.where(swap, l, r)))
+                size += len(l)
                 if size >= PAIRS_AT_ONCE:
                     yield scored(rows, enc, code, ids, waiting)
                     waiting, size = [], 0

@@ -13,13 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.config import JARO_WINKLER, JoinRule, ResolverConfig
-from kinweave.functions.similarity import TILE_PAIR_SCHEMA, jaro_winkler, similar_within_tiles
+from kinweave.functions.similarity import (
+    BOOST_ABOVE,
+    MAX_PREFIX,
+    PREFIX_WEIGHT,
+    ROUNDING_SLACK,
+    TILE_PAIR_SCHEMA,
+    jaro_winkler,
+    similar_within_tiles,
+)
 from kinweave.functions.text import NORMALISED_SUFFIX, normalise_name
 from kinweave.session import task_slots
 
 # Values per tile: small blocks make small tiles for parallelism, large ones large tiles for little replication.
 TILE_ROWS = (512, 8192)
 TILES_WANTED = 64
+# Signatures of names: length classes for a factor of two, room for all of them, and what stands for first characters beyond ASCII.
+CLASSES_PER_OCTAVE, LENGTH_CLASSES, OTHER = 4, 256, 128
 # Profiles up to this measured size are sent to every task; beyond it, pairs and profiles are sorted and merged.
 SMALL_BYTES = 32 << 20
 PROFILES_PER_TILE = 4096
@@ -68,63 +78,119 @@ def profiles(mentions: DataFrame, config: ResolverConfig) -> DataFrame:
 
 
 def _tile_count(size: str, least: int, most: int) -> Column:
+    """Tiles of a block by its number of values; a power of two up to `TILES_WANTED`, then multiples of it."""
     rows = F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.col(size) / TILES_WANTED)))
-    return F.ceil(F.col(size) / rows).cast("int")
+    tiles = F.ceil(F.col(size) / rows)
+    doubled = F.pow(F.lit(2), F.ceil(F.log2(tiles)))
+    return F.when(tiles <= TILES_WANTED, doubled).otherwise(F.ceil(tiles / TILES_WANTED) * TILES_WANTED).cast("int")
 
 
-def similar_values(
-    values: DataFrame, keys: list[str], cutoff: float, tile_rows: tuple[int, int] = TILE_ROWS
-) -> DataFrame:
-    """Pairs of similar `name` values that agree on `keys`, each pair once, with its similarity.
+def signature(name: str) -> Column:
+    """First character (all beyond ASCII alike) and length class of a name, as one number that orders by both.
 
-    `values` has one row per distinct (keys, name): `value_id`, `name`, `profiles` (how many profiles share it),
-    `last_new` (NULL: no new mention).
-    A block is cut into tiles by its number of values, and tile pairs are spread over the cluster, so no task
-    holds more than two tiles however large the block.  Pairs without a new value are never formed.
+    Names of different first characters here have no common prefix, and of a length class the longest and shortest differ
+    by a factor of at most `2 ** (1 / CLASSES_PER_OCTAVE)`, so ranges of signatures bound the similarity of their names.
     """
-    spark = values.sparkSession
-    blocks = values.groupBy(*keys).agg(
+    length = F.floor(F.log2(F.greatest(F.octet_length(name), F.lit(1))) * CLASSES_PER_OCTAVE)
+    return (F.least(F.ascii(name), F.lit(OTHER)) * LENGTH_CLASSES + length).cast("int")
+
+
+def reachable(first: Column, length: Column, low: Column, high: Column, cutoff: float) -> Column:
+    """Lossless: False only where no name with a signature from `low` to `high` reaches the cut-off with a name of this first
+    character and number of bytes.
+
+    Matching bytes are at most as many as the shorter name has, the transposition term is at most 1, and the prefix counts
+    where the first characters may be the same.
+    """
+    low_first, high_first = F.floor(low / LENGTH_CLASSES), F.floor(high / LENGTH_CLASSES)
+    # lengths are known where all signatures of the range have one first character
+    one = low_first == high_first
+    slack = 1e-9  # of the logarithm and the power
+    shortest = F.when(one, F.pow(F.lit(2.0), (low % LENGTH_CLASSES) / CLASSES_PER_OCTAVE) * (1 - slack)).otherwise(F.lit(1.0))
+    longest = F.pow(F.lit(2.0), (high % LENGTH_CLASSES + 1) / CLASSES_PER_OCTAVE) * (1 + slack)
+    longest = F.when(one, longest).otherwise(F.lit(float("inf")))
+    own = F.greatest(length, F.lit(1))
+    jaro = (F.least(longest / own, F.lit(1.0)) + F.least(own / F.greatest(shortest, F.lit(1.0)), F.lit(1.0)) + 1.0) / 3.0
+    boosted = jaro + MAX_PREFIX * PREFIX_WEIGHT * (1.0 - jaro)
+    best = F.when(first.between(low_first, high_first) & (jaro > BOOST_ABOVE), boosted).otherwise(jaro)
+    return best >= cutoff - ROUNDING_SLACK
+
+
+def placed_values(values: DataFrame, keys: list[str], cutoff: float, tile_rows: tuple[int, int] = TILE_ROWS) -> DataFrame:
+    """Values of blocks that can have pairs: block, tile (its number among `tiles`), and the tiles `in_reach` of the value.
+
+    Tiles are ranges of signatures: quantiles of the block's values, found in the aggregate that sizes the blocks.  Where
+    one signature fills several tiles its values are dealt to them by a hash.
+    """
+    steps = [i / TILES_WANTED for i in range(1, TILES_WANTED)]
+    blocks = values.withColumn("signature", signature("name")).groupBy(*keys).agg(
         F.min("value_id").alias("block"),
         F.count("*").alias("size"),
         F.count("last_new").alias("fresh"),
+        F.count_if(F.col("last_new").isNull()).alias("stale"),
+        F.min("signature").alias("least"),
+        F.max("signature").alias("most"),
+        F.percentile_approx("signature", steps, 1_000).alias("quantiles"),
     )
-    blocks = blocks.where((F.col("size") > 1) & (F.col("fresh") > 0))
-    tiles, fresh_tiles = _tile_count("size", *tile_rows), _tile_count("fresh", *tile_rows)
-    placed = values.join(blocks, keys).select(
+    blocks = blocks.where((F.col("size") > 1) & (F.col("fresh") > 0)).withColumn("tiles", _tile_count("size", *tile_rows))
+    # upper ends of the ranges but the last; beyond `TILES_WANTED` tiles several share a range
+    ranges = F.least("tiles", F.lit(TILES_WANTED))
+    ends = "transform(sequence(1, ranges), i -> CASE WHEN i = ranges THEN most ELSE quantiles[i * {0} div ranges - 1] END)"
+    blocks = blocks.withColumn("ranges", ranges).withColumn("ends", F.expr(ends.format(TILES_WANTED)))
+    blocks = blocks.withColumn("share", (F.col("tiles") / F.col("ranges")).cast("int")).drop("quantiles", "size", "fresh")
+    placed = values.join(blocks, keys).withColumn("signature", signature("name"))
+    low = F.size(F.filter("ends", lambda e: e < F.col("signature")))
+    high = F.greatest(low, F.size(F.filter("ends", lambda e: e <= F.col("signature"))) - 1)
+    spread = F.pmod(F.xxhash64("name"), (high - low + 1) * F.col("share")).cast("int")
+    first, length = F.ascii("name"), F.octet_length("name").cast("double")
+
+    def near(t: Column) -> Column:
+        at = F.floor(t / F.col("share")).cast("int")
+        start = F.when(at == 0, F.col("least")).otherwise(F.element_at("ends", at))
+        return reachable(F.least(first, F.lit(OTHER)), length, start, F.element_at("ends", at + 1), cutoff)
+
+    return placed.select(
         "block",
         "value_id",
         "name",
         F.col("last_new").isNotNull().alias("fresh_value"),
         _tiles().alias("value_tiles"),
-        F.pmod(F.xxhash64("name"), tiles).cast("int").alias("tile"),
-        F.pmod(F.xxhash64("name", F.lit(1)), fresh_tiles).cast("int").alias("fresh_tile"),
-        tiles.alias("tiles"),
-        fresh_tiles.alias("fresh_tiles"),
+        (low * F.col("share") + spread).alias("tile"),
+        "tiles",
+        "stale",
+        F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(
+            F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), near)
+        ).alias("in_reach"),
     )
+
+
+def similar_values(
+    values: DataFrame, keys: list[str], cutoff: float, tile_rows: tuple[int, int] = TILE_ROWS
+) -> DataFrame:
+    """Pairs of similar `name` values that agree on `keys`, each pair once, with its similarity.
+
+    `values` has one row per distinct (keys, name): `value_id`, `name`, `profiles` (how many profiles share it),
+    `last_new` (NULL: no new mention).
+    A block is cut into tiles by its number of values, and tile pairs are spread over the cluster, so no task
+    holds more than two tiles however large the block.  A value goes only to tiles that may hold a similar one, and
+    pairs without a new value are never formed.  New values meet in the pair of tiles whose left one has the lower number,
+    stored ones are always on the right.
+    """
+    placed = placed_values(values, keys, cutoff, tile_rows)
+    columns = ["value_id", "name", "fresh_value", "value_tiles"]
+    # without stored values, a left tile has nothing to meet in tiles of lower numbers
+    forward = F.filter("in_reach", lambda t: (t >= F.col("tile")) | (F.col("stale") > 0))
     left = placed.where("fresh_value").select(
-        "block",
-        F.col("fresh_tile").alias("l_tile"),
-        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("r_tile"),
-        F.lit(0).alias("side"),
-        "value_id",
-        "name",
-        "fresh_value",
-        "value_tiles",
+        "block", F.col("tile").alias("l_tile"), F.explode(forward).alias("r_tile"), F.lit(0).alias("side"), *columns
     )
+    backward = F.filter("in_reach", lambda t: (t <= F.col("tile")) | ~F.col("fresh_value"))
     right = placed.select(
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("fresh_tiles") - 1)).alias("l_tile"),
-        F.col("tile").alias("r_tile"),
-        F.lit(1).alias("side"),
-        "value_id",
-        "name",
-        "fresh_value",
-        "value_tiles",
+        "block", F.explode(backward).alias("l_tile"), F.col("tile").alias("r_tile"), F.lit(1).alias("side"), *columns
     )
     group = ["block", "l_tile", "r_tile"]
     return (
         left.unionByName(right)
-        .repartition(task_slots(spark), *group)
+        .repartition(task_slots(values.sparkSession), *group)
         .sortWithinPartitions(*group, "side")
         .mapInPandas(similar_within_tiles(cutoff), TILE_PAIR_SCHEMA)
     )

@@ -1,6 +1,8 @@
 import random
 from dataclasses import replace
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,29 @@ def test_links_equal_brute_force_whatever_the_tiles(spark, monkeypatch, tile_row
     assert len(found) == len(_brute(rows, settings))
 
 
+@pytest.mark.parametrize("stored_share", [0.0, 0.6])
+@pytest.mark.parametrize("wanted, tile_rows", [(64, (3, 3)), (4, (3, 3)), (64, (512, 8192))])
+def test_tiles_in_reach_lose_no_pair(spark, monkeypatch, stored_share, wanted, tile_rows):
+    """Names of very different lengths and first letters: the same pairs as by brute force, each once."""
+    monkeypatch.setattr(blocking, "TILES_WANTED", wanted)
+    rng = random.Random(11)
+    names = {"", "é", "è", "ab"}
+    while len(names) < 130:
+        base = "".join(rng.choices("abcé 1", k=rng.choice([1, 3, 8, 30, 120, 700])))
+        names |= {base, base + rng.choice("abc"), rng.choice("abcé") + base[1:], base[: len(base) // 2]}
+    values = [(f"k{i % 2}", n, i, None if rng.random() < stored_share else i, 1) for i, n in enumerate(sorted(names))]
+    frame = spark.createDataFrame(values, "key string, name string, value_id long, last_new long, profiles long")
+    found = blocking.similar_values(frame, ["key"], 0.8, tile_rows).collect()
+    left = [(a, b) for a in values for b in values if a[0] == b[0] and a[2] != b[2] and a[3] is not None]
+    left = [(a, b) for a, b in left if b[3] is None or a[2] > b[2]]
+    pairs = pd.DataFrame([(a[1], b[1]) for a, b in left], columns=["l", "r"])  # noqa: F841
+    scores = duckdb.sql("SELECT jaro_winkler_similarity(l, r) AS s FROM pairs").df()["s"]
+    assert sorted((r.l_value, r.r_value) for r in found) == sorted((a[2], b[2]) for (a, b), s in zip(left, scores) if s >= 0.8)
+    if (wanted, tile_rows) == (64, (3, 3)):
+        placed = blocking.placed_values(frame, ["key"], 0.8, tile_rows).selectExpr("max(tiles) AS t", "avg(size(in_reach) / tiles) AS share").first()
+        assert placed["t"] > 20 and placed["share"] < 1
+
+
 def test_stored_and_new_mentions_give_the_links_of_the_whole(spark):
     rows = _corpus(random.Random(4), 90)
     settings = config.shipped().with_fields(FIELDS)

@@ -65,3 +65,17 @@ def test_column_form(spark):
     plain = [rows[i] for i in (0, 1, 2, 3, 6)]
     assert [found[i] for i in (0, 1, 2, 3, 6)] == pytest.approx(list(_expected(plain)))
     assert round(found[0], 4) == 0.8821
+
+
+def test_long_strings_equal_the_database_function():
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz  eeaaé", k=n))
+
+    pairs = [("x" * 3000, "x" * 2000 + "y"), ("", "abc" * 500), ("a" * 70, "b" * 700), ("ab" * 900, "ba" * 800)]
+    for _ in range(300):
+        left = text(rng.randint(200, 4000))
+        pairs.append((left, left[: rng.randint(1, len(left))] + text(rng.randint(1, 900))))
+        pairs.append((left, text(rng.randint(1, 4000))))
+    assert np.abs(similarity.score_pairs(*_encoded(pairs)) - _expected(pairs)).max() < 1e-12
