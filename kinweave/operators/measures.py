@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# Bits of the sort key that a counting round settles: at most 4,096 counters a rank, six rounds for any doubles.
+ROUND_BITS = (12, 12, 12, 12, 12, 4)
+_SIGN = -(1 << 63)
+
+
+def sort_key(value: Column) -> Column:
+    """A double as a long whose bits, without a sign, order like the values: NaN last, the zeros equal."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, F.bitwise_not(bits)).otherwise(bits.bitwiseXOR(F.lit(_SIGN)))
+
+
+def value_of_key(key: int) -> float:
+    """The double of a sort key, given without a sign."""
+    bits = key ^ (1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return struct.unpack(">d", bits.to_bytes(8, "big"))[0]
 
 
 def order_statistics(frame: DataFrame, value: str, ranks: list[int]) -> list[float]:
-    """Exact values at zero-based ranks of the sorted column.
+    """Exact values at zero-based ranks of the sorted column, for any doubles; NULLs do not count.
 
-    A round counts, for all ranks together, equal-width buckets of the ranges that hold them (a combinable aggregate of at
-    most `BUCKETS` groups a range), and each rank goes on inside its bucket until that holds one value.
+    A radix select over the bits of the values, for all ranks together: a round counts the next bits of the values that
+    share the bits settled so far (a combinable aggregate), and each rank goes on with the bits that hold it.  The rounds
+    are as many for any data.  The zeros are one value, which comes back as 0.0.
     """
-    values = frame.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    low, high, size = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    for rank in ranks:
-        if size is None or not 0 <= rank < size:
-            raise ValueError(f"rank {rank} is outside the {size} values")
-    found = [(low, high, rank) for rank in ranks]
-    while spans := sorted({(low, high) for low, high, _ in found if low < high}):
-        # the spans are disjoint: all are buckets of the round before
-        place, slot = F.lit(None).cast("int"), F.lit(None).cast("long")
-        for number, (low, high) in enumerate(spans):
-            inside = F.col("v").between(low, high)
-            place = F.when(inside, number).otherwise(place)
-            slot = F.when(inside, F.least(F.floor((F.col("v") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))).otherwise(slot)
-        counts = values.groupBy(place.alias("place"), slot.alias("slot")).agg(
-            F.count("*").alias("size"), F.min("v").alias("low"), F.max("v").alias("high")
-        )
-        rows = counts.where("place is not null").orderBy("place", "slot").collect()
-        for i, (low, high, rank) in enumerate(found):
-            for row in rows if low < high else ():
-                if spans[row["place"]] == (low, high):
-                    if rank < row["size"]:
-                        found[i] = row["low"], row["high"], rank
-                        break
-                    rank -= row["size"]
-    return [low for low, _, _ in found]
+    keys = frame.where(F.col(value).isNotNull()).select(sort_key(F.col(value)).alias("key"))
+    found, shift = [(0, rank) for rank in ranks], 64
+    for bits in ROUND_BITS if ranks else ():
+        before, shift = shift, shift - bits
+        settled = F.shiftrightunsigned("key", before) if before < 64 else F.lit(0)
+        digit = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << bits) - 1))
+        asked = sorted({prefix for prefix, _ in found})
+        counts = keys.where(settled.isin(asked)).groupBy(settled.alias("settled"), digit.alias("digit")).count()
+        rows = sorted(counts.collect())
+        for i, (prefix, rank) in enumerate(found):
+            left = rank
+            for row in (row for row in rows if row["settled"] == prefix):
+                if 0 <= left < row["count"]:
+                    found[i] = prefix << bits | row["digit"], left
+                    break
+                left -= row["count"]
+            else:
+                raise ValueError(f"rank {rank} is outside the {sum(row['count'] for row in rows)} values")
+    return [value_of_key(key) for key, _ in found]
 
 
 def latency_summary(frame: DataFrame, value: str) -> DataFrame:

@@ -11,7 +11,6 @@ LAYOUT = "mention_id string, arrival_seq long, legal_name string, country_code s
 
 
 def test_order_statistics_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(measures, "BUCKETS", 8)
     rng = random.Random(1)
     # A third of the values are equal, and one is far away.
     values = [7.25] * 200 + [rng.gauss(0, 10) for _ in range(399)] + [1e9]
@@ -122,3 +121,31 @@ def test_registered_comparison(spark, monkeypatch):
     rows = [("a", 0, "Acme", "DEU", "1011"), ("b", 1, "Acme", "DEU", "1099")]
     assert [r.gamma_post_code for r in link(spark.createDataFrame(rows, LAYOUT), settings).links.collect()] == [1]
     scoring.COMPARISON_KINDS.remove("same_start")
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [1.0, 2.0, 3.0, float("nan")],
+        [1.0, 2.0, 3.0, float("inf"), float("-inf")],
+        [-0.0, 0.0, -1.5, 5e-324, -5e-324, 1.7976931348623157e308, -1.7976931348623157e308],
+        [4.25] * 9,
+        [float("nan")] * 3,
+        [float(v) for v in range(-40, 60, 7)] + [0.1, 0.1 + 2**-56, 0.1],
+    ],
+)
+def test_order_statistics_of_any_doubles(spark, values):
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    wanted = sorted(values, key=lambda v: (v != v, v))
+    found = measures.order_statistics(frame, "v", list(range(len(values))))
+    assert [str(v + 0.0) for v in found] == [str(v + 0.0) for v in wanted]
+
+
+def test_order_statistics_refuse_other_ranks(spark):
+    frame = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    assert measures.order_statistics(frame, "v", []) == []
+    for rank in (-1, 2):
+        with pytest.raises(ValueError):
+            measures.order_statistics(frame, "v", [0, rank])
+    with pytest.raises(ValueError):
+        measures.order_statistics(frame.where("v > 5"), "v", [0])
