@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -73,6 +73,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What `build` returns, written; the tables that it cuts on the way are deleted then."""
+    outside = _SCRATCH.get()
+    with scratch(spark):
+        frame = build()
+        inside = _SCRATCH.set(outside)
+        try:
+            return cut(frame)
+        finally:
+            _SCRATCH.reset(inside)
+
+
 def task_slots(spark: SparkSession) -> int:
     """Partitions for stages whose work outgrows their input, which must not be coalesced by size."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
