@@ -26,13 +26,16 @@ CANDIDATES = "array<struct<cluster_id:string,score:double>>"
 class Stored:
     """What was resolved before: mentions with normalised copies, links at rest, clusters.
 
-    `last_seq` is the largest arrival number among the mentions; it is looked up where it is not given.
+    `last_seq` is the largest arrival number among the mentions; it is looked up where it is not given.  `reach` gives the
+    stored mentions, with cluster_id, that new ones (with normalised copies) may be matched with; without it they are sought
+    among all.
     """
 
     mentions: DataFrame
     links: DataFrame
     clusters: DataFrame
     last_seq: int | None = None
+    reach: Callable[[DataFrame], DataFrame] | None = None
 
     def last(self) -> int:
         if self.last_seq is None:
@@ -42,13 +45,14 @@ class Stored:
 
 @dataclass
 class Outcome:
-    """Responses in request order and the rows the batch adds to the state."""
+    """Responses in request order, the rows the batch adds to the state, and the stored mentions it was matched with."""
 
     responses: DataFrame
     mentions: DataFrame
     links: DataFrame
     clusters: DataFrame
     events: DataFrame
+    near: DataFrame | None = None
 
 
 def read_requests(raw: DataFrame, config: ResolverConfig, mapper: Mapper) -> DataFrame:
@@ -123,15 +127,19 @@ def process(
     columns = ["mention_id", "arrival_seq", *[c for c in stored.mentions.columns if c not in ("mention_id", "arrival_seq")]]
     new = judged.where(F.col("guard") == guards.NEW).withColumn("arrival_seq", F.col("arrival_seq") + shift).select(*columns)
     owners = stored.clusters.select("mention_id", "cluster_id", "arrival_seq")
-    answers = []
+    answers, near = [], None
     if seen.get[guards.NEW]:
+        if stored.reach is None:
+            near, owned = in_reach(stored.mentions, new, config), stored.clusters
+        else:
+            near = cut(stored.reach(new))
+            owned = near
         everything = (
-            in_reach(stored.mentions, new, config)
-            .select(*columns)
+            near.select(*columns)
             .withColumn("is_new", F.lit(False))
             .unionByName(new.withColumn("is_new", F.lit(True)))
         )
-        done = resolve(everything, config, stored.clusters)
+        done = resolve(everything, config, owned)
         links, settled = cut(done.stored_links()), done.clusters
         answers.append(_listed(done.candidates()).withColumn("guard", F.lit(guards.NEW)))
     else:
@@ -167,6 +175,7 @@ def process(
         links=links,
         clusters=clusters,
         events=events(messages, judged, settled, links, answered_at),
+        near=near,
     )
 
 

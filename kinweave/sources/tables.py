@@ -1,15 +1,21 @@
-"""State tables: Parquet folders per batch, visible once the batch's commit row is written.
+"""State tables: Parquet folders per batch, visible once the batch's commit row is written, and merged later.
 
 The state numbers its batches itself.  A commit row names the run (a stream's own id) and the run's batch, so a batch that
 a run repeats replaces its rows, and a new run, whose batches start at 0 again, never touches those of another.
+
+Folders of old batches are merged into segments, several of about one size into a larger one, so a table has a number of
+files that grows with the logarithm of its batches.  A list of segments replaces the one before it when it is complete; until
+then readers go on with the folders of the batches.  The newest batch is never merged, as it may be repeated.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +23,14 @@ from kinweave.config import LevelParameters, Model, ResolverConfig
 from kinweave.functions.text import NORMALISED_SUFFIX
 from kinweave.operators import scoring
 from kinweave.operators.training import COLD_START, PERSISTED
+from kinweave.sources.reach import ReachLayout, representatives
 
 COMMIT_LAYOUT = "batch_id long, mentions long, source string, run string, stream_batch long, last_seq long"
 LINK_LAYOUT = "mention_id_l string, mention_id_r string, match_probability float"
 CLUSTER_LAYOUT = "mention_id string, arrival_seq long, cluster_id string"
+SEGMENT_LAYOUT = "name string, path string, upto long, level int"
+#: Batch folders, and segments of one level, that are merged when there are as many.
+MERGE_AT = 8
 MODEL_LAYOUT = "field string, level int, label string, m double, u double, weight double, source string, prior double"
 
 
@@ -45,7 +55,26 @@ class StateTables:
     folder: str
     config: ResolverConfig
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _read(self, name: str, last: int | None = None) -> DataFrame | None:
+        """Rows of all segments and of the batches behind them, up to the last batch asked for."""
+        segments = [r for r in self.segments() if r["name"] == name]
+        upto = max([r["upto"] for r in segments], default=-1)
+        parts = [self.spark.read.parquet(f"{self.folder}/{r['path']}") for r in segments]
+        loose = self._folder(name)
+        if loose is not None:
+            # on the partition column as it is, so that other folders are not even listed for reading
+            loose = loose.where(F.col("batch_id") > upto) if segments else loose
+            parts.append(loose if last is None else loose.where(F.col("batch_id") <= last))
+        if not parts:
+            return None
+        # a segment holds the batch numbers as a column like any other
+        parts = [p.withColumn("batch_id", F.col("batch_id").cast("bigint")) for p in parts]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part, allowMissingColumns=True)
+        return found
+
+    def _folder(self, name: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.folder}/{name}")
         except AnalysisException as problem:
@@ -53,12 +82,93 @@ class StateTables:
                 return None
             raise
 
+    def _files(self, path: str) -> list[str]:
+        """Names of the folders in a folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        system = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def _segment_lists(self) -> list[int]:
+        """Numbers of the complete lists of segments."""
+        found = [int(n.removeprefix("list=")) for n in self._files("segment_lists") if n.startswith("list=")]
+        return sorted(n for n in found if "_SUCCESS" in self._files(f"segment_lists/list={n}"))
+
+    def segments(self) -> list:
+        """(name, path, upto, level) of all segments; their number grows with the logarithm of the batches."""
+        lists = self._segment_lists()
+        if not lists:
+            return []
+        return self.spark.read.schema(SEGMENT_LAYOUT).json(f"{self.folder}/segment_lists/list={lists[-1]}").collect()
+
+    def merge(self, newest: int) -> None:
+        """Merge the folders of batches before the newest one wherever a table has `MERGE_AT` of them, and segments likewise."""
+        segments, changed = self.segments(), False
+        for name in sorted(n for n in self._files("") if n not in ("segments", "segment_lists", "model")):
+            own = [r for r in segments if r["name"] == name]
+            upto = max([r["upto"] for r in own], default=-1)
+            numbers = [int(m[1]) for n in self._files(name) if (m := re.fullmatch(r"batch_id=(\d+)", n))]
+            for stale in (n for n in numbers if n <= upto):
+                self._delete(f"{name}/batch_id={stale}")
+            if sum(upto < n < newest for n in numbers) < MERGE_AT:
+                continue
+            loose = self._folder(name)
+            if loose is None:  # batches without rows for this table
+                for empty in (n for n in numbers if n < newest):
+                    self._delete(f"{name}/batch_id={empty}")
+                continue
+            # younger segments join as long as they are enough of one level
+            level, joined = 0, []
+            while len(same := [r for r in own if r["level"] == level]) >= MERGE_AT - 1:
+                joined, level = [*joined, *same], level + 1
+            rows = loose.where(F.col("batch_id").between(upto + 1, newest - 1))
+            for r in joined:
+                part = self.spark.read.parquet(f"{self.folder}/{r['path']}")
+                rows = rows.unionByName(part.withColumn("batch_id", F.col("batch_id").cast(rows.schema["batch_id"].dataType)), allowMissingColumns=True)
+            path = f"segments/{name}/{uuid.uuid4().hex}"
+            self._write(rows, name, f"{self.folder}/{path}")
+            segments = [r for r in segments if r not in joined] + [Row(name=name, path=path, upto=newest - 1, level=level)]
+            changed = True
+        if not changed:
+            return
+        self._list_segments(segments)
+
+    def _list_segments(self, segments: list) -> None:
+        """Replace the list of segments and delete what neither it nor the one before it names."""
+        lists = self._segment_lists()
+        number = lists[-1] + 1 if lists else 0
+        rows = [tuple(r[c] for c in ("name", "path", "upto", "level")) for r in segments]
+        target = f"{self.folder}/segment_lists/list={number}"
+        self.spark.createDataFrame(rows, SEGMENT_LAYOUT).coalesce(1).write.mode("overwrite").json(target)
+        # whoever still reads by the list before this one is left its files; those before go
+        kept = {r["path"] for r in segments}
+        if lists:
+            before = self.spark.read.schema(SEGMENT_LAYOUT).json(f"{self.folder}/segment_lists/list={lists[-1]}").collect()
+            kept |= {r["path"] for r in before}
+        for old in lists[:-1]:
+            self._delete(f"segment_lists/list={old}")
+        for name in self._files("segments"):
+            for part in self._files(f"segments/{name}"):
+                if f"segments/{name}/{part}" not in kept:
+                    self._delete(f"segments/{name}/{part}")
+
+    def _write(self, frame: DataFrame, name: str, path: str) -> None:
+        """Tables in buckets have one file a bucket (more where a bucket is large), sorted by block."""
+        writer = frame.write
+        if "bucket" in frame.columns:
+            writer = frame.repartition("bucket").sortWithinPartitions("bucket", "key_set").write.partitionBy("bucket")
+        elif name != "responses":
+            writer = frame.coalesce(MERGE_AT).write
+        writer.mode("overwrite").parquet(path)
+
     def commits(self) -> DataFrame:
         """Committed batches."""
         found = self._read("commits")
-        if found is None:
-            return self.spark.createDataFrame([], COMMIT_LAYOUT)
-        return self.spark.read.schema(COMMIT_LAYOUT).parquet(f"{self.folder}/commits")
+        empty = self.spark.createDataFrame([], COMMIT_LAYOUT)
+        return empty if found is None else empty.unionByName(found, allowMissingColumns=True).select(*empty.columns)
 
     def number_of(self, run: str, stream_batch: int) -> int:
         """Number of a run's batch: the one it was committed under, else the next one."""
@@ -76,15 +186,17 @@ class StateTables:
         return committed.agg(F.max("last_seq")).first()[0]
 
     def table(self, name: str, layout: T.StructType | str, before: int | None = None) -> DataFrame:
-        """Rows of all committed batches (before a batch, to repeat that batch after a failure)."""
+        """Rows of all committed batches (before a batch, to repeat that batch after a failure); their numbers have no gaps."""
         empty = self.spark.createDataFrame([], layout)
-        found = self._read(name)
-        if found is None:
-            return empty
+        last = self._last_batch(before)
+        found = None if last is None else self._read(name, last)
+        return empty if found is None else found.select(*empty.columns)
+
+    def _last_batch(self, before: int | None) -> int | None:
         committed = self.commits()
         if before is not None:
             committed = committed.where(F.col("batch_id") < before)
-        return found.join(committed.select("batch_id"), "batch_id", "left_semi").select(*empty.columns)
+        return committed.agg(F.max("batch_id")).first()[0]
 
     def mentions(self, before: int | None = None) -> DataFrame:
         self.check_compatible()
@@ -96,6 +208,37 @@ class StateTables:
     def clusters(self, before: int | None = None) -> DataFrame:
         return self.table("clusters", CLUSTER_LAYOUT, before)
 
+    def reach(self, new: DataFrame, before: int | None = None) -> DataFrame:
+        """Stored representatives (with cluster_id and profile_key) in the blocks of some new mentions.
+
+        Only the buckets of these blocks are read.  State without the table, or that was written by other settings, gets it
+        from all its mentions, as rows of the last batch before `before`.
+        """
+        layout = ReachLayout(self.config)
+        last = self._last_batch(before)
+        if last is not None and self._read(layout.name) is None:
+            owned = self.mentions(before).join(self.clusters(before).select("mention_id", "cluster_id"), "mention_id")
+            self.write_reach(last, representatives(owned, self.config))
+        names = ["mention_id", "cluster_id", "profile_key", *mention_layout(self.config).fieldNames()[2:]]
+        fields = ", ".join(f"`{n}` string" for n in names) + ", arrival_seq long, key_set int, bucket int"
+        stored = self.table(layout.name, fields, before).where(F.col("bucket").isin(layout.asked(new)))
+        return layout.in_reach(stored, new)
+
+    def write_reach(self, batch_id: int, fresh: DataFrame | None) -> None:
+        """Write a batch's representatives; tables of other settings, which would miss them, go."""
+        layout = ReachLayout(self.config)
+        others = [n for n in self._files("") if n.startswith("reach-") and n != layout.name]
+        if others:
+            listed = self.segments()
+            if any(r["name"] in others for r in listed):  # a table of that name may come back
+                self._list_segments([r for r in listed if r["name"] not in others])
+            for other in others:
+                self._delete(other)
+        if fresh is None:
+            self._delete(f"{layout.name}/batch_id={batch_id}")
+        else:
+            self.write(batch_id, **{layout.name: layout.dealt(fresh)})
+
     def check_compatible(self) -> None:
         """Refuse stored mentions without a normalised column that the configuration needs."""
         found = self._read("mentions")
@@ -108,7 +251,7 @@ class StateTables:
     def write(self, batch_id: int, **tables: DataFrame) -> None:
         """Write one batch's rows; a repeated batch replaces what an earlier attempt left."""
         for name, frame in tables.items():
-            frame.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch_id={batch_id}")
+            self._write(frame, name, f"{self.folder}/{name}/batch_id={batch_id}")
 
     def commit(
         self, batch_id: int, mentions: int, source: str, run: str = "", stream_batch: int | None = None, last_seq: int | None = None

@@ -12,6 +12,7 @@ from kinweave.config import BatchSettings
 from kinweave.operators import training
 from kinweave.plans.requests import Mapper, Stored, process
 from kinweave.session import cut, scratch
+from kinweave.sources import reach
 from kinweave.sources.tables import StateTables
 
 MESSAGE_LAYOUT = "arrival_seq long, raw string"
@@ -67,9 +68,20 @@ def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_ba
     active, source, load_error = tables.load_model()
     before = tables.stored_mentions(batch_id)
     last = tables.last_arrival(batch_id)
-    stored = Stored(tables.mentions(batch_id), tables.links(batch_id), tables.clusters(batch_id), last)
+    stored = Stored(
+        tables.mentions(batch_id),
+        tables.links(batch_id),
+        tables.clusters(batch_id),
+        last,
+        lambda new: tables.reach(new, batch_id),
+    )
     outcome = process(cut(messages.select("arrival_seq", "raw")), stored, active, mapper)
     counted = Observation()
+    fresh = None
+    if outcome.near is not None:
+        owned = outcome.mentions.join(outcome.clusters.select("mention_id", "cluster_id"), "mention_id")
+        fresh = reach.added(outcome.near, owned, tables.config)
+    tables.write_reach(batch_id, fresh)
     tables.write(
         batch_id,
         mentions=outcome.mentions.observe(counted, F.count(F.lit(1)).alias("mentions"), F.max("arrival_seq").alias("last")),
@@ -83,6 +95,7 @@ def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_ba
     tables.commit(batch_id, added, source, run, stream_batch, last if newest is None else newest)
     if training.should_train(before, before + added, tables.config, source):
         train_once(tables, source, load_error)
+    tables.merge(batch_id)
 
 
 def start(
