@@ -16,7 +16,7 @@ from kinweave.operators import blocking, clustering, evaluation, guards, measure
 from kinweave.plans.requests import Outcome, Stored, process, read_requests
 from kinweave.plans.resolve import Linked, Resolution, link, resolve
 from kinweave.session import cut, shared_folder
-from kinweave.sources import mentions, rdf, requests, tables, views
+from kinweave.sources import mentions, ntriples, rdf, requests, tables, views
 
 TURNS_PER_CONVERSATION = 1 << 20
 REPLAYED = 1 << 19
@@ -502,6 +502,18 @@ def rdf_property_path(spark: SparkSession, folder: str) -> DataFrame:
     return rdf.turtle_mapper(rdf.shipped_hops())(payloads)
 
 
+def rdf_ntriples(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as N-Triples lines: its text, its language, its source as a node; short texts lack the last dot."""
+    docs = views.table(spark, folder, "documents")
+    subject, end = F.concat(F.lit("<urn:doc:"), "doc_id", F.lit("> ")), F.when(F.length("text") < 200, "").otherwise(" .")
+    text = F.concat(subject, F.lit(f'<{rdf.NAMESPACES["epo"]}hasLegalName> "'), ntriples.escaped(F.col("text")), F.lit('"'), end)
+    language = F.concat(subject, F.lit('<urn:lang> "'), ntriples.escaped(F.col("lang")), F.lit('"@en .'))
+    source = F.concat(F.lit("_:b"), "doc_id", F.lit(" <urn:source> <urn:"), "source", F.lit("> . # node"))
+    content = F.concat_ws("\n", F.lit("# a document"), *[F.coalesce(part, F.lit("#")) for part in (text, language, source)])
+    found = ntriples.triples(docs.select(F.col("doc_id").alias("request_key"), content.alias("content")))
+    return found.select("request_key", "line", "s", "p", F.md5("o").alias("o_md5"), "o_kind", "error")
+
+
 def _supplier_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Every supplier once, some again, some with another name, in arrival order; some broken, some with payloads that no
     reader can take: a character that does not exist, and brackets that open by the thousand."""
@@ -699,6 +711,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_parse,
         rdf_prefix_resolve,
         rdf_property_path,
+        rdf_ntriples,
         request_errors,
         mention_files,
         process_requests,

@@ -551,6 +551,16 @@ SELECT seq AS arrival_seq, mention_id AS request_id, '{catalog.SOURCE_ID}' AS so
         "rdf_property_path": f"""WITH {PAGES}
 SELECT seq AS request_key, country_code, coalesce(legal_name, '') AS legal_name, nuts_code, post_code, post_name,
   NULL::VARCHAR AS thoroughfare, NULL::VARCHAR AS mapping_error FROM mentions""",
+        "rdf_ntriples": f"""WITH told AS (
+  SELECT doc_id, 2 AS line, 'urn:doc:' || doc_id AS s, '{rdf.NAMESPACES["epo"]}hasLegalName' AS p, text AS o, 'literal' AS o_kind,
+    length(text) >= 200 AS good FROM documents
+  UNION ALL SELECT doc_id, 3, 'urn:doc:' || doc_id, 'urn:lang', lang, 'literal', true FROM documents
+  UNION ALL SELECT doc_id, 4, '_:b' || doc_id, 'urn:source', 'urn:' || source, 'iri', true FROM documents
+)
+SELECT doc_id AS request_key, line, CASE WHEN good THEN s END AS s, CASE WHEN good THEN p END AS p,
+  CASE WHEN good THEN md5(o) END AS o_md5, CASE WHEN good THEN o_kind END AS o_kind,
+  CASE WHEN NOT good THEN 'Line ' || line || ' is not valid N-Triples' END AS error
+FROM told WHERE o IS NOT NULL""",
         "process_requests": _with(
             f"{supplier_clusters},\n{_candidates(100)},\n{_stored(100)},\n{REQUERY_COUNTS},\n{MESSAGES}",
             f"""SELECT m.arrival_seq, coalesce(m.request_id || ':01', 'unknown') AS ere_request_id,
