@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from kinweave.config import ResolverConfig
 from kinweave.functions.text import mention_id, queue_wait_ms
 from kinweave.operators import blocking, clustering, guards, scoring
-from kinweave.plans.resolve import resolve
+from kinweave.plans.resolve import resolve, resolve_scored
 from kinweave.session import cut
 from kinweave.sources import requests
 from kinweave.sources.tables import LINK_LAYOUT
 
 Mapper = Callable[[DataFrame], DataFrame]
+#: (new mentions, stored mentions) -> mention_id_l, mention_id_r, match_probability: the links of new mentions.
+Scorer = Callable[[DataFrame, DataFrame], DataFrame]
 SETTLED_LAYOUT = "mention_id string, arrival_seq long, profile_id long, cluster_id string, best_weight double, best_seq long"
 CANDIDATES = "array<struct<cluster_id:string,score:double>>"
 
@@ -105,9 +107,13 @@ def process(
     config: ResolverConfig,
     mapper: Mapper,
     answered_at: Column | None = None,
+    scorer: Scorer | None = None,
 ) -> Outcome:
     """One batch of requests against the stored state.
 
+    Links come from the model of the settings, or from a `scorer` of the caller, whose scores are taken as they are; mentions
+    are then not blocked, and only those that are linked are looked at.
+
     Whatever number a source gives its messages, everything stored counts as earlier: where the numbers of a batch start
     at or below the last stored one, its mentions are stored under numbers behind it.  Answers keep the messages' numbers.
     """
@@ -127,9 +133,13 @@ def process(
     columns = ["mention_id", "arrival_seq", *[c for c in stored.mentions.columns if c not in ("mention_id", "arrival_seq")]]
     new = judged.where(F.col("guard") == guards.NEW).withColumn("arrival_seq", F.col("arrival_seq") + shift).select(*columns)
     owners = stored.clusters.select("mention_id", "cluster_id", "arrival_seq")
-    answers, near = [], None
+    answers, near, score = [], None, scoring.match_probability
     if seen.get[guards.NEW]:
-        if stored.reach is None:
+        if scorer is not None:
+            scores = cut(scorer(new, stored.mentions).select("mention_id_l", "mention_id_r", "match_probability"))
+            ends = scores.select(F.explode(F.array("mention_id_l", "mention_id_r")).alias("mention_id")).distinct()
+            near, owned = stored.mentions.join(ends, "mention_id", "left_semi"), stored.clusters
+        elif stored.reach is None:
             near, owned = in_reach(stored.mentions, new, config), stored.clusters
         else:
             near = cut(stored.reach(new))
@@ -139,7 +149,11 @@ def process(
             .withColumn("is_new", F.lit(False))
             .unionByName(new.withColumn("is_new", F.lit(True)))
         )
-        done = resolve(everything, config, owned)
+        if scorer is None:
+            done = resolve(everything, config, owned)
+        else:
+            done = resolve_scored(everything, scores, config, owned)
+            score = done.score
         links, settled = cut(done.stored_links()), done.clusters
         answers.append(_listed(done.candidates()).withColumn("guard", F.lit(guards.NEW)))
     else:
@@ -174,7 +188,7 @@ def process(
         mentions=new,
         links=links,
         clusters=clusters,
-        events=events(messages, judged, settled, links, answered_at),
+        events=events(messages, judged, settled, links, answered_at, score),
         near=near,
     )
 
@@ -190,7 +204,14 @@ EVENT_FIELDS = {
 }
 
 
-def events(messages: DataFrame, judged: DataFrame, clusters: DataFrame, links: DataFrame, answered_at: Column) -> DataFrame:
+def events(
+    messages: DataFrame,
+    judged: DataFrame,
+    clusters: DataFrame,
+    links: DataFrame,
+    answered_at: Column,
+    score: Callable[[Column], Column] = scoring.match_probability,
+) -> DataFrame:
     """Lifecycle events per request: ids, sizes, scores and decisions only, never attributes or content."""
 
     def stage(frame: DataFrame, name: str, *filled: Column) -> DataFrame:
@@ -230,7 +251,7 @@ def events(messages: DataFrame, judged: DataFrame, clusters: DataFrame, links: D
                 settled,
                 "scored",
                 F.coalesce("stored_links", F.lit(0)).alias("stored_links"),
-                scoring.match_probability(F.col("best_weight")).alias("best_score"),
+                score(F.col("best_weight")).alias("best_score"),
             ),
             stage(settled, "clustered", joined.alias("decision"), F.col("cluster_id")),
             stage(settled, "persisted"),

@@ -94,6 +94,39 @@ def test_repeated_requests_get_the_order_of_the_first_answer(spark):
     assert [c["confidence_score"] for c in first] == pytest.approx([c["confidence_score"] for c in repeat])
 
 
+def test_links_of_the_callers_scorer(spark):
+    """Names do not count: a table of links decides, for stored mentions and within the batch."""
+    from kinweave.functions.text import mention_id
+
+    settings = replace(config.shipped(), threshold=0.7)
+    ids = spark.range(6).select(F.concat(F.lit("r"), "id").alias("r"), "id").select(
+        "id", mention_id(F.lit("t"), F.col("r"), F.lit("ORGANISATION")).alias("m")
+    )
+    known = {r.id: r.m for r in ids.collect()}
+    wanted = [(1, 0, 0.9), (2, 1, 0.7), (3, 0, 0.4), (4, 3, 0.69), (5, 2, 0.8), (5, 3, 0.95)]
+    rows = [(known[a], known[b], p) for a, b, p in wanted]
+    scores = spark.createDataFrame(rows, "mention_id_l string, mention_id_r string, match_probability double").persist()
+
+    def scorer(new, stored):
+        return scores.join(new.select(F.col("mention_id").alias("mention_id_l")), "mention_id_l", "left_semi")
+
+    def batch(numbers, stored):
+        raw = frame(spark, [message(n, f"Name {n}") for n in numbers])
+        return process(raw, stored, settings, MAPPER, scorer=scorer)
+
+    first = batch(range(3), nothing_stored(spark, settings))
+    stored = Stored(cut(first.mentions), cut(first.links), cut(first.clusters))
+    second = batch(range(3, 6), stored)
+    found = {r.mention_id: r.cluster_id for f in (first, second) for r in f.clusters.collect()}
+    assert {n: found[m] for n, m in known.items()} == {
+        0: known[0], 1: known[0], 2: known[0], 3: known[3], 4: known[4], 5: known[3],
+    }
+    last = answers(second)[5]["candidates"]
+    assert [(c["cluster_id"], round(c["confidence_score"], 4)) for c in last] == [(known[3], 0.95), (known[0], 0.8)]
+    told = {r.mention_id: r.best_score for r in second.events.where("event = 'scored'").collect()}
+    assert told == {known[3]: 0.4, known[4]: 0.69, known[5]: 0.95}
+
+
 def run(spark, folder, checkpoint, settings):
     state = tables.StateTables(spark, f"{folder}/state", settings)
     resolver.start(resolver.message_stream(spark, f"{folder}/in"), state, MAPPER, f"{folder}/{checkpoint}", availableNow=True).awaitTermination()
