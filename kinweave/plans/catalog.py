@@ -338,6 +338,7 @@ def em_train(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- evaluation ------------------------------------------------------------------------------------------------
 
+# The rules of the variant that is evaluated.
 PREFIX_ADDRESS_RULES = [["country_code", "prefix"], ["country_code", "post_code"], ["country_code", "nuts_code", "post_name"]]
 # Blocking variants that are OR-ed equality rules, by name.
 EQUALITY_VARIANTS = {
