@@ -65,14 +65,15 @@ class Model:
 
 @dataclass(frozen=True)
 class BatchSettings:
-    """Bounds of one micro-batch of requests: bytes of input files, and milliseconds between batches."""
+    """Bounds of one micro-batch of requests: bytes of input, milliseconds between batches, and messages of a queue."""
 
     max_bytes: int = 50_000_000
     linger_ms: int = 250
+    max_mentions: int = 500
 
     def __post_init__(self):
-        if self.max_bytes <= 0 or self.linger_ms < 0:
-            raise ValueError(f"A batch needs max_bytes above 0 and linger_ms from 0 on, got {self.max_bytes!r} and {self.linger_ms!r}")
+        if self.max_bytes <= 0 or self.linger_ms < 0 or self.max_mentions <= 0:
+            raise ValueError(f"A batch needs max_bytes and max_mentions above 0 and linger_ms from 0 on, got {self!r}")
 
 
 @dataclass(frozen=True)

@@ -12,10 +12,12 @@ from kinweave.config import BatchSettings
 from kinweave.operators import training
 from kinweave.plans.requests import Mapper, Stored, process
 from kinweave.session import cut, scratch
-from kinweave.sources import reach
+from kinweave.sources import queue, reach
 from kinweave.sources.tables import StateTables
+from kinweave.streaming.report import INTAKE, intake
 
-MESSAGE_LAYOUT = "arrival_seq long, raw string"
+MESSAGE_LAYOUT = queue.LAYOUT
+RESPONSE_LAYOUT = "arrival_seq long, ere_request_id string, response string"
 TRAINED, FAILED, SKIPPED = "trained", "failed", "skipped"
 
 
@@ -29,6 +31,11 @@ def message_stream(spark: SparkSession, folder: str, batch: BatchSettings | None
     return reader.json(folder)
 
 
+def queued_messages(spark: SparkSession, folder: str, batch: BatchSettings) -> DataFrame:
+    """Request messages of a queue; a batch is bounded by messages and by bytes."""
+    return queue.read_queue(spark, folder, batch.max_mentions, batch.max_bytes)
+
+
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id of the stream that writes to a checkpoint folder; it outlives restarts, a new folder has a new one."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
@@ -54,16 +61,19 @@ def train_at_start(tables: StateTables) -> str:
     return train_once(tables, source, load_error)
 
 
-def resolve_micro_batch(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str = "") -> None:
+def resolve_micro_batch(
+    tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str = "", answers: str | None = None
+) -> None:
     """Resolve one batch all-or-nothing: a repeated batch sees the state before it and replaces its own rows.
 
-    Intermediate tables are deleted when the batch is committed.
+    Intermediate tables are deleted when the batch is committed.  `answers` names a queue that gets the responses of a committed
+    batch in arrival order as the segment of the batch's number; a batch that is repeated after that adds nothing.
     """
     with scratch(tables.spark):
-        _resolve(tables, mapper, messages, stream_batch, run)
+        _resolve(tables, mapper, messages, stream_batch, run, answers)
 
 
-def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str) -> None:
+def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_batch: int, run: str, answers: str | None) -> None:
     batch_id = tables.number_of(run, stream_batch)
     active, source, load_error = tables.load_model()
     before = tables.stored_mentions(batch_id)
@@ -93,6 +103,9 @@ def _resolve(tables: StateTables, mapper: Mapper, messages: DataFrame, stream_ba
     added = counted.get["mentions"]
     newest = counted.get["last"]
     tables.commit(batch_id, added, source, run, stream_batch, last if newest is None else newest)
+    if answers is not None:
+        written = tables.spark.read.schema(RESPONSE_LAYOUT).parquet(f"{tables.folder}/responses/batch_id={batch_id}")
+        queue.push(written.select("arrival_seq", F.col("response").alias("raw")), answers, batch_id)
     if training.should_train(before, before + added, tables.config, source):
         train_once(tables, source, load_error)
     tables.merge(batch_id)
@@ -104,18 +117,22 @@ def start(
     mapper: Mapper,
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    answers: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Start the resolution stream; pass `availableNow=True` or another trigger instead of the configured interval."""
+    """Start the resolution stream; pass `availableNow=True` or another trigger instead of the configured interval.
+
+    `answers` names a queue for the responses.  Sizes of batches are observed for `report.RunReport`.
+    """
     train_at_start(tables)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        resolve_micro_batch(tables, mapper, batch, batch_id, run_id(tables.spark, checkpoint))
+        resolve_micro_batch(tables, mapper, batch, batch_id, run_id(tables.spark, checkpoint), answers)
         if on_batch is not None:
             on_batch(batch, batch_id)
 
     return (
-        messages.writeStream.foreachBatch(handle)
+        messages.observe(INTAKE, *intake("raw")).writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": f"{tables.config.batch.linger_ms} milliseconds"}))
         .start()
