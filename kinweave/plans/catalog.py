@@ -16,10 +16,12 @@ from kinweave.operators import blocking, clustering, evaluation, guards, measure
 from kinweave.plans.requests import Outcome, Stored, process, read_requests
 from kinweave.plans.resolve import Linked, Resolution, link, resolve
 from kinweave.session import cut, shared_folder
-from kinweave.sources import mentions, ntriples, rdf, requests, tables, views
+from kinweave.sources import mentions, ntriples, queue, rdf, requests, tables, views
+from kinweave.streaming import guarding
 
 TURNS_PER_CONVERSATION = 1 << 20
 REPLAYED = 1 << 19
+QUEUE_BYTES = 1 << 40
 WINDOW = 2500
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SUBMISSION_FIELDS = ["legal_name", "country_code"]
@@ -306,16 +308,57 @@ def idempotent_split(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def in_batch_guard(spark: SparkSession, folder: str) -> DataFrame:
+def _replayed(incoming: DataFrame) -> DataFrame:
     """First turns arrive a second time, behind the other turns of their conversation."""
-    incoming = _submissions(spark, folder)
     again = incoming.where("turn = 0").withColumns(
         {"turn": F.col("turn") + REPLAYED, "arrival_seq": F.col("arrival_seq") + REPLAYED}
     )
-    judged = guards.in_batch(incoming.unionByName(again), SUBMISSION_FIELDS)
+    return incoming.unionByName(again)
+
+
+def in_batch_guard(spark: SparkSession, folder: str) -> DataFrame:
+    judged = guards.in_batch(_replayed(_submissions(spark, folder)), SUBMISSION_FIELDS)
     return judged.select("mention_id", "turn", "guard")
 
 
+def stream_guard(spark: SparkSession, folder: str) -> DataFrame:
+    """The same submissions through a message queue, in about four batches that share turns of conversations.
+
+    They arrive turn by turn, so the turns of one conversation lie in several batches; which repeats find their record stored
+    depends on the batches, so both kinds are `seen`.
+    """
+    incoming = _replayed(_submissions(spark, folder))
+    record = ["mention_id", "turn", *SUBMISSION_FIELDS]
+    by_turn = incoming.select(
+        (F.col("turn") * TURNS_PER_CONVERSATION + F.col("conv_id")).alias("arrival_seq"), F.to_json(F.struct(*record)).alias("raw")
+    )
+    place = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    queue.push(by_turn, f"{place}/queue")
+    sent = queue.read_queue(spark, f"{place}/queue", max(by_turn.count() // 4, 1), QUEUE_BYTES)
+    layout = incoming.select(record).schema
+    records = sent.select("arrival_seq", F.from_json("raw", layout).alias("record")).select("arrival_seq", "record.*")
+    key, store = guarding.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        told = guarding.guard_stream(records, SUBMISSION_FIELDS)
+        query = (
+            told.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").option("path", f"{place}/told").start()
+        )
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    finally:
+        spark.conf.set(key, before)
+    seen = F.col("guard").isin(guards.REPEAT, guards.IDEMPOTENT)
+    return spark.read.schema(told.schema).parquet(f"{place}/told").select(
+        "mention_id",
+        F.floor(F.col("arrival_seq") / TURNS_PER_CONVERSATION).alias("turn"),
+        F.when(seen, "seen").otherwise(F.col("guard")).alias("guard"),
+    )
+
+
 # --- training --------------------------------------------------------------------------------------------------
 
 
@@ -696,6 +739,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conflict_guard,
         idempotent_split,
         in_batch_guard,
+        stream_guard,
         training_sample,
         gamma_patterns,
         random_pair_levels,

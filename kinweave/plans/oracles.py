@@ -39,6 +39,20 @@ stored AS (SELECT * FROM incoming WHERE turn = 0 AND role = 'user')"""
 SIMILAR = "l.country_code = r.country_code AND jaro_winkler_similarity(l.name, r.name) >= 0.8"
 
 
+def _judged_turns(repeated: str) -> str:
+    return f"""WITH {SUBMISSIONS},
+sent AS (
+  SELECT mention_id, turn, text, role FROM incoming
+  UNION ALL SELECT mention_id, turn + {catalog.REPLAYED}, text, role FROM incoming WHERE turn = 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY turn) AS n,
+         first_value(role) OVER (PARTITION BY mention_id ORDER BY turn) AS first_role,
+         first_value(text) OVER (PARTITION BY mention_id ORDER BY turn) AS first_text FROM sent)
+SELECT mention_id, turn, CASE WHEN n = 1 THEN 'new'
+  WHEN role IS NOT DISTINCT FROM first_role AND text IS NOT DISTINCT FROM first_text THEN '{repeated}' ELSE 'conflict' END AS guard
+FROM numbered"""
+
+
 def _level(comparison: settings.Comparison) -> str:
     l, r = f"l.{comparison.field}", f"r.{comparison.field}"
     cases = [f"WHEN {r} IS NULL THEN -1", f"WHEN {l} IS NULL THEN 0", f"WHEN {l} = {r} THEN {len(comparison.thresholds) + 1}"]
@@ -472,17 +486,8 @@ SELECT i.mention_id, i.turn FROM incoming i JOIN stored s USING (mention_id)
 WHERE i.text IS DISTINCT FROM s.text OR i.role IS DISTINCT FROM s.role""",
         "idempotent_split": f"""WITH {SUBMISSIONS}
 SELECT mention_id, turn, CASE WHEN mention_id IN (SELECT mention_id FROM stored) THEN 'stored' ELSE 'new' END AS state FROM incoming""",
-        "in_batch_guard": f"""WITH {SUBMISSIONS},
-sent AS (
-  SELECT mention_id, turn, text, role FROM incoming
-  UNION ALL SELECT mention_id, turn + {catalog.REPLAYED}, text, role FROM incoming WHERE turn = 0),
-numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY turn) AS n,
-         first_value(role) OVER (PARTITION BY mention_id ORDER BY turn) AS first_role,
-         first_value(text) OVER (PARTITION BY mention_id ORDER BY turn) AS first_text FROM sent)
-SELECT mention_id, turn, CASE WHEN n = 1 THEN 'new'
-  WHEN role IS NOT DISTINCT FROM first_role AND text IS NOT DISTINCT FROM first_text THEN 'repeat' ELSE 'conflict' END AS guard
-FROM numbered""",
+        "in_batch_guard": _judged_turns("repeat"),
+        "stream_guard": _judged_turns("seen"),
         "random_pair_levels": f"""WITH {PARTS},
 sample AS (SELECT * FROM mentions ORDER BY mention_id LIMIT 200),
 graded AS (SELECT {_levels(parts)} FROM sample l JOIN sample r ON l.mention_id < r.mention_id)
