@@ -19,6 +19,8 @@ from kinweave.session import cut
 
 #: The score of a link from its match weight.
 Score = Callable[[Column], Column]
+#: Links of one profile beyond which they are cut in parts before they meet in a task.
+HEAVY = 1_000_000
 
 
 def with_profile_id(mentions: DataFrame, known: DataFrame) -> DataFrame:
@@ -155,6 +157,46 @@ def top_links(mentions: DataFrame, links: DataFrame, top_n: int) -> DataFrame:
     )
 
 
+def _front(offers: DataFrame, keys: list[str], top_n: int) -> DataFrame:
+    """Offers that can be among the first `top_n` of some mention; all windows use the partitioning by `keys`.
+
+    A cluster's offer counts only where no better one of it arrived earlier, and of one score only the first clusters do.
+    """
+    better = Window.partitionBy(*keys, "cluster_id").orderBy(F.col("match_weight").desc(), "first_seq")
+    in_level = Window.partitionBy(*keys, "match_weight").orderBy("first_seq")
+    earliest = F.min("first_seq").over(better.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        offers.withColumn("earliest", earliest)
+        .where(F.col("earliest").isNull() | (F.col("first_seq") < F.col("earliest")))
+        .drop("earliest")
+        .withColumn("position", F.row_number().over(in_level))
+        .where(F.col("position") <= top_n)
+        .drop("position")
+    )
+
+
+def _fronts(links: DataFrame, seen: DataFrame, top_n: int, split_at: int | None = None) -> DataFrame:
+    """The clusters that links offer to each profile, cut to what counts, partitioned by `new_profile` in one shuffle.
+
+    Profiles with more than `split_at` links (HEAVY) are cut in parts by cluster before that, so no task gets more than about
+    `split_at` links of one profile.  `links` is read twice.
+    """
+    split_at = split_at or HEAVY
+    pooled = None
+    if links.count() > split_at:
+        counted = links.groupBy("new_profile").agg(F.count("*").alias("n")).where(F.col("n") > split_at)
+        heavy = cut(counted.select("new_profile", F.ceil(F.col("n") / split_at).alias("parts")))
+        part = F.pmod(F.xxhash64("cluster_id"), F.col("parts"))
+        spread = links.join(heavy, "new_profile").join(seen, "stored_profile").withColumn("part", part)
+        pooled = _front(spread.repartition("new_profile", "part"), ["new_profile", "part"], top_n)
+        links = links.join(heavy, "new_profile", "left_anti")
+    columns = ["new_profile", "match_weight", "cluster_id", "first_seq"]
+    offers = links.join(seen, "stored_profile").select(columns)
+    if pooled is not None:
+        offers = offers.unionByName(pooled.select(columns))
+    return _front(offers.repartition("new_profile"), ["new_profile"], top_n)
+
+
 def rank_candidates(
     mentions: DataFrame, links: DataFrame, clusters: DataFrame, top_n: int, score: Score = scoring.match_probability
 ) -> DataFrame:
@@ -173,15 +215,9 @@ def rank_candidates(
         .where(F.col("position") <= top_n)
         .drop("position")
     )
-    in_level = Window.partitionBy("new_profile", "match_weight").orderBy("first_seq")
+    offers = _fronts(links, seen, top_n)
     choices = (
-        links.select("new_profile", "stored_profile", "match_weight")
-        .join(seen, "stored_profile")
-        .groupBy("new_profile", "match_weight", "cluster_id")
-        .agg(F.min("first_seq").alias("first_seq"))
-        .withColumn("position", F.row_number().over(in_level))
-        .where(F.col("position") <= top_n)
-        .groupBy("new_profile", "cluster_id")
+        offers.groupBy("new_profile", "cluster_id")
         .agg(F.collect_list(F.struct((-F.col("match_weight")).alias("order"), "first_seq")).alias("steps"))
         .groupBy(F.col("new_profile").alias("profile_id"))
         .agg(F.collect_list(F.struct("cluster_id", "steps")).alias("choices"))

@@ -15,7 +15,7 @@ from kinweave.operators import blocking, clustering, guards, scoring
 from kinweave.plans.resolve import resolve, resolve_scored
 from kinweave.session import cut
 from kinweave.sources import requests
-from kinweave.sources.tables import LINK_LAYOUT
+from kinweave.sources.tables import LINK_LAYOUT, of_ids
 
 Mapper = Callable[[DataFrame], DataFrame]
 #: (new mentions, stored mentions) -> mention_id_l, mention_id_r, match_probability: the links of new mentions.
@@ -124,7 +124,7 @@ def process(
     seen = Observation()
     outcomes = (guards.NEW, guards.REPEAT, guards.IDEMPOTENT)
     judged = cut(
-        guards.guard(sound, stored.mentions, fields),
+        guards.guard(sound, of_ids(stored.mentions, sound), fields),
         seen,
         *[F.count_if(F.col("guard") == outcome).alias(outcome) for outcome in outcomes],
         F.min(F.when(F.col("guard") == guards.NEW, F.col("arrival_seq"))).alias("first"),

@@ -31,6 +31,10 @@ CLUSTER_LAYOUT = "mention_id string, arrival_seq long, cluster_id string"
 SEGMENT_LAYOUT = "name string, path string, upto long, level int"
 #: Batch folders, and segments of one level, that are merged when there are as many.
 MERGE_AT = 8
+#: Ids up to which a lookup sends them to the scan.
+LOOKUP = 2_000
+#: Parquet settings of tables that are looked up by id: Bloom filters as large as the ids of a row group need.
+ID_FILTERS = {"parquet.bloom.filter.enabled#mention_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 MODEL_LAYOUT = "field string, level int, label string, m double, u double, weight double, source string, prior double"
 
 
@@ -47,6 +51,19 @@ def mention_layout(config: ResolverConfig) -> T.StructType:
     )
 
 
+def of_ids(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of a table with an id that `asked` holds.
+
+    Up to `LOOKUP` ids are part of the scan's filter, which then opens only those row groups and pages whose Bloom filters,
+    smallest and largest ids admit one of them; more are joined.  `asked` is read once for that, so it should be written.
+    """
+    ids = asked.select("mention_id").where(F.col("mention_id").isNotNull()).distinct()
+    few = ids.limit(LOOKUP + 1).collect()
+    if len(few) > LOOKUP:
+        return table.join(ids, "mention_id", "left_semi")
+    return table.where(F.col("mention_id").isin([r["mention_id"] for r in few]))
+
+
 @dataclass(frozen=True)
 class StateTables:
     """Tables of one resolver under a shared folder."""
@@ -156,10 +173,13 @@ class StateTables:
                     self._delete(f"segments/{name}/{part}")
 
     def _write(self, frame: DataFrame, name: str, path: str) -> None:
-        """Tables in buckets have one file a bucket (more where a bucket is large), sorted by block."""
+        """Tables in buckets have one file a bucket (more where a bucket is large), sorted by block; mentions lie by id."""
         writer = frame.write
         if "bucket" in frame.columns:
             writer = frame.repartition("bucket").sortWithinPartitions("bucket", "key_set").write.partitionBy("bucket")
+        elif name == "mentions":
+            by_id = frame.repartitionByRange(MERGE_AT, "mention_id").sortWithinPartitions("mention_id")
+            writer = by_id.write.options(**ID_FILTERS)
         elif name != "responses":
             writer = frame.coalesce(MERGE_AT).write
         writer.mode("overwrite").parquet(path)

@@ -120,3 +120,34 @@ def test_layouts_have_names_of_their_own(change):
     one, two = settings_of(), settings_of(4)
     names = {reach.ReachLayout(one).name, reach.ReachLayout(two).name if change == "top_n" else reach.ReachLayout(one, 7).name}
     assert len(names) == 2
+
+
+def rows_scanned(frame):
+    """Rows that the frame's one scan hands on, before any filter of Spark."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.size() == 1
+    return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_lookups_by_id_read_what_may_hold_the_ids(spark, tmp_path, monkeypatch):
+    state = tables.StateTables(spark, str(tmp_path), settings_of())
+    stored = spark.range(400_000).select(
+        F.md5(F.col("id").cast("string")).alias("mention_id"),
+        F.col("id").alias("arrival_seq"),
+        *[F.lit("x").alias(c) for c in ("legal_name", "country_code", "legal_name_norm")],
+    )
+    state.write(0, mentions=stored)
+    state.commit(0, 400_000, "cold_start", "run", 0, 399_999)
+    numbers = [7, 250_000, 399_999]
+    asked = spark.createDataFrame([(r.mention_id,) for r in stored.where(F.col("arrival_seq").isin(numbers)).collect()] + [(None,)], "mention_id string")
+    found = tables.of_ids(state.mentions(), asked)
+    assert sorted(r.arrival_seq for r in found.collect()) == numbers
+    assert rows_scanned(found) <= 3 * 20_000
+    # ids that are not stored are told by the Bloom filters alone
+    absent = spark.createDataFrame([(f"{n:x}" * 32,) for n in range(1, 15)], "mention_id string")
+    assert rows_scanned(tables.of_ids(state.mentions(), absent)) == 0
+    assert tables.of_ids(state.mentions(), asked.where("mention_id IS NULL")).count() == 0
+    monkeypatch.setattr(tables, "LOOKUP", 2)
+    joined = tables.of_ids(state.mentions(), asked)
+    assert sorted(r.arrival_seq for r in joined.collect()) == numbers

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from kinweave import config
 from kinweave.functions.similarity import EncodedStrings, score_pairs
-from kinweave.operators import blocking
+from kinweave.operators import blocking, clustering
+from kinweave.plans import catalog
 from kinweave.plans.resolve import link, resolve, resolve_scored
 
 SCORES = "mention_id_l string, mention_id_r string, match_probability double"
@@ -240,3 +241,10 @@ def test_large_profiles_are_merged_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(blocking, "SMALL_BYTES", 0)
     merged = link(mentions, settings).links.select("new_profile", "stored_profile", F.round("match_weight", 6))
     assert sorted(map(tuple, merged.collect())) == expected and expected
+
+
+def test_candidates_of_profiles_with_very_many_links_are_the_same(spark, small, monkeypatch):
+    done = catalog._parts(spark, small, top_n=3)
+    whole = sorted(map(tuple, done.candidates().collect()))
+    monkeypatch.setattr(clustering, "HEAVY", 2)
+    assert sorted(map(tuple, done.candidates().collect())) == whole
