@@ -145,6 +145,9 @@ class StateTables:
             for r in joined:
                 part = self.spark.read.parquet(f"{self.folder}/{r['path']}")
                 rows = rows.unionByName(part.withColumn("batch_id", F.col("batch_id").cast(rows.schema["batch_id"].dataType)), allowMissingColumns=True)
+            if name == "mentions":
+                # not in `_write`: ranges are found by a run of their own, which would count a batch's rows twice
+                rows = rows.repartitionByRange(MERGE_AT, "mention_id")
             path = f"segments/{name}/{uuid.uuid4().hex}"
             self._write(rows, name, f"{self.folder}/{path}")
             segments = [r for r in segments if r not in joined] + [Row(name=name, path=path, upto=newest - 1, level=level)]
@@ -178,8 +181,7 @@ class StateTables:
         if "bucket" in frame.columns:
             writer = frame.repartition("bucket").sortWithinPartitions("bucket", "key_set").write.partitionBy("bucket")
         elif name == "mentions":
-            by_id = frame.repartitionByRange(MERGE_AT, "mention_id").sortWithinPartitions("mention_id")
-            writer = by_id.write.options(**ID_FILTERS)
+            writer = frame.coalesce(MERGE_AT).sortWithinPartitions("mention_id").write.options(**ID_FILTERS)
         elif name != "responses":
             writer = frame.coalesce(MERGE_AT).write
         writer.mode("overwrite").parquet(path)

@@ -137,7 +137,8 @@ def test_lookups_by_id_read_what_may_hold_the_ids(spark, tmp_path, monkeypatch):
         F.col("id").alias("arrival_seq"),
         *[F.lit("x").alias(c) for c in ("legal_name", "country_code", "legal_name_norm")],
     )
-    state.write(0, mentions=stored)
+    # in ranges of ids, as segments are
+    state.write(0, mentions=stored.repartitionByRange(tables.MERGE_AT, "mention_id"))
     state.commit(0, 400_000, "cold_start", "run", 0, 399_999)
     numbers = [7, 250_000, 399_999]
     asked = spark.createDataFrame([(r.mention_id,) for r in stored.where(F.col("arrival_seq").isin(numbers)).collect()] + [(None,)], "mention_id string")
