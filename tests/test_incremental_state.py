@@ -145,9 +145,9 @@ def test_lookups_by_id_read_what_may_hold_the_ids(spark, tmp_path, monkeypatch):
     found = tables.of_ids(state.mentions(), asked)
     assert sorted(r.arrival_seq for r in found.collect()) == numbers
     assert rows_scanned(found) <= 3 * 20_000
-    # ids that are not stored are told by the Bloom filters alone
+    # ids that are not stored lie in all ranges, and only the Bloom filters tell; about one in a hundred answers of theirs errs
     absent = spark.createDataFrame([(f"{n:x}" * 32,) for n in range(1, 15)], "mention_id string")
-    assert rows_scanned(tables.of_ids(state.mentions(), absent)) == 0
+    assert rows_scanned(tables.of_ids(state.mentions(), absent)) < 400_000 / 4
     assert tables.of_ids(state.mentions(), asked.where("mention_id IS NULL")).count() == 0
     monkeypatch.setattr(tables, "LOOKUP", 2)
     joined = tables.of_ids(state.mentions(), asked)
