@@ -5,17 +5,20 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.functions.text import normalise_name
-from kinweave.operators.blocking import similar_values
+from kinweave.operators.blocking import SMALL_BYTES, similar_values
+from kinweave.session import cut
 
 PREFIX_LENGTH = 4
 VARIANT_SIMILARITY = 0.95
 UNRELATED_BELOW = 0.8
 
 
+#: Bytes of a row of names in a hash map beside its texts.
+ROW_BYTES = 64
 #: Counts of pairs are decimals: products of counts of rows, exact beyond 64 bits.
 COUNT, PAIRS = "decimal(19,0)", "decimal(38,0)"
 
@@ -106,14 +109,21 @@ def counted_values(mentions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def similar_names(values: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
-    """Pairs of different similar names within equal keys, earlier value left, with the mention pairs they stand for."""
+    """Pairs of different similar names within equal keys, earlier value left, with the mention pairs they stand for.
+
+    Names are sent to every task only where their size, measured while the values are written, is at most `SMALL_BYTES`; else
+    pairs and names are sorted and merged, as the planner cannot foresee the number of pairs.
+    """
+    measured = Observation()
+    held = reduce(lambda a, b: a + b, [F.octet_length(F.col(c).cast("string")) for c in (*keys, "name")]) + ROW_BYTES
+    values = cut(values, measured, F.coalesce(F.sum(held), F.lit(0)).alias("bytes"))
+    way = "broadcast" if measured.get["bytes"] <= SMALL_BYTES else "merge"
     found = similar_values(values, keys, cutoff).select("l_value", "r_value", "similarity")
     l = values.select(*keys, F.col("value_id").alias("r_value"), F.col("name").alias("l_name"), F.col("mentions").alias("l_n"))
     r = values.select(F.col("value_id").alias("l_value"), F.col("name").alias("r_name"), F.col("mentions").alias("r_n"))
     return (
-        # The planner cannot foresee the number of pairs; merging never broadcasts them.
-        found.join(l.hint("merge"), "r_value")
-        .join(r.hint("merge"), "l_value")
+        found.join(l.hint(way), "r_value")
+        .join(r.hint(way), "l_value")
         .select(
             *keys,
             F.col("r_value").alias("l_value"),
@@ -137,17 +147,20 @@ def variant_names(mentions: DataFrame) -> DataFrame:
     return similar_names(counted_values(mentions, keys), keys, VARIANT_SIMILARITY)
 
 
-def variant_pairs_agreeing(mentions: DataFrame, variants: DataFrame, also: list[str]) -> DataFrame:
-    """Number of variant reference pairs that also agree on further columns."""
-    keys = ["country_code", "post_code"]
+def agreeing_pairs(mentions: DataFrame, similar: DataFrame, keys: list[str], also: list[str], by: list[str] | None = None) -> DataFrame:
+    """Number of mention pairs (per `by`, some of `also`) whose names are among the `similar` ones of `keys` and that agree on `also`.
+
+    So one similarity join over wide blocks answers for every narrower agreement.
+    """
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "name", *also)])
     counts = mentions.where(present).groupBy(*keys, "name", *also).agg(F.count("*").alias("n"))
     l = counts.withColumnsRenamed({"name": "l_name", "n": "l_n"})
     r = counts.withColumnsRenamed({"name": "r_name", "n": "r_n"})
     return (
-        variants.select(*keys, "l_name", "r_name")
+        similar.select(*keys, "l_name", "r_name")
         .join(l, [*keys, "l_name"])
         .join(r, [*keys, "r_name", *also])
+        .groupBy(*(by or []))
         .agg(F.coalesce(F.sum(product(F.col("l_n"), F.col("r_n"))), F.lit(0)).alias("pairs"))
     )
 
@@ -162,20 +175,24 @@ def co_clustered(clusters: DataFrame) -> DataFrame:
     )
 
 
-def unrelated_pairs(clustered: DataFrame) -> DataFrame:
+def unrelated_pairs(clustered: DataFrame, similar: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Per cluster, the co-clustered pairs whose names are not similar.
 
-    `clustered` has cluster_id, name and arrival_seq.  All pairs of different names minus the similar ones.
+    `clustered` has cluster_id, name and arrival_seq.  All pairs of different names minus the similar ones.  Where clusters
+    lie within blocks of `keys`, the `similar` names of these blocks are used; else names are compared within clusters.
     """
     values = counted_values(clustered, ["cluster_id"])
     different = values.groupBy("cluster_id").agg(
         # all pairs minus those of equal names
         (pairs_of(F.sum("mentions")) - F.sum(pairs_of(F.col("mentions")))).cast(PAIRS).alias("different")
     )
-    similar = similar_names(values, ["cluster_id"], UNRELATED_BELOW).groupBy("cluster_id").agg(F.sum("pairs").alias("similar"))
+    if similar is None:
+        close = similar_names(values, ["cluster_id"], UNRELATED_BELOW).groupBy("cluster_id").agg(F.sum("pairs").alias("pairs"))
+    else:
+        close = agreeing_pairs(clustered, similar, keys, ["cluster_id"], ["cluster_id"])
     return (
-        different.join(similar, "cluster_id", "left")
-        .select("cluster_id", (F.col("different") - F.coalesce("similar", F.lit(0))).alias("unrelated"))
+        different.join(close, "cluster_id", "left")
+        .select("cluster_id", (F.col("different") - F.coalesce("pairs", F.lit(0))).alias("unrelated"))
         .where("unrelated > 0")
     )
 

@@ -17,12 +17,14 @@ from kinweave.plans.requests import Outcome, Stored, process, read_requests
 from kinweave.plans.resolve import Linked, Resolution, link, resolve
 from kinweave.session import cut, shared_folder
 from kinweave.sources import mentions, ntriples, queue, rdf, requests, tables, views
-from kinweave.streaming import guarding
+from kinweave.streaming import guarding, resolver
 
 TURNS_PER_CONVERSATION = 1 << 20
 REPLAYED = 1 << 19
 QUEUE_BYTES = 1 << 40
 WINDOW = 2500
+REPLAY_BATCHES = 3
+EVENT_LAYOUT = "arrival_seq long, mention_id string, event string, guard string"
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SUBMISSION_FIELDS = ["legal_name", "country_code"]
 
@@ -371,14 +373,25 @@ def gamma_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def em_train(spark: SparkSession, folder: str) -> DataFrame:
-    trained = training.train(views.parts(spark, folder), parts_config())
+    return _parameters(spark, training.train(views.parts(spark, folder), parts_config()))
+
+
+def _parameters(spark: SparkSession, config: settings.ResolverConfig) -> DataFrame:
     rows = spark.createDataFrame(
-        scoring.parameter_rows(trained.model, trained.comparisons),
+        scoring.parameter_rows(config.model, config.comparisons),
         "field string, level int, label string, m double, u double, weight double, source string",
     )
     return rows.withColumns({c: F.round(c, 6) for c in ("m", "u", "weight")})
 
 
+def model_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The trained parameters written to model files and read again by settings that know only the hand-set ones."""
+    path = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    tables.save_model(spark, training.train(views.parts(spark, folder), parts_config()), path)
+    loaded, origin, problem = tables.load_model(spark, parts_config(), path)
+    return _parameters(spark, loaded).withColumns({"origin": F.lit(origin), "problem": F.lit(problem).cast("string")})
+
+
 # --- evaluation ------------------------------------------------------------------------------------------------
 
 # The rules of the variant that is evaluated.
@@ -426,7 +439,7 @@ def blocking_recall(spark: SparkSession, folder: str) -> DataFrame:
             ("exact", evaluation.exact_pairs(mentions, rule), evaluation.exact_pairs(mentions)),
             (
                 "variant",
-                evaluation.variant_pairs_agreeing(mentions, variants, [c for c in rule if c != "post_code"]),
+                evaluation.agreeing_pairs(mentions, variants, ["country_code", "post_code"], [c for c in rule if c != "post_code"]),
                 variants.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")),
             ),
         ):
@@ -451,16 +464,24 @@ def cluster_recall(spark: SparkSession, folder: str) -> DataFrame:
     return _recall_of(_clustered(spark, folder, _parts(spark, folder)))
 
 
-def _recall_of(mentions: DataFrame) -> DataFrame:
-    variants = cut(evaluation.variant_names(mentions))
+def _recall_of(mentions: DataFrame, similar: DataFrame | None = None) -> DataFrame:
+    """`similar` holds the similar names of the blocks by country, where they are known already."""
+    if similar is None:
+        keys, also = ["country_code", "post_code"], []
+        variants = cut(evaluation.variant_names(mentions))
+        whole_variants = variants.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    else:
+        keys, also = ["country_code"], ["post_code"]
+        variants = similar.where(F.col("similarity") >= evaluation.VARIANT_SIMILARITY)
+        whole_variants = evaluation.agreeing_pairs(mentions, variants, keys, also)
     none = F.lit(0).cast("long")
     rows = []
     for reference, together, whole in (
         ("exact", evaluation.exact_pairs(mentions, ["cluster_id"]), evaluation.exact_pairs(mentions)),
         (
             "variant",
-            evaluation.variant_pairs_agreeing(mentions, variants, ["cluster_id"]),
-            variants.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")),
+            evaluation.agreeing_pairs(mentions, variants, keys, [*also, "cluster_id"]),
+            whole_variants,
         ),
     ):
         label = F.lit(reference).alias("reference")
@@ -483,15 +504,17 @@ def co_clustered_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evaluate_variant(spark: SparkSession, folder: str) -> DataFrame:
-    """One report (measure, value) of blocking and clustering with the shipped rules."""
+    """One report (measure, value) of blocking and clustering with the shipped rules, from one similarity join over its blocks."""
     done = _parts(spark, folder)
     mentions = _clustered(spark, folder, done)
-    values = evaluation.counted_values(mentions, ["country_code"])
-    similar = evaluation.similar_names(values, ["country_code"], 0.8).select("pairs")
+    keys = ["country_code"]
+    values = evaluation.counted_values(mentions, keys)
+    similar = cut(evaluation.similar_names(values, keys, evaluation.UNRELATED_BELOW))
     same = values.select(evaluation.pairs_of(F.col("mentions")).alias("pairs"))
-    admitted = similar.unionByName(same).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("v"))
+    admitted = similar.select("pairs").unionByName(same).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("v"))
     merged = evaluation.co_clustered(done.clusters).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("v"))
-    unrelated = evaluation.unrelated_pairs(mentions).agg(F.coalesce(F.sum("unrelated"), F.lit(0)).alias("v"))
+    # clusters lie within blocks, as links do
+    unrelated = evaluation.unrelated_pairs(mentions, similar, keys).agg(F.coalesce(F.sum("unrelated"), F.lit(0)).alias("v"))
     counters = _counters(done).select(
         F.explode(
             F.create_map(
@@ -499,7 +522,7 @@ def evaluate_variant(spark: SparkSession, folder: str) -> DataFrame:
             )
         ).alias("measure", "v")
     )
-    recall = _recall_of(mentions).select(
+    recall = _recall_of(mentions, similar).select(
         F.explode(
             F.create_map(
                 F.concat("reference", F.lit("_pairs")), "reference_pairs", F.concat("reference", F.lit("_together")), "together"
@@ -594,27 +617,52 @@ def _processed(spark: SparkSession, folder: str) -> Outcome:
     return process(_supplier_messages(spark, folder), stored, config, rdf.turtle_mapper(rdf.shipped_hops()))
 
 
-def process_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Every answer: its best cluster and score, and a digest of all its clusters in their order."""
+def _answers(responses: DataFrame) -> DataFrame:
     offers = "array<struct<cluster_id string, confidence_score double>>"
     answer = F.from_json("response", f"type string, error_type string, candidates {offers}")
     first = F.try_element_at("r.candidates", F.lit(1))
-    return (
-        _processed(spark, folder)
-        .responses.withColumn("r", answer)
-        .select(
-            "arrival_seq",
-            "ere_request_id",
-            "r.type",
-            "r.error_type",
-            F.when(F.col("r.candidates").isNotNull(), F.size("r.candidates")).alias("candidates"),
-            first["cluster_id"].alias("top_cluster"),
-            F.round(first["confidence_score"], 6).alias("top_score"),
-            F.sha2(F.array_join("r.candidates.cluster_id", ","), 256).alias("order_digest"),
-        )
+    return responses.withColumn("r", answer).select(
+        "arrival_seq",
+        "ere_request_id",
+        "r.type",
+        "r.error_type",
+        F.when(F.col("r.candidates").isNotNull(), F.size("r.candidates")).alias("candidates"),
+        first["cluster_id"].alias("top_cluster"),
+        F.round(first["confidence_score"], 6).alias("top_score"),
+        F.sha2(F.array_join("r.candidates.cluster_id", ","), 256).alias("order_digest"),
     )
 
 
+def process_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every answer: its best cluster and score, and a digest of all its clusters in their order."""
+    return _answers(_processed(spark, folder).responses)
+
+
+def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """The supplier messages in three batches through state tables, with a restart after each and a batch that runs again.
+
+    Every answer with its error; for new mentions also the offered clusters and the stored cluster.  None depends on the batches.
+    """
+    config = replace(settings.shipped(), auto_train_threshold=0)
+    sent = _supplier_messages(spark, folder)
+    low, high = sent.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    place = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    mapper = rdf.turtle_mapper(rdf.shipped_hops())
+    if high is not None:
+        step = (high - low) // REPLAY_BATCHES + 1
+        for number in (0, 1, 1, 2):
+            state = tables.StateTables(spark, place, config)
+            batch = sent.where(F.col("arrival_seq").between(low + number * step, low + (number + 1) * step - 1))
+            resolver.resolve_micro_batch(state, mapper, batch, number, "replay")
+    state = tables.StateTables(spark, place, config)
+    told = state.table("events", EVENT_LAYOUT).where("event = 'guard'").select("arrival_seq", "mention_id", "guard")
+    owners = state.clusters().select("mention_id", "cluster_id")
+    new = told.where(F.col("guard") == guards.NEW).join(owners, "mention_id").select("arrival_seq", "cluster_id")
+    answers = _answers(state.table("responses", resolver.RESPONSE_LAYOUT)).join(new, "arrival_seq", "left")
+    shown = F.col("cluster_id").isNotNull()
+    return answers.withColumns({c: F.when(shown, F.col(c)) for c in ("candidates", "top_cluster", "top_score", "order_digest")})
+
+
 def resolve_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """The first half of the parts is stored, then the second half resolved against it; clusters of all."""
     config, parts = parts_config(), views.parts(spark, folder)
@@ -688,6 +736,19 @@ def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.withColumns({c: F.round(c, 6) for c in ("mean_ms", "stdev_ms")})
 
 
+def report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Summary and records of the request log written as JSON and read again, with what the read records add up to."""
+    path = f"{shared_folder(spark)}/kinweave/{uuid.uuid4().hex}"
+    records = views.table(spark, folder, "events").select("event_id", "event_type", "value")
+    summary = measures.latency_summary(records, "value")
+    measures.write_report(summary, records, path)
+    read = spark.read.schema(records.schema).json(f"{path}/records").agg(
+        F.count("event_id").alias("read_records"), F.countDistinct("event_type").alias("read_types"), F.max("value").alias("read_max_ms")
+    )
+    written = spark.read.schema(summary.schema).json(f"{path}/summary")
+    return written.withColumns({c: F.round(c, 6) for c in ("mean_ms", "stdev_ms")}).crossJoin(F.broadcast(read))
+
+
 def growth_profile(spark: SparkSession, folder: str) -> DataFrame:
     events = views.table(spark, folder, "events")
     profile = measures.growth_profile(
@@ -744,6 +805,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gamma_patterns,
         random_pair_levels,
         em_train,
+        model_files,
         corpus_growth,
         pairs_per_mention,
         reference_pairs,
@@ -760,8 +822,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         request_errors,
         mention_files,
         process_requests,
+        stream_replay,
         lifecycle_events,
         latency_summary,
+        report_files,
         growth_profile,
         batch_summary,
     )

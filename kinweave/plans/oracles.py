@@ -493,6 +493,7 @@ sample AS (SELECT * FROM mentions ORDER BY mention_id LIMIT 200),
 graded AS (SELECT {_levels(parts)} FROM sample l JOIN sample r ON l.mention_id < r.mention_id)
 SELECT {_gammas(parts)}, count(*) AS pairs FROM graded GROUP BY ALL""",
         "em_train": _em_train(parts),
+        "model_files": f"SELECT *, 'persisted' AS origin, CAST(NULL AS VARCHAR) AS problem FROM (\n{_em_train(parts)})",
         "corpus_growth": f"""WITH {PARTS},
 grown AS (
   SELECT c AS cycle, country_code, seq + c * (SELECT max(seq) + 1 FROM mentions) AS seq, CASE WHEN c = 0 THEN legal_name ELSE
@@ -576,6 +577,16 @@ FROM told WHERE o IS NOT NULL""",
   CASE guard WHEN 'new' THEN f.top_score WHEN 'repeat' THEN l.top_score END AS top_score,
   CASE guard WHEN 'new' THEN f.order_digest WHEN 'repeat' THEN l.order_digest END AS order_digest
 FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN later l USING (mention_id)""",
+        ),
+        "stream_replay": _with(
+            f"{supplier_clusters},\n{_candidates(100)},\n{_stored(100)},\n{REQUERY_COUNTS},\n{MESSAGES}",
+            f"""SELECT m.arrival_seq, coalesce(m.request_id || ':01', 'unknown') AS ere_request_id,
+  CASE WHEN guard IN ('new', 'repeat') THEN '{requests.RESPONSE_TYPE}' ELSE '{requests.ERROR_TYPE}' END AS type,
+  CASE guard WHEN 'conflict' THEN 'ConflictError' WHEN 'broken' THEN 'ProcessingError' WHEN 'odd' THEN 'ValueError' END AS error_type,
+  CASE guard WHEN 'new' THEN f.n END AS candidates, CASE guard WHEN 'new' THEN f.top_cluster END AS top_cluster,
+  CASE guard WHEN 'new' THEN f.top_score END AS top_score, CASE guard WHEN 'new' THEN f.order_digest END AS order_digest,
+  CASE guard WHEN 'new' THEN c.cluster_id END AS cluster_id
+FROM messages m LEFT JOIN firsts f USING (mention_id) LEFT JOIN clusters c USING (mention_id)""",
         ),
         "lifecycle_events": _with(
             f"{supplier_clusters},\n{_stored(100)},\n{MESSAGES},\n"
@@ -595,6 +606,13 @@ SELECT count(*) AS records, round(avg(value), 6) AS mean_ms, min(value) AS min_m
   round(coalesce(stddev_samp(value), 0), 6) AS stdev_ms, max(CASE WHEN i = n // 2 THEN value END) AS median_ms,
   max(CASE WHEN i = CAST(floor(0.95::DOUBLE * n) AS BIGINT) THEN value END) AS p95_ms,
   max(CASE WHEN i = CAST(floor(0.99::DOUBLE * n) AS BIGINT) THEN value END) AS p99_ms FROM v""",
+        "report_files": """WITH v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+SELECT count(*) AS records, round(avg(value), 6) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms,
+  round(coalesce(stddev_samp(value), 0), 6) AS stdev_ms, max(CASE WHEN i = n // 2 THEN value END) AS median_ms,
+  max(CASE WHEN i = CAST(floor(0.95::DOUBLE * n) AS BIGINT) THEN value END) AS p95_ms,
+  max(CASE WHEN i = CAST(floor(0.99::DOUBLE * n) AS BIGINT) THEN value END) AS p99_ms,
+  (SELECT count(event_id) FROM events) AS read_records, (SELECT count(DISTINCT event_type) FROM events) AS read_types,
+  (SELECT max(value) FROM events) AS read_max_ms FROM v""",
         "growth_profile": f"""WITH v AS (
   SELECT *, CAST(floor(event_id / {catalog.WINDOW}) AS BIGINT) AS window_no FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY value) AS i, count(*) OVER (PARTITION BY window_no) AS n FROM v)

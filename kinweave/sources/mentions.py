@@ -29,9 +29,15 @@ def read_json(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     return rows.select(F.col("arrival_seq").cast("long").alias("arrival_seq"), *present)
 
 
-def number_arrivals(batch: DataFrame, after: int, *order: Column | str) -> DataFrame:
+#: Rows that are numbered at once.
+MOST_NUMBERED = 1_000_000
+
+
+def number_arrivals(batch: DataFrame, after: int, *order: Column | str, most: int = MOST_NUMBERED) -> DataFrame:
     """Number the rows of one bounded batch in the given order, continuing after the last stored arrival.
 
-    A whole corpus needs its own arrival column: numbering it here would sort it in one task.
+    The batch is sorted in one task, so more than `most` rows are an error: a whole corpus needs its own arrival column.
     """
+    if batch.limit(most + 1).count() > most:
+        raise ValueError(f"More than {most} rows to number")
     return batch.withColumn("arrival_seq", F.lit(after) + F.row_number().over(Window.orderBy(*order)))

@@ -29,6 +29,10 @@ CHOSEN = [
     "request_parse",
     "latency_summary",
     "growth_profile",
+    "evaluate_variant",
+    "model_files",
+    "report_files",
+    "stream_replay",
 ]
 
 
