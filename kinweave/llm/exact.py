@@ -11,13 +11,17 @@ group that holds a third of all documents costs one counter per filter and one c
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from kinweave.llm.common import map_texts, narrow, to_batch, type_of
 from kinweave.session import cut
@@ -26,50 +30,111 @@ from kinweave.session import cut
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Fingerprints a task holds before it sends its filter off, and those expected in one merged block.
 FILTER_KEYS, BLOCK_KEYS = 1 << 20, 1 << 15
+#: Quotient bits of a block, so its runs have about eight remainders.
+RUN_BITS = 12
+BLOCK_LAYOUT = "block bigint, quotients binary, runs binary, remainders binary, places binary, counts binary"
 
 
 class CountingQuotientFilter:
-    """Counters of 64-bit fingerprints: run lengths by quotient, and the sorted remainders with their counters."""
+    """Counters of 64-bit fingerprints: quotients with a run, their run lengths, and each run's sorted remainders with counters."""
 
-    def __init__(self, quotient_bits: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.quotient_bits, self.runs, self.remainders, self.counts = quotient_bits, runs, remainders, counts
+    def __init__(self, quotient_bits: int, quotients: np.ndarray, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+        self.quotient_bits, self.quotients, self.runs, self.remainders, self.counts = quotient_bits, quotients, runs, remainders, counts
 
     @classmethod
-    def of(cls, quotient_bits: int, keys: np.ndarray, counts: np.ndarray | None = None) -> CountingQuotientFilter:
-        keys, counts = np.asarray(keys, np.uint64), np.ones(len(keys), np.int64) if counts is None else counts
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        distinct = keys[first]
+    def of(cls, quotient_bits: int, keys: np.ndarray) -> CountingQuotientFilter:
+        """The filter of fingerprints in any order, repeats included."""
+        distinct, counts = np.unique(np.asarray(keys, np.uint64), return_counts=True)
+        return cls._of_sorted(quotient_bits, distinct, counts.astype(np.int64))
+
+    @classmethod
+    def _of_sorted(cls, quotient_bits: int, distinct: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
         rest = np.uint64(64 - quotient_bits)
-        quotients = (distinct >> rest).astype(np.int64) if quotient_bits else np.zeros(len(distinct), np.int64)
+        upper = distinct >> rest if quotient_bits else np.zeros(len(distinct), np.uint64)
+        starts = np.flatnonzero(np.r_[True, upper[1:] != upper[:-1]]) if len(upper) else np.zeros(0, np.int64)
         remainders = distinct & ((np.uint64(1) << rest) - np.uint64(1)) if quotient_bits else distinct
-        summed = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-        return cls(quotient_bits, np.bincount(quotients, minlength=1 << quotient_bits), remainders, summed)
+        return cls(quotient_bits, upper[starts], np.diff(np.r_[starts, len(upper)]), remainders, counts)
 
     def keys(self) -> np.ndarray:
         """The fingerprints, ascending: nothing is lost."""
         if not self.quotient_bits:
             return self.remainders
-        quotients = np.repeat(np.arange(len(self.runs), dtype=np.uint64), self.runs)
-        return quotients << np.uint64(64 - self.quotient_bits) | self.remainders
+        return np.repeat(self.quotients, self.runs) << np.uint64(64 - self.quotient_bits) | self.remainders
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        keys, counts = np.concatenate([self.keys(), other.keys()]), np.concatenate([self.counts, other.counts])
-        return self.of(self.quotient_bits, keys, counts)
+        """Both filters in one: each sorted remainder of the other finds its place in the run of its quotient; equal ones add up.
+
+        Nothing is sorted again: runs lie in the order of their quotients, so places come from binary search over both.
+        """
+        own, new, counts = self.keys(), other.keys(), self.counts.copy()
+        at = np.searchsorted(own, new)
+        known = np.zeros(len(new), bool)
+        within = at < len(own)
+        known[within] = own[at[within]] == new[within]
+        counts[at[known]] += other.counts[known]
+        merged = np.insert(own, at[~known], new[~known])
+        return self._of_sorted(self.quotient_bits, merged, np.insert(counts, at[~known], other.counts[~known]))
 
-    def blocks(self, block_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, fingerprints, counters): the filter cut at multiples of quotients, empty blocks left out."""
-        keys = self.keys()
-        block = (keys >> np.uint64(64 - block_bits)).astype(np.int64) if block_bits else np.zeros(len(keys), np.int64)
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(keys) else []
-        for start, end in zip(starts, [*starts[1:], len(keys)]):
-            yield int(block[start]), keys[start:end].tobytes(), self.counts[start:end].tobytes()
+    @classmethod
+    def merged(cls, parts: Iterable[CountingQuotientFilter]) -> CountingQuotientFilter | None:
+        """All filters in one; those that stand for about as many parts meet, so k parts cost log k passes."""
+        held: list[tuple[int, CountingQuotientFilter]] = []
+        for part in parts:
+            weight = 1
+            while held and held[-1][0] <= weight:
+                before, last = held.pop()
+                weight, part = weight + before, last.merge(part)
+            held.append((weight, part))
+        return reduce(lambda left, right: left.merge(right), (part for _, part in reversed(held))) if held else None
+
+    def blocks(self, block_bits: int) -> Iterator[tuple]:
+        """Rows of `BLOCK_LAYOUT`: the filter cut at multiples of quotients, empty blocks left out.
+
+        A block has its runs as (quotient within the block, length), its remainders without their upper bytes, which are zero,
+        and the counters above one with their places.
+        """
+        within = self.quotient_bits - block_bits
+        block = (self.quotients >> np.uint64(within)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        ends = np.r_[0, np.cumsum(self.runs)].astype(np.int64)
+        quotients = (self.quotients & np.uint64((1 << within) - 1)).astype("<u4")
+        remainders = self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _width(self.quotient_bits)]
+        for start, end in zip(starts, np.r_[starts[1:], len(block)]):
+            low, high = ends[start], ends[end]
+            many = np.flatnonzero(self.counts[low:high] > 1)
+            yield (
+                int(block[start]),
+                quotients[start:end].tobytes(),
+                self.runs[start:end].astype("<u4").tobytes(),
+                remainders[low:high].tobytes(),
+                many.astype("<u4").tobytes(),
+                self.counts[low:high][many].astype("<i8").tobytes(),
+            )
+
+    @classmethod
+    def of_block(
+        cls, quotient_bits: int, block_bits: int, block: int, quotients: bytes, runs: bytes, remainders: bytes, places: bytes, many: bytes
+    ) -> CountingQuotientFilter:
+        """The part of a filter that `blocks` made a row of."""
+        width = _width(quotient_bits)
+        packed = np.frombuffer(remainders, np.uint8).reshape(-1, width)
+        full = np.zeros((len(packed), 8), np.uint8)
+        full[:, :width] = packed
+        counts = np.ones(len(packed), np.int64)
+        counts[np.frombuffer(places, "<u4")] = np.frombuffer(many, "<i8")
+        first = np.uint64(block << (quotient_bits - block_bits))
+        upper = np.frombuffer(quotients, "<u4").astype(np.uint64) + first
+        return cls(quotient_bits, upper, np.frombuffer(runs, "<u4").astype(np.int64), full.view("<u8").ravel().astype(np.uint64), counts)
 
     def repeated(self) -> np.ndarray:
         return self.keys()[self.counts > 1]
 
 
+def _width(quotient_bits: int) -> int:
+    """Bytes of a remainder."""
+    return -(-(64 - quotient_bits) // 8)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars (code points of the text as it is), n_bytes and text_sha256 of the normalised text, fingerprint."""
 
@@ -90,45 +155,35 @@ def digests(docs: DataFrame) -> DataFrame:
 def repeated_fingerprints(prints: DataFrame, expected: int) -> DataFrame:
     """The values of `fingerprint` that occur more than once, by merged counting quotient filters."""
     block_bits = max(0, (max(expected, 1) // BLOCK_KEYS)).bit_length()
-    quotient_bits = min(block_bits + 12, 24)
+    quotient_bits = block_bits + RUN_BITS
+    arrow = to_arrow_schema(StructType.fromDDL(BLOCK_LAYOUT))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-        schema = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
         def sent():
             own = CountingQuotientFilter.of(quotient_bits, np.concatenate(held))
-            found = list(own.blocks(block_bits))
-            return to_batch(list(zip(*found)) or [[], [], []], schema)
+            blocks = own.blocks(block_bits)
+            while found := list(islice(blocks, 256)):
+                yield to_batch(list(zip(*found)), arrow)
 
         for batch in batches:
             held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             rows += batch.num_rows
             if rows >= FILTER_KEYS:
-                yield sent()
+                yield from sent()
                 held, rows = [], 0
         if rows:
-            yield sent()
+            yield from sent()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, block, merged = pa.schema([("fingerprint", pa.int64())]), None, None
+        schema = pa.schema([("fingerprint", pa.int64())])
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, parts in groupby(rows, key=lambda row: row[0]):
+            merged = CountingQuotientFilter.merged(CountingQuotientFilter.of_block(quotient_bits, block_bits, *row) for row in parts)
+            yield to_batch([merged.repeated().view(np.int64)], schema)
 
-        def found():
-            return to_batch([merged.repeated().view(np.int64)], schema)
-
-        for batch in batches:
-            for number, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                part = CountingQuotientFilter.of(quotient_bits, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
-                if number != block:
-                    if merged is not None:
-                        yield found()
-                    block, merged = number, part
-                else:
-                    merged = merged.merge(part)
-        if merged is not None:
-            yield found()
-
-    parts = prints.select("fingerprint").mapInArrow(build, "block bigint, keys binary, counts binary")
+    parts = prints.select("fingerprint").mapInArrow(build, BLOCK_LAYOUT)
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "fingerprint bigint")
 
 

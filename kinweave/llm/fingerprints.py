@@ -26,7 +26,7 @@ from kinweave.session import task_slots
 
 WORDS, SEED = 5, 42
 #: Hashes below 2**64 / SCALE are kept.
-SCALE = 8
+SCALE = 2
 #: Documents of a bucket of consecutive doc_ids, about.
 BUCKET_ROWS = 8_192
 
@@ -75,12 +75,16 @@ def document_sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def _in_buckets(rows: DataFrame) -> DataFrame:
     """doc_id, text, bucket, copied: descending doc_ids in ascending buckets, each followed by the first row of the next one.
 
-    The last bucket is followed by the first.  One doc_id per bucket comes to the driver.
+    The last bucket is followed by the first.  One doc_id per bucket comes to the driver.  Text ids are dealt by their first
+    six bytes, so those with one long common beginning share a bucket.
     """
     ids = rows.select("doc_id")
     total = ids.count()
     buckets = max(4 * task_slots(rows.sparkSession), -(-total // BUCKET_ROWS), 1)
-    order = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))  # any monotone bucket will do
+    order = F.col("doc_id")
+    if type_of(rows, "doc_id") == "string":
+        order = F.conv(F.rpad(F.hex(F.encode(F.substring("doc_id", 1, 6), "UTF-8")), 12, "0"), 16, 10)
+    order = F.coalesce(order.cast("double"), F.lit(float("-inf")))  # any monotone bucket will do
     tops = ids.select(order.alias("k")).repartitionByRange(buckets, "k").groupBy(F.spark_partition_id()).agg(F.max("k").alias("k"))
     bounds = sorted({r["k"] for r in tops.collect()} - {float("-inf")})
     splits = [float("-inf"), *bounds, float("inf")]

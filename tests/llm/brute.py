@@ -133,7 +133,7 @@ def exact(rows):
 
 def edited(rows):
     """(doc_id, text) with distinct ids -> {doc_id: (n_chars, edited text)}."""
-    order = sorted(rows, key=lambda r: -r[0])
+    order = sorted(rows, key=lambda r: r[0], reverse=True)
     out = {}
     for i, (d, t) in enumerate(order):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
@@ -238,3 +238,51 @@ def aligned(texts):
     for (a, b, groups, n, shown_), own in zip(out, links):
         rows.append((a, b, groups, n, sum(count[p] == highest[p[1]] for p in own), sum(count[p] for p in own), shown_))
     return rows, count
+
+
+def quality(docs, labels, per_class, max_chars, dictionary_bytes, block, damp):
+    """{doc_id: score} of (doc_id, text) and (doc_id, quality) rows with distinct ids, without Spark and without the library.
+
+    The rows of a class with the smallest XXH64 of their ids teach, every other one for the dictionaries, the rest for the curve.
+    """
+    import math
+    import struct
+
+    import xxhash
+    import zstandard
+
+    def place(d):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", d), 42)
+        return h - 2**64 if h >= 2**63 else h
+
+    texts, classes = dict(docs), {0: [], 1: []}
+    for d, mark in labels:
+        if mark is not None and d in texts and not held(d, 4, 2) and texts[d] and len(texts[d]) <= max_chars:
+            classes[mark].append(d)
+    chosen = {m: sorted(texts[d].encode() for d in sorted(ds, key=place)[:per_class]) for m, ds in classes.items()}
+
+    def cut_up(t):
+        return [t[i : i + block] for i in range(0, len(t), block)]
+
+    def compressor(samples):
+        trained = zstandard.train_dictionary(dictionary_bytes, [b for t in samples for b in cut_up(t)])
+        return zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    good, bad = compressor(chosen[1][0::2]), compressor(chosen[0][0::2])
+
+    def feature(t):
+        return (sum(len(bad.compress(b)) for b in cut_up(t)) - sum(len(good.compress(b)) for b in cut_up(t))) / (len(t) + damp)
+
+    points = [(feature(t), m) for m in (0, 1) for t in chosen[m][1::2]]
+    a = b = 0.0
+    for _ in range(200):  # Newton on the logistic loss with a small ridge
+        ga, gb, haa, hab, hbb = 1e-3 * a, 1e-3 * b, 1e-3, 0.0, 1e-3
+        for x, y in points:
+            p = 1 / (1 + math.exp(-(a + b * x)))
+            ga, gb = ga + p - y, gb + (p - y) * x
+            haa, hab, hbb = haa + p * (1 - p), hab + p * (1 - p) * x, hbb + p * (1 - p) * x * x
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        scale = min(1.0, 5 / max(abs(da), abs(db), 1e-12))
+        a, b = a - scale * da, b - scale * db
+    return {d: 1 / (1 + math.exp(-(a + b * (feature(t.encode()) if t else 0.0)))) for d, t in docs}

@@ -24,18 +24,34 @@ def test_exact_duplicates(spark, odd, small, which):
     assert plain(got) == sorted(brute.exact(pairs(docs)), key=str)
 
 
-def test_quotient_filters_merge_without_loss():
+@pytest.mark.parametrize("bits", [12, 16, 30])
+def test_quotient_filters_merge_without_loss(bits):
     rng = np.random.default_rng(3)
-    a, b = rng.integers(0, 2**64, 500, np.uint64), rng.integers(0, 2**64, 500, np.uint64)
-    b[:100] = a[:100]
-    for bits in (0, 1, 7, 16):
-        of = exact.CountingQuotientFilter.of
-        merged = of(bits, a).merge(of(bits, b))
-        keys, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-        assert (merged.keys() == keys).all() and (merged.counts == counts).all()
-        assert (merged.repeated() == keys[counts > 1]).all()
-        blocks = [np.frombuffer(k, np.uint64) for _, k, _ in merged.blocks(4)]
-        assert (np.concatenate(blocks) == keys).all()
+    parts = [rng.integers(0, 2**64, n, np.uint64) for n in (500, 500, 0, 7, 90, 1)]
+    parts[1][:100] = parts[0][:100]
+    parts[4][:5] = np.uint64(2**64 - 1)
+    of = exact.CountingQuotientFilter.of
+    merged = exact.CountingQuotientFilter.merged(of(bits, part) for part in parts)
+    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert (merged.keys() == keys).all() and (merged.counts == counts).all()
+    assert (merged.repeated() == keys[counts > 1]).all()
+    assert merged.runs.sum() == len(keys) and (np.diff(merged.quotients.astype(float)) > 0).all()
+    # what travels in blocks comes back as it was
+    for block_bits in (0, 4, 12):
+        back = [exact.CountingQuotientFilter.of_block(bits, block_bits, *row) for row in merged.blocks(block_bits)]
+        assert (np.concatenate([p.keys() for p in back]) == keys).all()
+        assert (np.concatenate([p.counts for p in back]) == counts).all()
+    assert exact.CountingQuotientFilter.merged([]) is None and not list(of(bits, parts[2]).blocks(4))
+
+
+def test_repeated_fingerprints_over_many_filters(spark, monkeypatch):
+    """Filters sent off often and cut into many blocks find the same fingerprints."""
+    monkeypatch.setattr(exact, "BLOCK_KEYS", 64)
+    monkeypatch.setattr(exact, "FILTER_KEYS", 50)
+    rows = [(d % 37,) if d % 3 == 0 else (d * 0x9E3779B97F4A7C15 % 2**63 * (-1) ** d,) for d in range(3_000)]
+    found = exact.repeated_fingerprints(spark.createDataFrame(rows, "fingerprint bigint").repartition(5), len(rows))
+    seen = [r[0] for r in rows]
+    assert sorted(r[0] for r in found.collect()) == sorted({v for v in seen if seen.count(v) > 1})
 
 
 @pytest.mark.parametrize("which,turns,bits,words", [("odd", 1, 4, 4), ("small", 1, 4, 4), ("odd", 4, 44, 5), ("small", 3, 40, 5)])

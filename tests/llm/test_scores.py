@@ -44,6 +44,22 @@ def test_held_out_labels_are_never_used(odd, known, score, mark, parts, out, lim
     assert one == two
 
 
+@pytest.mark.parametrize("per_class", [3_000, 60])
+def test_quality_equals_brute_force(spark, monkeypatch, per_class):
+    """Every score of sf0.01, with a sample that holds all labelled rows and with one that has to choose."""
+    monkeypatch.setattr(quality, "PER_CLASS", per_class)
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    pairs = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    marks = [(r["doc_id"], r["quality"]) for r in labels.select("doc_id", "quality").collect()]
+    expected = brute.quality(pairs, marks, per_class, quality.MAX_CHARS, quality.DICTIONARY_BYTES, quality.BLOCK, quality.DAMP)
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert abs(r["score"] - expected[r["doc_id"]]) < 1e-6, r
+        assert r["held_out"] == brute.held(r["doc_id"], 4, 2) and r["predicted"] == int(r["score"] >= 0.7)
+
+
 def test_pairs_of_terms_can_mean_what_terms_do_not():
     """Exclusive or of two terms, which no linear weights can learn."""
     rng = np.random.default_rng(1)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import unicodedata
 
 import brute
@@ -104,6 +105,30 @@ def test_edited_pairs_of_repeated_and_null_ids(spark, odd, nothing):
     assert [r["near_next"] for r in fingerprints.edited_pairs(one).collect()] == [1.0]
 
 
+def test_edited_pairs_of_text_ids(spark):
+    """Ids that are no numbers, one beginning another, beyond ASCII, and empty, in the order of their bytes."""
+    rng = random.Random(4)
+    ids = ["", "a", "a b", "ab", "\u00e9t\u00e9", "\U0001f600", "Zeta", "document-1", "document-10", "document-2", *(f"id{i}" for i in range(40))]
+    rows = [(d, brute.words(i, rng.randrange(1, 60))) for i, d in enumerate(ids)]
+    expected = brute.edited([(d.encode(), t) for d, t in rows])
+    got = fingerprints.edited_pairs(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    assert len(got) == len(ids)
+    for r in got:
+        n, changed = expected[r["doc_id"].encode()]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(changed.encode()).hexdigest())
+
+
+def test_likeness_of_short_texts():
+    """Mean error of the likeness of texts of 20 to 50 words to their beginnings, against whole shingle sets."""
+    errors = []
+    for seed in range(300):
+        text = brute.words(seed, 20 + seed % 31).split(" ")
+        one, two = " ".join(text), " ".join(text[: len(text) * 2 // 3])
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (one.split(" "), two.split(" "))]
+        errors.append(abs(fingerprints.likeness(*(fingerprints.sketch(t.encode()) for t in (one, two))) - jaccard(*sets)))
+    assert np.mean(errors) < 0.11, np.mean(errors)
+
+
 def test_sketches_estimate_and_merge():
     a, b = brute.words(21, 4000), brute.words(22, 40_000)
     whole = (a + " " + b).encode()
