@@ -73,13 +73,23 @@ def labelled_sample(
 
     The rows with the smallest key hashes are taken, so the choice does not depend on the partitioning.  Only rows for
     which `learn` holds (a condition on doc_id) are looked at.  Null marks, null and empty texts teach nothing.  A
-    document that is labelled more than once counts as often.
+    document that is labelled more than once counts as often, and so do rows that repeat a doc_id; they are counted, not
+    collected, so the driver gets at most `per_class` texts of a class whatever the tables repeat.
     """
-    marked = labels.select("doc_id", F.col(mark).cast("int").alias("mark")).where(learn & F.col("doc_id").isNotNull())
-    short = docs.select("doc_id", F.length("text").alias("n")).where(F.col("n").between(1, max_chars)).select("doc_id")
-    known = marked.join(short, "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("mark") == m).orderBy(*order).limit(per_class) for m in (0, 1)]
-    # at most 2 * per_class ids: a bounded side, whatever the size of the tables
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").collect()
-    return sorted((r["mark"], r["text"]) for r in rows if r["text"])
+    wanted = learn & F.col("doc_id").isNotNull()
+    marked = labels.select("doc_id", F.col(mark).cast("int").alias("mark")).where(wanted)
+    short = docs.select("doc_id", "text").where(wanted & F.length("text").between(1, max_chars)).withColumn("print", F.xxhash64("text"))
+    times = F.least(F.count("*"), F.lit(per_class))  # of a repeated row, more are never used
+    known = marked.groupBy("doc_id", "mark").agg(times.alias("labelled")).join(
+        short.groupBy("doc_id", "print").agg(times.alias("repeated")), "doc_id"
+    )
+    known = known.select("mark", F.xxhash64("doc_id").alias("place"), "doc_id", "print", (F.col("labelled") * F.col("repeated")).alias("times"))
+    chosen = [known.where(F.col("mark") == m).orderBy("place", "doc_id", "print").limit(per_class) for m in (0, 1)]
+    # at most 2 * per_class rows without texts: a bounded side, whatever the size of the tables
+    named = short.join(F.broadcast(chosen[0].unionAll(chosen[1])), ["doc_id", "print"])
+    rows = named.groupBy("mark", "place", "doc_id", "print", "times").agg(F.min("text").alias("text")).collect()
+    taken: dict[int, list[str]] = {0: [], 1: []}
+    for r in sorted(rows, key=lambda r: (r["place"], r["doc_id"], r["print"])):
+        own = taken[r["mark"]]
+        own += [r["text"]] * min(r["times"], per_class - len(own))
+    return sorted((m, text) for m, own in taken.items() for text in own)

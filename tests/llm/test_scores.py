@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.llm import quality, toxicity
-from kinweave.llm.common import table
+from kinweave.llm.common import labelled_sample, table
 
 CASES = [(quality.quality, "quality", 4, 2, 0.7), (toxicity.toxicity, "toxic", 5, 0, 0.5)]
 
@@ -44,6 +44,18 @@ def test_held_out_labels_are_never_used(odd, known, score, mark, parts, out, lim
     assert one == two
 
 
+def test_samples_bound_rows_not_ids(spark):
+    """One labelled id that very many rows repeat, with equal and with other texts, one of them very long."""
+    rows = [(1, "same words")] * 5_000 + [(1, "x" * 50_000), (1, "another text"), (2, "short"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (4, 0), (None, 1), (5, 1), (2, None)], "doc_id bigint, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 40, 1_000)
+    assert len(got) == 42 and [t for m, t in got if m == 0] == ["short"] * 2
+    assert {t for m, t in got if m == 1} <= {"same words", "another text"} and sum(m for m, _ in got) == 40
+    everything = labelled_sample(docs, labels, "quality", F.lit(True), 10_000, 1_000)
+    assert len(everything) == 5_001 + 2 and labelled_sample(docs, labels.limit(0), "quality", F.lit(True), 40, 1_000) == []
+
+
 @pytest.mark.parametrize("per_class", [3_000, 60])
 def test_quality_equals_brute_force(spark, monkeypatch, per_class):
     """Every score of sf0.01, with a sample that holds all labelled rows and with one that has to choose."""
