@@ -71,7 +71,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies: that of the smallest doc_id, null last; similarity is that of shingle sets."""
+    """One row of each component of near copies: that of the smallest doc_id, null last.
+
+    Candidates are the links of the SimHash index, and of MinHash bands what its 4 bits cannot see; shingle sets decide.
+    """
     rows, row = _numbered(docs)
 
     def gone() -> DataFrame:

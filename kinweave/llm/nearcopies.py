@@ -1,14 +1,18 @@
-"""Near copies by the Jaccard similarity of shingle sets: candidates from MinHash bands, every link verified on the sets.
+"""Near copies by the Jaccard similarity of shingle sets: candidates from SimHash fingerprints and from MinHash bands, every
+link verified on the sets.
+
+The first candidates are the links of `simhash`: fingerprints that differ in at most 4 bits, by its inverted index over byte
+positions, its count filter and its check of all bits.  Near copies of similarity 0.8 differ in about 10 bits, which that index
+does not guarantee to see, so texts that share a band of minima are candidates as well.
 
 A text is the set of its shingles (repeats count once).  `MINS` minima by as many hash functions agree in the share of the
 similarity: texts of similarity 0.8 have all `ROWS` minima of at least one of 32 bands in common but for 6 of 10^5 pairs,
 those of 0.85 but for 6 of 10^8, and texts of similarity 0.4 have a band in common once in 8 pairs.
 
-The search is an inverted index over byte positions with a count filter: a text is a string of `SKETCH` bytes, one of each
+The search by minima is built alike, an inverted index with a count filter over byte positions: a text is a string of `SKETCH` bytes, one of each
 of the first minima.  Whoever shares a band is listed together, lists tally the positions at which two strings have the
-same byte, and pairs with fewer than `AGREE` go (5 of 10^7 at similarity 0.8).  A 64-bit SimHash cannot guarantee an equal
-byte at that similarity, where 10 bits differ, so the strings come from minima.  The components of these loose links hold all
-pairs of the similarity asked for.
+same byte, and pairs with fewer than `AGREE` go (5 of 10^7 at similarity 0.8).  The components of the loose links of both
+searches hold all pairs of the similarity asked for.
 
 Loose components are small tables of their own: the sets of their members are computed again from the texts, meet once, and
 are searched for the links whose sets really reach the similarity.  Only these make components.  Both searches return spanning
@@ -26,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm import simhash
 from kinweave.llm.common import map_texts, narrow, to_batch, type_of
 from kinweave.llm.simhash import components, shingle_digests
 from kinweave.session import cut, task_slots
@@ -64,7 +69,7 @@ def bands(mins: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """row, node, n (shingles), keys (of the bands), sketch (a byte of each of the minima)."""
+    """row, node, n (shingles), keys (of the bands), sketch (a byte of each of the minima), print0 (SimHash fingerprint)."""
 
     def prepare():
         def work(part: pa.RecordBatch, texts: list[bytes]):
@@ -73,11 +78,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             bytes_ = [(m[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes() for m in mins]
             # a set without shingles is equal to its like only, which is one node
             keys = [bands(m) if len(s) else [] for m, s in zip(mins, sets)]
-            return part.column("row"), [node_of(s) for s in sets], [len(s) for s in sets], pa.array(keys, pa.list_(pa.field("element", pa.int64()))), bytes_
+            listed = pa.array(keys, pa.list_(pa.field("element", pa.int64())))
+            prints = np.frombuffer(b"".join([simhash.fingerprint(t) for t in texts]), ">i8").astype(np.int64)
+            return part.column("row"), [node_of(s) for s in sets], [len(s) for s in sets], listed, bytes_, prints
 
         return work
 
-    return map_texts(docs, prepare, f"row {type_of(docs, 'row')}, node bigint, n bigint, keys array<bigint>, sketch binary")
+    return map_texts(docs, prepare, f"row {type_of(docs, 'row')}, node bigint, n bigint, keys array<bigint>, sketch binary, print0 bigint")
 
 
 def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -174,6 +181,20 @@ def loose_links(nodes: DataFrame) -> DataFrame:
     return edges(rows, lambda held: alike(np.frombuffer(b"".join(held), np.uint8).reshape(-1, SKETCH)))
 
 
+def print_links(known: DataFrame) -> DataFrame:
+    """(a, b) edges between nodes of (node, print0) rows that connect what equal or linked SimHash fingerprints connect.
+
+    A node has several fingerprints where texts of one shingle set repeat shingles differently.
+    """
+    held = cut(known.select("node", "print0").distinct())
+    first = cut(held.groupBy("print0").agg(F.min("node").alias("first")))
+    same = held.join(first, "print0").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    ends = simhash.links(first.select("print0"), first.count())
+    for end in ("a", "b"):
+        ends = ends.join(first.select(F.col("print0").alias(end), F.col("first").alias(f"{end}_node")), end)
+    return same.unionAll(ends.select("a_node", "b_node")).where("a <> b")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, words: int, least: Fraction) -> DataFrame:
     """(a, b) edges that connect what pairs of similarity `least` within a loose component (row, node, root, tiles) connect."""
 
@@ -200,7 +221,7 @@ def near_copies(docs: DataFrame, row: str, text: str = "text", words: int = WORD
     docs = narrow(docs, row=row, text=text)
     known = cut(sketches(docs, words))
     nodes = cut(known.dropDuplicates(["node"]).select("row", "node", "n", "keys", "sketch"))
-    loose = components(cut(loose_links(nodes)))
+    loose = components(cut(print_links(known).unionAll(loose_links(nodes))))
     loose = loose.unionAll(loose.select(F.col("root").alias("node"), "root").distinct())  # roots have no row of their own
     members = nodes.select("row", "node", "n").join(loose, "node")
     tiles = members.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("tiles"))

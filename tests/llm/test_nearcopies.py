@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
-from kinweave.llm import nearcopies  # noqa: E402
+from kinweave.llm import nearcopies, simhash  # noqa: E402
 from kinweave.llm.common import table  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string"
@@ -69,3 +69,19 @@ def test_planted_near_copies_go(spark):
     left = kept(spark, texts)
     assert sum(j not in left for _, j in links) >= 0.999 * len(links)
     assert left >= set(roots(len(texts), links))
+
+
+def test_simhash_index_finds_candidates(spark, monkeypatch):
+    """Near copies that no band shows are found by their fingerprints; those whose sets differ too much are not linked."""
+    monkeypatch.setattr(nearcopies, "bands", lambda mins: [])
+    texts = [t for i in range(60) for base in [brute.words(f"s {i}", 300)] for t in (base, base + f" last{i}")]
+    # two words over and over: the shingle in most places decides the fingerprint, further words only the set
+    texts += [" ".join(["ab"] * 60), " ".join(["ab"] * 60 + ["cd", "ef"])]
+    prints = [int.from_bytes(simhash.fingerprint(t.encode())) for t in texts]
+    close = [i for i in range(0, len(texts), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4]
+    links = jaccard_links(texts, 0.8)
+    linked = [i for i in close if (i, i + 1) in links]
+    assert len(linked) >= 30 and len(texts) - 2 in close and len(texts) - 2 not in linked
+    left = kept(spark, texts)
+    assert all(i in left and i + 1 not in left for i in linked)
+    assert {len(texts) - 2, len(texts) - 1} <= left
