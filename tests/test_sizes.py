@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity
-from kinweave.operators import blocking
+from kinweave.operators import blocking, clustering
 
 
 
@@ -48,3 +48,25 @@ def test_bags_are_only_made_for_the_filter():
     similarity.score_pairs(enc, np.array([0, 0]), np.array([1, 3]))
     assert not {"bag", "collapsed"} & set(vars(enc))
     assert enc.collapsed.tolist() == [int(n) - int(np.bitwise_count(b).sum()) for n, b in zip(enc.length, enc.bag)]
+
+
+def test_best_links_of_repeated_mentions_travel_once(spark):
+    """Best links equal brute force where profiles have many mentions, and what is kept for them does not grow with these."""
+    rnd, top_n, profiles = random.Random(3), 4, 40
+    owner = list(range(profiles)) + [rnd.randrange(profiles) for _ in range(600)]
+    first = {}
+    for seq, p in enumerate(owner):
+        first.setdefault(p, seq)
+    weight = {(p, q): rnd.choice([1.0, 2.0, 3.0, 4.5]) for p in first for q in first if rnd.random() < 0.7}
+    mentions = spark.createDataFrame([(f"m{i}", i, first[p]) for i, p in enumerate(owner)], "mention_id string, arrival_seq long, profile_id long")
+    links = spark.createDataFrame([(first[p], first[q], w) for (p, q), w in weight.items()], "new_profile long, stored_profile long, match_weight double")
+    want = set()
+    for seq, p in enumerate(owner):
+        found = sorted((-weight[p, q], s) for s, q in enumerate(owner[:seq]) if (p, q) in weight)
+        want |= {(f"m{seq}", f"m{s}", -w, rank) for rank, (w, s) in enumerate(found[:top_n], 1)}
+    got = clustering.top_links(mentions, links, top_n).collect()
+    assert {(r.mention_id_l, r.mention_id_r, r.match_weight, r.rank) for r in got} == want and len(got) == len(want)
+    held = clustering.useful_links(links, top_n).collect()
+    # the links to earlier profiles are the best ones only, and others end before the repeats begin
+    assert sum(r.stored_profile < r.new_profile for r in held) <= top_n * profiles
+    assert all(r.until is not None and r.until < profiles for r in held if r.new_profile > 3 * top_n and r.match_weight < 4.5)
