@@ -70,3 +70,14 @@ def test_best_links_of_repeated_mentions_travel_once(spark):
     # the links to earlier profiles are the best ones only, and others end before the repeats begin
     assert sum(r.stored_profile < r.new_profile for r in held) <= top_n * profiles
     assert all(r.until is not None and r.until < profiles for r in held if r.new_profile > 3 * top_n and r.match_weight < 4.5)
+
+
+def test_offers_of_one_cluster_are_combined(spark, monkeypatch):
+    """Of 400 links of one weight to profiles of two clusters, two offers are shuffled for ranking."""
+    seen, front = [], clustering._front
+    monkeypatch.setattr(clustering, "_front", lambda offers, keys, top_n: [seen.append(offers.count()), front(offers, keys, top_n)][1])
+    clusters = spark.createDataFrame([(i, i, f"m{i}", f"m{i % 2}") for i in range(401)], "profile_id long, arrival_seq long, mention_id string, cluster_id string")
+    links = spark.createDataFrame([(400, i, 3.0) for i in range(400)], "new_profile long, stored_profile long, match_weight double")
+    found = clustering.rank_candidates(clusters, links, clusters, 5).where("arrival_seq = 400").orderBy("rank").collect()
+    assert [r.cluster_id for r in found] == ["m0", "m1"]
+    assert seen == [2]
