@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,41 @@ def test_offers_of_one_cluster_are_combined(spark, monkeypatch):
     found = clustering.rank_candidates(clusters, links, clusters, 5).where("arrival_seq = 400").orderBy("rank").collect()
     assert [r.cluster_id for r in found] == ["m0", "m1"]
     assert seen == [2]
+
+
+@pytest.mark.parametrize("cutoff", [0.3, 0.65, 0.8, 0.93])
+def test_a_grid_equals_single_pairs(cutoff):
+    """All pairs of many short strings at once: the links and scores that pairs have one by one, to the last bit."""
+    rnd = random.Random(8)
+    names = ["".join(rnd.choices("aabcdeé1", k=rnd.choice([1, 4, 9, 30, 47, 62]))) for _ in range(150)] + ["", "a", "b" * 64, "ab" * 32]
+    names += [n[: len(n) // 2] + n[len(n) // 2 + 1 :] for n in names[:60]]
+    names = list(dict.fromkeys(n for n in names if len(n.encode()) <= 64))
+    enc, every = similarity.EncodedStrings(names), np.arange(len(names))
+    l, r = np.repeat(every, len(names)), np.tile(every, len(names))
+    score = similarity.score_pairs(enc, l, r)
+    want = {(a, b, s) for a, b, s in zip(l.tolist(), r.tolist(), score.tolist()) if s >= cutoff}
+    got = [t for part in similarity.similar_in_grid(enc, every, every, cutoff) for t in zip(*(x.tolist() for x in part))]
+    assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("stale", [0, 40])
+def test_tiles_of_like_names_are_scored_in_grids(monkeypatch, stale):
+    """Names of the same letters, long ones among them: few pairs are scored one by one, and each similar pair comes once."""
+    rnd = random.Random(4)
+    names = ["".join(rnd.sample("aabbccddeeffgghhiijj" * 2, 36)) for _ in range(170)]
+    names += [n[:30] + "xy" for n in names[:20]] + ["".join(rnd.choices("abcdefghij", k=90)) for _ in range(6)]
+    fresh = [i >= stale for i in range(len(names))]
+    both = [(0, 0, 0, side, i, n, fresh[i], 1) for side in (0, 1) for i, n in enumerate(names) if side or fresh[i]]
+    rows = pd.DataFrame(both, columns=["block", "l_tile", "r_tile", "side", "value_id", "name", "fresh_value", "value_tiles"])
+    alone, score_pairs = [], similarity.score_pairs
+    monkeypatch.setattr(similarity, "score_pairs", lambda enc, l, r, cutoff=None: [alone.append(len(l)), score_pairs(enc, l, r, cutoff)][1])
+    found = pd.concat(similarity.similar_within_tiles(0.8)(iter([rows])))
+    enc = similarity.EncodedStrings(names)
+    l, r = np.triu_indices(len(names), 1)
+    some = np.array(fresh)[r]
+    l, r = l[some], r[some]
+    score = score_pairs(enc, l, r)
+    want = {(b, a, s) for a, b, s in zip(l.tolist(), r.tolist(), score.tolist()) if s >= 0.8}
+    got = list(zip(found["l_value"], found["r_value"], found["similarity"]))
+    assert set(got) == want and len(got) == len(want)
+    assert sum(alone) < len(l) / 4
