@@ -8,16 +8,21 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.session import task_slots
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 IRI, LITERAL, BLANK = "iri", "literal", "blank"
 PREFIX = re.compile(r"^([^:]*):")
+# Bytes of payloads that are Python strings at once.
+BYTES_AT_ONCE = 1 << 22
 TRIPLE_SCHEMA = "request_key long, s string, p string, o string, o_kind string, error string"
 
 # Namespaces and the shipped mapping of entity types to property paths.
@@ -258,6 +263,14 @@ class TurtleReader:
         raise ValueError(f"unexpected {word!r}")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, about `BYTES_AT_ONCE` at a time."""
+    for batch in batches:
+        rows = max(batch.num_rows * BYTES_AT_ONCE // max(batch.nbytes, 1), 1)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows).to_pandas(integer_object_nulls=True)
+
+
 def _read_batches(batches: Iterator[pd.DataFrame], wanted: frozenset[str] | None = None) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -274,9 +287,19 @@ def _read_batches(batches: Iterator[pd.DataFrame], wanted: frozenset[str] | None
 
 
 def triples(payloads: DataFrame, wanted: set[str] | None = None) -> DataFrame:
-    """One row per triple of each (request_key, content), or one row with an error; only `wanted` predicates, if given."""
+    """One row per triple of each (request_key, content), or one row with an error; only `wanted` predicates, if given.
+
+    Payloads are dealt out by key first: long ones often lie together, and would be read by one task in batches of long ones.
+    """
     kept = None if wanted is None else frozenset(wanted)
-    return payloads.select("request_key", "content").mapInPandas(lambda batches: _read_batches(batches, kept), TRIPLE_SCHEMA)
+    layout = pa.schema([("request_key", pa.int64()), *((c, pa.string()) for c in ("s", "p", "o", "o_kind", "error"))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _read_batches(_pieces(batches), kept):
+            yield pa.RecordBatch.from_pandas(found, layout, preserve_index=False)
+
+    dealt = payloads.select("request_key", "content").repartition(task_slots(payloads.sparkSession), "request_key")
+    return dealt.mapInArrow(read, TRIPLE_SCHEMA)
 
 
 def _has_type(rdf_type: str) -> Callable[[Column], Column]:
@@ -291,21 +314,27 @@ def attributes(requests: DataFrame, graph: DataFrame, hops: list[Hop]) -> DataFr
     """
     fields = sorted({h.field for h in hops if h.field is not None})
     types = {h.entity_type: h.iri for h in hops if h.field is None}
-    by_request = graph.repartition("request_key")
-    failed = by_request.where("error is not null").select("request_key", "error")
+    # one pass, as the reader would run once for each; an unreadable payload has one row, with neither subject nor predicate
     facts = (
-        by_request.where("error is null")
+        graph.repartition("request_key")
         .groupBy("request_key", "s", "p")
-        .agg(F.min("o").alias("o"), F.collect_set(F.when(F.col("p") == RDF_TYPE, F.col("o"))).alias("types"))
+        .agg(
+            F.min("o").alias("o"),
+            F.collect_set(F.when(F.col("p") == RDF_TYPE, F.col("o"))).alias("types"),
+            F.collect_list("error").alias("errors"),
+        )
         .groupBy("request_key")
         .agg(
-            F.map_from_entries(F.collect_list(F.struct(F.struct("s", "p").alias("key"), F.col("o").alias("value")))).alias("facts"),
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("s").isNotNull(), F.struct(F.struct("s", "p").alias("key"), F.col("o").alias("value"))))
+            ).alias("facts"),
             F.sort_array(
                 F.collect_list(F.when(F.size("types") > 0, F.struct("s", "types")))
             ).alias("typed"),
+            F.flatten(F.collect_list("errors")).alias("errors"),
         )
     )
-    known = requests.join(failed, "request_key", "left").join(facts, "request_key", "left")
+    known = requests.join(facts, "request_key", "left").withColumn("error", F.explode_outer("errors"))
     subject, values = F.lit(None).cast("string"), {field: F.lit(None).cast("string") for field in fields}
     for entity_type, rdf_type in types.items():
         applies = F.col("entity_type") == entity_type

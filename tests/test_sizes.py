@@ -4,11 +4,13 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import similarity
 from kinweave.operators import blocking, clustering
+from kinweave.sources import rdf
 
 
 
@@ -120,3 +122,26 @@ def test_tiles_of_like_names_are_scored_in_grids(monkeypatch, stale):
     got = list(zip(found["l_value"], found["r_value"], found["similarity"]))
     assert set(got) == want and len(got) == len(want)
     assert sum(alone) < len(l) / 4
+
+
+def test_long_payloads_are_read_once_by_many_tasks(spark):
+    """200 payloads of one partition, a third of them unreadable: one pass of the reader, several tasks, errors beside fields."""
+    good = '@prefix org: <http://www.w3.org/ns/org#> .\n@prefix epo: <http://data.europa.eu/a4g/ontology#> .\n<urn:a> a org:Organization ; epo:hasLegalName "n%d" .'
+    rows = [(i, "ORGANISATION", good % i + (" [ " * 300 if i % 3 == 0 else "")) for i in range(200)]
+    payloads = spark.createDataFrame(rows, "request_key long, entity_type string, content string").coalesce(1)
+    read = rdf.triples(payloads).select("request_key", F.spark_partition_id().alias("task")).distinct()
+    assert read.select("task").distinct().count() > 1
+    mapped = rdf.turtle_mapper(rdf.shipped_hops())(payloads)
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+    found = {r.request_key: (r.legal_name, r.mapping_error is None) for r in mapped.collect()}
+    assert found == {i: (None, False) if i % 3 == 0 else (f"n{i}", True) for i in range(200)}
+
+
+def test_payloads_become_strings_by_pieces(monkeypatch):
+    """A batch of 40 long payloads is not turned into Python strings at once; keys may be missing."""
+    monkeypatch.setattr(rdf, "BYTES_AT_ONCE", 50_000)
+    batch = pa.RecordBatch.from_pydict({"request_key": [*range(39), None], "content": ["x" * 10_000] * 40})
+    pieces = list(rdf._pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(len(p) for p in pieces) <= 5
+    assert [k for p in pieces for k in p["request_key"]] == [*range(39), None]
