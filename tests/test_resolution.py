@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinweave import config
 from kinweave.functions.similarity import EncodedStrings, score_pairs
-from kinweave.operators import blocking, clustering
+from kinweave.operators import blocking, clustering, scoring
 from kinweave.plans import catalog
 from kinweave.plans.resolve import link, resolve, resolve_scored
 
@@ -248,3 +248,43 @@ def test_candidates_of_profiles_with_very_many_links_are_the_same(spark, small,
     whole = sorted(map(tuple, done.candidates().collect()))
     monkeypatch.setattr(clustering, "HEAVY", 2)
     assert sorted(map(tuple, done.candidates().collect())) == whole
+
+
+@pytest.mark.parametrize("missing, stored_until, small, profile_tile", [("penalise", None, 32 << 20, 512), ("neutral", 60, 0, 3)])
+def test_tiles_graded_at_once_give_the_links_of_single_pairs(spark, monkeypatch, missing, stored_until, small, profile_tile):
+    """Counts by levels and earliest links by weight, with missing values, copies, stored mentions and keys that repeat."""
+    monkeypatch.setattr(blocking, "SMALL_BYTES", small)
+    monkeypatch.setattr(blocking, "PROFILES_PER_TILE", profile_tile)
+    rng, rows = random.Random(12), []
+    names = ["red bolt", "red bolts", "red  Bolt", "Red b olt", "old ring", None, "", "old rings", "é" * 40 + "ring"]
+    for i in range(150):
+        seq = rng.choice([i, i, i, rng.randrange(150), None])
+        codes = rng.choice(["n1", "n2", None]), rng.choice(["1000", "1001", "100", "", None, "2" * 300])
+        rows.append((f"m{seq}", seq, rng.choice(names), rng.choice(["A", "A", None]), *codes))
+    layout = "mention_id string, arrival_seq long, legal_name string, country_code string, nuts_code string, post_code string"
+    mentions = spark.createDataFrame(rows + rng.sample(rows, 40), layout)
+    if stored_until is not None:
+        mentions = mentions.withColumn("is_new", F.col("arrival_seq") > stored_until)
+    settings = replace(config.shipped().with_fields(["legal_name", "country_code", "nuts_code", "post_code"]), missing=missing)
+    linked = link(mentions, settings)
+    levels = [*scoring.gamma_columns(settings), "match_weight"]
+    links = linked.links.select("new_profile", "stored_profile", *levels).toPandas()
+    counts = links.groupby(levels).size()
+    assert len(counts) > 20
+    found = linked.patterns().toPandas().set_index(levels)["links"]
+    assert found.to_dict() == counts.to_dict()
+    ends = ["new_profile", "match_weight"]
+    first = linked.first().toPandas()
+    assert len(first) < len(links)
+    assert first.groupby(ends)["stored_profile"].min().to_dict() == links.groupby(ends)["stored_profile"].min().to_dict()
+
+
+def test_other_rules_and_kinds_of_comparison_count_single_pairs(spark):
+    rows = _corpus(random.Random(6), 60)
+    rules = (config.JoinRule(("nuts_code",)), config.JoinRule(("post_code",)))
+    settings = replace(config.shipped().with_fields(FIELDS), rules=rules)
+    linked = link(spark.createDataFrame(rows, LAYOUT), settings)
+    levels = [*scoring.gamma_columns(settings), "match_weight"]
+    counts = linked.links.select(levels).toPandas().groupby(levels).size()
+    assert linked.patterns().toPandas().set_index(levels)["links"].to_dict() == counts.to_dict() and len(counts)
+    assert linked.first().count() == counts.sum()

@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import config
 from kinweave.functions import similarity
-from kinweave.operators import blocking, clustering
+from kinweave.operators import blocking, clustering, scoring
 from kinweave.sources import rdf
 
 
@@ -145,3 +146,21 @@ def test_payloads_become_strings_by_pieces(monkeypatch):
     pieces = list(rdf._pieces(iter([batch, batch.slice(0, 0)])))
     assert max(len(p) for p in pieces) <= 5
     assert [k for p in pieces for k in p["request_key"]] == [*range(39), None]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_links_of_a_hot_value_leave_their_tiles_as_few_rows(spark, small):
+    """1,500 profiles of one name: all 1.1 million links are graded, and neither counts nor first links are as many."""
+    rows = [(i, i, "one name", "X", f"n{i % 7}", str(1000 + i), 1) for i in range(1500)]
+    layout = "profile_id long, last_new long, legal_name string, country_code string, nuts_code string, post_code string, mentions long"
+    known = spark.createDataFrame(rows, layout).withColumn("legal_name_norm", F.col("legal_name"))
+    settings = config.shipped().with_fields(["legal_name", "country_code", "nuts_code", "post_code"])
+    pairs = blocking.candidate_pairs(known, settings, small)
+    links = scoring.profile_links(pairs, settings)
+    counts = scoring.link_patterns(known, settings, small, links)
+    assert counts.agg(F.sum("links")).first()[0] == 1500 * 1499 // 2
+    tiles = -(-1500 // blocking.PROFILES_PER_TILE)
+    first = scoring.first_links(known, settings, small, links).toPandas()
+    # at most one for each new profile, pattern of levels and tile, where each profile has 750 links on average
+    assert len(first) <= 1500 * 6 * (tiles + 1)
+    assert first.groupby("new_profile")["stored_profile"].min().to_dict() == {i: 0 for i in range(1, 1500)}
