@@ -1,6 +1,7 @@
 import os
 import sys
 
+import duckdb
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +18,12 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def own_database():
+    """A default DuckDB connection for each test: a result that another left unfinished would block it."""
+    duckdb.set_default_connection(duckdb.connect())
+
+
 @pytest.fixture
 def small():
     return "/root/testdata/sf0.001"
